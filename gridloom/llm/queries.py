@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridloom.llm import simhash
+from gridloom.llm import bpe, packing, simhash, token_counts
+
+#: Where the vocabulary is on this machine; a parameter of every operator that encodes.
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PATTERN = public_tokenizers.PATTERN
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,8 +22,25 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"), words=3)
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(_read(spark, sf_dir, "documents"), "doc_id", "text", RANKS, PATTERN)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.suffix_sums(token_counts.length_histogram(_read(spark, sf_dir, "documents"), "text", RANKS, PATTERN))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = bpe.encode(_read(spark, sf_dir, "documents"), ["doc_id"], "text", RANKS, PATTERN)
+    both = bpe.decode(ids, ["doc_id", "ids"], "ids", RANKS)
+    return both.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash,)}
+    return {f.__name__: f for f in (op1_simhash, op4_packing, op6_token_counts, op8_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
