@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridloom.llm import bpe, packing, simhash, token_counts
+from gridloom.llm import bpe, langid, packing, quality, simhash, token_counts
 
 #: Where the vocabulary is on this machine; a parameter of every operator that encodes.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -27,6 +27,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.length_histogram(_read(spark, sf_dir, "documents"), "text", RANKS, PATTERN))
 
@@ -39,8 +44,14 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _read(spark, sf_dir, "documents").withColumn("held_out", langid.held_out("doc_id"))
+    model = langid.fit(documents.where("not held_out"), "doc_id", "text", "lang")
+    return langid.identify(documents, ["doc_id", "held_out"], "text", model)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op4_packing, op6_token_counts, op8_bpe)}
+    return {f.__name__: f for f in (op1_simhash, op4_packing, op5_quality, op6_token_counts, op8_bpe, op9_language)}
 
 
 def oracle_sql() -> dict[str, str]:
