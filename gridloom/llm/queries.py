@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridloom.llm import bpe, langid, packing, quality, simhash, token_counts
+from gridloom.llm import bpe, embed_dedup, html_extract, langid, packing, quality, sharding, simhash, token_counts
 
 #: Where the vocabulary is on this machine; a parameter of every operator that encodes.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -22,6 +22,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"), words=3)
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_extract.extract(_read(spark, sf_dir, "pages"), ["page_id", "url"])
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_lines", "n_content_lines")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(_read(spark, sf_dir, "documents"), "doc_id", "text", RANKS, PATTERN)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -36,6 +41,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.length_histogram(_read(spark, sf_dir, "documents"), "text", RANKS, PATTERN))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = sharding.shard(_read(spark, sf_dir, "documents"), 8)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = bpe.encode(_read(spark, sf_dir, "documents"), ["doc_id"], "text", RANKS, PATTERN)
     both = bpe.decode(ids, ["doc_id", "ids"], "ids", RANKS)
@@ -50,8 +60,12 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents, ["doc_id", "held_out"], "text", model)
 
 
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op4_packing, op5_quality, op6_token_counts, op8_bpe, op9_language)}
+    return {f.__name__: f for f in (op1_simhash, op3_html, op4_packing, op5_quality, op6_token_counts, op7_sharding, op8_bpe, op9_language, op10_embeddings)}
 
 
 def oracle_sql() -> dict[str, str]:
