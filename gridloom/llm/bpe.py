@@ -14,10 +14,11 @@ is before x is merged into its parent, and not after y is (equal ranks are merge
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Callable, Iterator
 from functools import cache
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
@@ -26,7 +27,7 @@ from gridloom.plans.lineage import ship
 
 _NEVER = 1 << 62
 #: Entries of a worker's memos, two generations of which are held; beyond it, what was not used lately is worked out again.
-MEMO = 120_000
+MEMO = 200_000
 #: Characters after which a long text is split at the next safe place.
 CHUNK = 1 << 20
 
@@ -57,10 +58,11 @@ class Vocabulary:
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self.longest = max(map(len, ranks))
-        self.starts = {token[:k] for token in ranks for k in range(1, len(token) + 1)}
+        #: The rank of every token, and -1 for what only begins tokens.
+        self.begun = {token[:k]: -1 for token in ranks for k in range(1, len(token))} | ranks
         self._right: dict[int, list[tuple[int, bytes, int]]] = {}
         self._left: dict[int, list[tuple[int, bytes, int]]] = {}
-        self._apart = Memo(self._stay_apart, 4 * MEMO)
+        self._apart = Memo(self._stay_apart, 2 * MEMO)  # of a << 20 | b
 
     def _halves(self, token: bytes) -> tuple[bytes, bytes]:
         """The two parts whose merge forms a token."""
@@ -86,9 +88,9 @@ class Vocabulary:
             memo[token] = out
         return memo[token]
 
-    def _stay_apart(self, pair: tuple[int, int]) -> bool:
-        for made_x, x, gone_x in self._spine(pair[0], 1):
-            for made_y, y, gone_y in self._spine(pair[1], 0):
+    def _stay_apart(self, pair: int) -> bool:
+        for made_x, x, gone_x in self._spine(pair >> 20, 1):
+            for made_y, y, gone_y in self._spine(pair & 0xFFFFF, 0):
                 rank = self.ranks.get(x + y)
                 if rank is not None:
                     turn = max(rank, made_x, made_y)
@@ -98,14 +100,14 @@ class Vocabulary:
 
     def extend(self, piece: bytes, last: list[int], known: int) -> None:
         """Fills last[e], the last token of piece[:e], for known < e <= len(piece)."""
-        ranks, starts, apart, n = self.ranks, self.starts, self._apart, len(piece)
+        begun, apart, n = self.begun.get, self._apart, len(piece)
         for at in range(max(0, known - self.longest + 1), n):
-            before = last[at]
-            for end in range(at + 1, n + 1):
-                part = piece[at:end]
-                if part not in starts:
+            before = last[at] << 20
+            for end in range(max(at, known) + 1, n + 1):
+                token = begun(piece[at:end])
+                if token is None:
                     break
-                if end > known and (token := ranks.get(part)) is not None and (not at or apart[before, token]):
+                if token >= 0 > last[end] and (not at or apart[before | token]):
                     last[end] = token
 
     def back(self, last: list[int], end: int) -> list[int]:
@@ -166,13 +168,11 @@ class Encoder:
     def __init__(self, path: str, pattern: str):
         self.vocabulary = load_vocabulary(path)
         self.pieces = regex.compile(pattern).findall
-        self.memo = Memo(lambda piece: self.vocabulary.encode_piece(piece.encode()))
+        self.memo = Memo(lambda piece: array("i", self.vocabulary.encode_piece(piece.encode())).tobytes())
 
-    def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        for part in chunks(text):
-            ids.extend(chain.from_iterable(map(self.memo.__getitem__, self.pieces(part))))
-        return ids
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of a text, as 32-bit numbers."""
+        return np.frombuffer(b"".join([b"".join(map(self.memo.__getitem__, self.pieces(part))) for part in chunks(text)]), np.int32)
 
 
 #: A piece of these patterns begins at a single space between two characters that are not white space.
@@ -210,16 +210,14 @@ def _mapped(df: DataFrame, keep: list[str], column: str, out: str, kind: str, ma
     """Columns ``keep`` of df and ``out``, ``made()`` of the values of ``column``; rows cross in small batches."""
     ship(df.sparkSession)
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{column}`").alias("__in"))
-    arrow = pa.list_(pa.int32()) if kind == "array<int>" else pa.binary()
     schema = source.drop("__in").withColumn(out, F.lit(None).cast(kind)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        each = made()
+        whole = made()
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                values = pa.array([each(x) for x in part.column(len(keep))], arrow)
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], values], names=[*keep, out])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], whole(part.column(len(keep)))], names=[*keep, out])
 
     return source.mapInArrow(run, schema)
 
@@ -232,7 +230,12 @@ def encode(df: DataFrame, keep: list[str], text: str, path: str, pattern: str, o
 
     def made():
         encoder = load_encoder(path, pattern)
-        return lambda text: encoder.encode(text.as_py() or "")
+
+        def whole(texts: pa.Array) -> pa.Array:
+            ids = [encoder.encode(text.as_py() or "") for text in texts]
+            return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids)))
+
+        return whole
 
     return _mapped(df, keep, text, out, "array<int>", made)
 
@@ -241,7 +244,7 @@ def decode(df: DataFrame, keep: list[str], ids: str, path: str, out: str = "byte
     """Columns ``keep`` and the bytes that ids stand for; null ids are none, an id outside the vocabulary is an error."""
 
     def made():
-        tokens = load_vocabulary(path).tokens
-        return lambda ids: b"".join(map(tokens.__getitem__, ids.as_py() or ()))
+        token = load_vocabulary(path).tokens.__getitem__
+        return lambda rows: pa.array([b"".join(map(token, row.values.to_numpy(zero_copy_only=False).tolist())) if row.is_valid else b"" for row in rows], pa.binary())
 
     return _mapped(df, keep, ids, out, "binary", made)
