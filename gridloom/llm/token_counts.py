@@ -18,7 +18,7 @@ from gridloom.llm.bpe import chunks, load_ranks
 from gridloom.plans.lineage import ship
 
 #: Lengths of a block; sums go over blocks first, then within each.
-BLOCK = 4096
+BLOCK = 256
 
 
 @cache
