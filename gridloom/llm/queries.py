@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridloom.llm import bpe, embed_dedup, html_extract, langid, packing, quality, sharding, simhash, token_counts
+from gridloom.llm import bpe, embed_dedup, html_extract, langid, line_dedup, packing, quality, sharding, simhash, token_counts
 
 #: Where the vocabulary is on this machine; a parameter of every operator that encodes.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -22,6 +22,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"), words=3)
 
 
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = html_extract.extract(_read(spark, sf_dir, "pages"), ["page_id", "url"])
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_lines", "n_content_lines")
@@ -65,7 +69,7 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_html, op4_packing, op5_quality, op6_token_counts, op7_sharding, op8_bpe, op9_language, op10_embeddings)}
+    return {f.__name__: f for f in (op1_simhash, op2_lines, op3_html, op4_packing, op5_quality, op6_token_counts, op7_sharding, op8_bpe, op9_language, op10_embeddings)}
 
 
 def oracle_sql() -> dict[str, str]:
