@@ -31,11 +31,15 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_lines", "n_content_lines")
 
 
-def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(_read(spark, sf_dir, "documents"), "doc_id", "text", RANKS, PATTERN)
+def packed(documents: DataFrame) -> DataFrame:
+    pieces = packing.pack(documents, "doc_id", "text", RANKS, PATTERN)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(_read(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
@@ -68,8 +72,14 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_lines, op3_html, op4_packing, op5_quality, op6_token_counts, op7_sharding, op8_bpe, op9_language, op10_embeddings)}
+    return {f.__name__: f for f in (op1_simhash, op2_lines, op3_html, op4_packing, op5_quality, op6_token_counts, op7_sharding, op8_bpe, op9_language, op10_embeddings, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
