@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridloom.plans.ordering import positions
@@ -133,7 +134,6 @@ def assign_outliers(annotations: DataFrame, outlier_ids: list[str], grouping: st
 
 def casefold(c: Column) -> Column:
     """Python's casefold, which no SQL function equals; an Arrow UDF, for ids that are shown to people."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def fold(s: pd.Series) -> pd.Series:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from gridloom.plans.lineage import cut, discard
+from gridloom.plans.lineage import cut, discard, keep, scratch
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -19,6 +19,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     Direction, repetition and self loops of edges don't matter; edges with a null end are ignored.
     Nodes without an edge to another node are not returned. Raises after ``max_rounds``.
     """
+    with scratch():
+        return keep(cut(_contracted(edges, src, dst, max_rounds), "components"))
+
+
+def _contracted(edges: DataFrame, src: str, dst: str, max_rounds: int) -> DataFrame:
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a <> b")
     live = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges")
     steps: list[DataFrame] = []

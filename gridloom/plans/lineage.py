@@ -1,7 +1,8 @@
 """Cutting lineage through the folder that driver and executors share.
 
 ``cut`` writes a table below ``spark.checkpoint.dir`` and reads it back, so that later stages neither
-recompute it nor depend on blocks of one executor. Nothing here uses ``localCheckpoint``.
+recompute it nor depend on blocks of one executor. Nothing here uses ``localCheckpoint``. Tables that are
+cut inside ``scratch()`` are deleted at its end, but for those handed to ``keep``.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,12 +27,18 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/gridloom/{label}-{uuid.uuid4().hex}"
 
 
+#: The tables cut in the innermost open scratch(), by path.
+_SCRATCH: ContextVar[dict[str, DataFrame] | None] = ContextVar("scratch", default=None)
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read again: the same rows, an empty lineage."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     again = df.sparkSession.read.schema(df.schema).parquet(path)
     again._gridloom_path = path
+    if (made := _SCRATCH.get()) is not None:
+        made[path] = again
     return again
 
 
@@ -40,6 +49,29 @@ def discard(df: DataFrame) -> None:
         spark = df.sparkSession
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        if (made := _SCRATCH.get()) is not None:
+            made.pop(path, None)
+
+
+@contextmanager
+def scratch():
+    """Deletes what is cut inside when it ends; frames that are read later must be cut and kept."""
+    token = _SCRATCH.set({})
+    try:
+        yield
+    finally:
+        made = _SCRATCH.get()
+        _SCRATCH.reset(token)
+        for table in made.values():
+            discard(table)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """A frame that ``cut`` returned, handed to the scratch() around the innermost one, or to nobody."""
+    path, made = df._gridloom_path, _SCRATCH.get()
+    if made is not None:
+        made.pop(path, None)
+    return df
 
 
 def ship(spark: SparkSession) -> None:
