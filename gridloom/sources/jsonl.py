@@ -12,12 +12,19 @@ from gridloom.operators import validate
 from gridloom.operators.images import SUFFIXES
 
 #: The fields of a run's files.
-OBSERVATION = T.StructType([T.StructField(n, T.StringType()) for n in ("observation_id", "screenshot_path", "view_tree_path", "activity", "droidbot_state_str", "droidbot_structure_str")])
-TRANSITION = T.StructType.fromDDL("transition_id string, source_observation_id string, destination_observation_id string, event struct<event_type: string>, droidbot_effective string")
-ANNOTATION = T.StructType([T.StructField(n, T.StringType()) for n in ("observation_id", "cluster_id", "source")])
-DEDUP = T.StructType.fromDDL("pixel_sha256 string, observation_ids array<string>")
-REVIEW = T.StructType.fromDDL("cluster_id string, observation_ids array<string>, incorrect_observation_ids array<string>, status string")
-LEGACY = T.StructType([T.StructField(n, T.StringType()) for n in ("observation_id", "auto_cluster_id", "baseline")])
+_TEXT, _TEXTS = T.StringType(), T.ArrayType(T.StringType())
+
+
+def _record(*names: str, **kinds: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(n, _TEXT) for n in names] + [T.StructField(n, k) for n, k in kinds.items()])
+
+
+OBSERVATION = _record("observation_id", "screenshot_path", "view_tree_path", "activity", "droidbot_state_str", "droidbot_structure_str")
+TRANSITION = _record("transition_id", "source_observation_id", "destination_observation_id", "droidbot_effective", event=_record("event_type"))
+ANNOTATION = _record("observation_id", "cluster_id", "source")
+DEDUP = _record("pixel_sha256", observation_ids=_TEXTS)
+REVIEW = _record("cluster_id", observation_ids=_TEXTS, incorrect_observation_ids=_TEXTS, status=_TEXT)
+LEGACY = _record("observation_id", "auto_cluster_id", "baseline")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
