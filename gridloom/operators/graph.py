@@ -40,3 +40,11 @@ def group_by(observations: DataFrame, field: str) -> DataFrame:
 def restrict(annotations: DataFrame, representatives: DataFrame) -> DataFrame:
     """Annotations of the given observations."""
     return annotations.join(representatives.select("observation_id"), "observation_id", "left_semi")
+
+
+def zip_strict(a: DataFrame, b: DataFrame, place: str) -> DataFrame:
+    """a and b side by side, by place; an error where only one of them has a row."""
+    both = a.withColumn("__a", F.lit(True)).join(b.withColumn("__b", F.lit(True)), place, "full")
+    paired = F.col("__a") & F.col("__b")
+    checked = F.when(F.coalesce(paired, F.lit(False)), F.col(place)).otherwise(F.raise_error(F.lit("Both sides must be equally long")).cast(dict(a.dtypes)[place]))
+    return both.withColumn(place, checked).drop("__a", "__b")

@@ -71,3 +71,24 @@ def batch_loss(cells: DataFrame, sample: str, logit: str, target: str, weight: f
 def validation_loss(batches: DataFrame) -> DataFrame:
     """One row: batch losses weighted by batch size. batches has (loss, n)."""
     return batches.agg((F.sum(F.col("loss") * F.col("n")) / F.sum("n")).alias("loss"))
+
+
+def sample_targets(screens: DataFrame, shrink: float, tile: int, keys: list[str]) -> DataFrame:
+    """(keys, tile_idx, row, col, clickable, scrollable): the targets of shrunk screens, tiles row by row.
+
+    screens has (keys, width, height, clickable_elements, scrollable_elements), the elements as arrays
+    of structs with a bbox; null is none. Boxes are clamped to the screen and shrunk with it.
+    """
+    size = lambda c: F.greatest(F.lit(1), F.bround(F.col(c) * F.lit(float(shrink))).cast("int"))
+    shown = screens.select(*keys, size("width").alias("width"), size("height").alias("height"))
+    out = None
+    for name in ("clickable", "scrollable"):
+        boxes = screens.select(*keys, "width", "height", F.explode(f"{name}_elements.bbox").alias("bbox"))
+        sides = clamp_boxes(boxes).select(
+            *keys, size("width").alias("w"), size("height").alias("h"), *[(F.col(c) * (size(s) / F.col(s))).alias(c) for c, s in (("x1", "width"), ("y1", "height"), ("x2", "width"), ("y2", "height"))]
+        )
+        covered = box_tiles(sides.withColumnsRenamed({"w": "width", "h": "height"}), tile, keys)
+        mask = tile_mask(shown, covered, tile, keys).withColumnRenamed("label", name)
+        out = mask if out is None else out.join(mask, [*keys, "row", "col"])
+    across = shown.select(*keys, F.floor(F.col("width") / tile).cast("int").alias("across"))
+    return out.join(across, keys).select(*keys, (F.col("row") * F.col("across") + F.col("col")).alias("tile_idx"), "row", "col", "clickable", "scrollable")

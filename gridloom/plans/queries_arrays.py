@@ -159,6 +159,28 @@ def tile_mask_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.tile_mask(shown, tiles.box_tiles(boxes, 16, ["image"]), 16, ["image"]).groupBy("image").agg(F.count("label").alias("tiles"))
 
 
+def _raw_boxes(kind: str) -> str:
+    return f"""SELECT l_orderkey AS image, greatest(0, least(432, ((l_partkey * 7) % 500 - 20)::DOUBLE)) * (216/432) AS x1, greatest(0, least(768, ((l_suppkey * 13) % 800 - 10)::DOUBLE)) * (384/768) AS y1,
+      greatest(0, least(432, ((l_partkey * 7) % 500 - 20 + l_quantity * 3)::DOUBLE)) * (216/432) AS x2, greatest(0, least(768, ((l_suppkey * 13) % 800 - 10 + l_linenumber * 9)::DOUBLE)) * (384/768) AS y2 FROM lineitem WHERE l_orderkey % 32 = 0 AND l_linestatus = '{kind}'"""
+
+
+_COVER = """SELECT DISTINCT image, r.y::INT AS y, q.x::INT AS x FROM (SELECT image, CASE WHEN w THEN fx1 ELSE tx1 END AS a, CASE WHEN w THEN fx2 ELSE tx2 END AS b, CASE WHEN w THEN fy1 ELSE ty1 END AS c, CASE WHEN w THEN fy2 ELSE ty2 END AS d FROM
+  (SELECT *, fx1 < fx2 AND fy1 < fy2 AS w FROM (SELECT image, ceil(x1/16) AS fx1, ceil(y1/16) AS fy1, least(13, floor(x2/16)) AS fx2, least(24, floor(y2/16)) AS fy2, floor(x1/16) AS tx1, floor(y1/16) AS ty1, least(13, ceil(x2/16)) AS tx2, least(24, ceil(y2/16)) AS ty2 FROM ({boxes})))),
+  range(24) r(y), range(13) q(x) WHERE r.y >= c AND r.y < d AND q.x >= a AND q.x < b"""
+
+
+@query(f"""WITH im AS (SELECT DISTINCT l_orderkey AS image FROM lineitem WHERE l_orderkey % 32 = 0), ca AS ({_COVER.format(boxes=_raw_boxes('F'))}), cb AS ({_COVER.format(boxes=_raw_boxes('O'))}),
+  g AS (SELECT image, r.y::INT AS y, q.x::INT AS x FROM im, range(24) r(y), range(13) q(x))
+  SELECT g.image, (g.y * 13 + g.x)::INT AS tile_idx, g.y AS "row", g.x AS col, (ca.image IS NOT NULL)::INT AS clickable, (cb.image IS NOT NULL)::INT AS scrollable FROM g LEFT JOIN ca ON ca.image = g.image AND ca.y = g.y AND ca.x = g.x LEFT JOIN cb ON cb.image = g.image AND cb.y = g.y AND cb.x = g.x""")
+def sample_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = A.read(spark, sf_dir, "lineitem").where("l_orderkey % 32 = 0")
+    x, y = (F.col("l_partkey") * 7) % 500 - 20, (F.col("l_suppkey") * 13) % 800 - 10
+    box = F.struct(F.array(*[c.cast("double") for c in (x, y, x + F.col("l_quantity") * 3, y + F.col("l_linenumber") * 9)]).alias("bbox"))
+    of = lambda kind: F.collect_list(F.when(F.col("l_linestatus") == kind, box))
+    shown = li.groupBy(F.col("l_orderkey").alias("image")).agg(of("F").alias("clickable_elements"), of("O").alias("scrollable_elements")).withColumns({"width": F.lit(432), "height": F.lit(768)})
+    return tiles.sample_targets(shown, 0.5, 16, ["image"])
+
+
 @query("""WITH s AS (SELECT conv_id, count(*) AS turns FROM conversations GROUP BY conv_id) SELECT conv_id, turns, min(conv_id) OVER (PARTITION BY turns) AS first_idx, ((row_number() OVER (PARTITION BY turns ORDER BY conv_id) - 1) // 8)::BIGINT AS chunk FROM s""")
 def ragged_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = A.read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"))

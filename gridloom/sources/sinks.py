@@ -124,3 +124,14 @@ def resumable(inputs: DataFrame, done: DataFrame, key: str, work) -> tuple[DataF
     """
     made = cut(work(inputs.join(done.select(key), key, "left_anti")), "resumable")
     return made.where("error IS NULL").drop("error"), made.where("error IS NOT NULL").select(key, "error")
+
+
+def write_feature_manifest(path: str, run_id: str, extractor: str, model: str, patch_size: int, selected: DataFrame, observations: DataFrame, checkpoint: str | None = None) -> str:
+    """What features were made by, of how many observations of how many."""
+    return write_json(
+        {
+            "run_id": run_id, "extractor": extractor, "model_name": model, "grounding_checkpoint": os.path.realpath(checkpoint) if checkpoint else None, "native_resolution": True,
+            "patch_size": patch_size, "observation_count": selected.count(), "dataset_observation_count": observations.count(),
+        },
+        path,
+    )

@@ -534,3 +534,19 @@ def test_images():
     for bad in (dict(tile=0), dict(opacity=2.0), dict(probabilities=np.zeros((9, 9)))):
         with pytest.raises(ValueError):
             images.overlay(**({"image": np.zeros((3, 5, 5)), "probabilities": np.zeros((2, 2)), "tile": 2, "opacity": 1.0} | bad))
+
+
+def test_zip_and_dimensions(spark):
+    a = spark.createDataFrame([(0, "x"), (1, "y")], "k long, a string")
+    assert graph.zip_strict(a, a.withColumnRenamed("a", "b"), "k").count() == 2
+    with pytest.raises(Exception, match="equally long"):
+        graph.zip_strict(a, a.limit(1).withColumnRenamed("a", "b"), "k").collect()
+    with pytest.raises(ValueError, match="dimensions must match"):
+        distances(spark, [((1, 0), 0.9, 0.9)], [((1, 0, 0), 0.9, 0.9)])
+
+
+def test_sample_targets(spark):
+    schema = "image long, width int, height int, clickable_elements array<struct<bbox: array<double>>>, scrollable_elements array<struct<bbox: array<double>>>"
+    screen = spark.createDataFrame([(0, 64, 64, [([0.0, 0.0, 64.0, 32.0],)], None)], schema)
+    rows = tiles.sample_targets(screen, 0.5, 16, ["image"]).orderBy("tile_idx").collect()
+    assert [(r.tile_idx, r.clickable, r.scrollable) for r in rows] == [(0, 1, 0), (1, 1, 0), (2, 0, 0), (3, 0, 0)]
