@@ -83,7 +83,8 @@ def outliers_to_singletons(annotations: DataFrame, outliers: DataFrame) -> DataF
     """
     _unknown(annotations, outliers)
     chosen = outliers.select("observation_id").distinct().withColumn("__out", F.lit(True))
-    sized = annotations.withColumn("__size", F.count("*").over(Window.partitionBy("cluster_id"))).join(chosen, "observation_id", "left")
+    sizes = annotations.groupBy(F.col("cluster_id").alias("__cluster")).agg(F.count("*").alias("__size"))
+    sized = annotations.join(chosen, "observation_id", "left").join(sizes, F.col("cluster_id") == F.col("__cluster"), "left")
     moves = F.col("__out") & F.col("cluster_id").isNotNull() & (F.col("__size") > 1)
     base = F.concat("cluster_id", F.lit("__outlier_"), F.substring(F.sha2(F.encode("observation_id", "UTF-8"), 256), 1, 12))
     wanted = sized.withColumn("__base", F.when(moves, base))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from gridloom.plans.ordering import places
 
 
 def clamp_boxes(boxes: DataFrame) -> DataFrame:
@@ -45,9 +47,9 @@ def ragged_chunks(samples: DataFrame, length: str, order: str, size: int) -> Dat
     """samples with first_idx (of the group of equal length) and chunk: runs of up to ``size`` samples of one length, in order."""
     if size < 1:
         raise ValueError("sub_batch_size must be positive.")
-    group = Window.partitionBy(length)
-    place = F.row_number().over(group.orderBy(order)) - 1
-    return samples.withColumns({"first_idx": F.min(order).over(group), "chunk": F.floor(place / size).cast("long")})
+    firsts = samples.groupBy(F.col(length).alias("__length")).agg(F.min(order).alias("first_idx"))
+    placed = places(samples, [length], [order], "__pos", "__n").join(firsts, F.col(length).eqNullSafe(F.col("__length")))
+    return placed.withColumn("chunk", F.floor(F.col("__pos") / size).cast("long")).select(*[F.col(f"`{c}`") for c in samples.columns], "first_idx", "chunk")
 
 
 def bce_term(x: Column, y: Column, weight: float | None = None, pos_weight: float | None = None) -> Column:

@@ -10,6 +10,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gridloom.plans.ordering import previous
+
 COLUMNS = ("priority", "ord", "rule", "key", "message")
 #: Names of annotation fields that are no longer allowed.
 ABANDONED_FIELDS = ("auto_cluster_id", "manual_functional_state_label", "manual_substate_label")
@@ -77,8 +79,10 @@ def transition_violations(observations: DataFrame, transitions: DataFrame) -> Da
     ids = observations.select(F.col("observation_id").alias("__id")).distinct()
     t = _repeats(transitions, "transition_id", "trans_idx")
     name = F.col("transition_id")
-    before = Window.partitionBy(*[c for c in ("run_id",) if c in transitions.columns]).orderBy("trans_idx")
-    path = transitions.withColumn("__before", F.lag("destination_observation_id").over(before))
+    run = F.col("run_id") if "run_id" in transitions.columns else F.lit(0)
+    path = transitions.select(run.alias("__run"), "trans_idx", "transition_id", "source_observation_id", "destination_observation_id")
+    path = previous(path, ["__run", "trans_idx"], F.struct("__run", F.col("destination_observation_id").alias("end")), "__last")
+    path = path.withColumn("__before", F.when(F.col("__last.__run").eqNullSafe(F.col("__run")), F.col("__last.end")))
     out = [
         violation(transitions, _blank("transition_id"), 30, "transition_id", F.lit("Every transition needs a transition_id"), "trans_idx", F.col("trans_idx")),
         violation(t, F.col("__again") & ~_blank("transition_id"), 30, "transition_unique", F.concat(F.lit("Duplicate transition ID: "), name), "trans_idx", name),
@@ -135,7 +139,7 @@ def dedup_violations(observations: DataFrame, groups: DataFrame) -> DataFrame:
     members = groups.select("group_idx", F.posexplode("observation_ids").alias("pos", "observation_id")).join(order, "observation_id", "left")
     seen = _repeats(members.withColumn("__o", F.struct("group_idx", "pos")), "observation_id", "__o")
     inside = members.withColumn("__before", F.lag("obs_idx").over(Window.partitionBy("group_idx").orderBy("pos")))
-    first = members.where("pos = 0").withColumn("__before", F.lag("obs_idx").over(Window.orderBy("group_idx")))
+    first = previous(members.where("pos = 0"), ["group_idx"], F.col("obs_idx"), "__before")
     key = F.col("observation_id")
     out = [
         violation(groups, ~F.coalesce(F.col("pixel_sha256").rlike("^[0-9a-f]{64}$"), F.lit(False)), 50, "digest", F.lit("Invalid pixel_sha256"), "group_idx", F.col("group_idx")),

@@ -33,3 +33,27 @@ def running(df: DataFrame, order: list, sums: dict) -> DataFrame:
 def positions(df: DataFrame, order: list, name: str) -> DataFrame:
     """df with the row's place in the given order, from 0."""
     return running(df, order, {name: F.lit(1).cast("long")}).withColumn(name, F.col(name) - 1)
+
+
+def places(df: DataFrame, keys: list[str], order: list[str], place: str, size: str) -> DataFrame:
+    """df with the row's place in its group, from 0, and the group's size; a hot group is ranked by several tasks.
+
+    Rows are numbered over the whole table, by group and order; a group's place is what lies before its first.
+    """
+    numbered = positions(df, [*keys, *order], "__at")
+    groups = numbered.groupBy(*[F.col(k).alias(f"__g{i}") for i, k in enumerate(keys)]).agg(F.min("__at").alias("__first"), F.count("*").alias(size))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__g{i}"))
+    out = numbered.join(groups, same).withColumn(place, F.col("__at") - F.col("__first"))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], place, size)
+
+
+def previous(df: DataFrame, order: list[str], value, name: str) -> DataFrame:
+    """df with the value of the row before it in the given order, over the whole table; null for the first."""
+    ranged = cut(df.withColumn("__v", value).repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranged")
+    ends = ranged.groupBy("__part").agg(F.max_by("__v", F.struct(*order)).alias("__end"))
+    ends = ends.select(F.col("__part").alias("__of"), F.lag("__end").over(Window.orderBy("__part")).alias("__end"))
+    within = Window.partitionBy("__part").orderBy(*order)
+    out = ranged.withColumns({"__n": F.row_number().over(within), "__l": F.lag("__v").over(within)}).join(ends, F.col("__part") == F.col("__of"))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], F.when(F.col("__n") == 1, F.col("__end")).otherwise(F.col("__l")).alias(name))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import cluster, curate, dedup, evaluate, features, graph, images, linkage, similarity, tiles, validate
 from gridloom.plans.components import connected_components
-from gridloom.plans.ordering import positions, running
+from gridloom.plans.ordering import places, positions, previous, running
 
 
 def logit(p):
@@ -247,6 +247,18 @@ def test_running(spark):
     assert sorted(r.p for r in positions(df, [F.desc("k")], "p").collect()) == list(range(1000))
 
 
+def test_places_and_previous(spark):
+    df = spark.range(500).selectExpr("(id * 7919) % 500 AS k", "CASE WHEN id % 3 > 0 THEN 'hot' WHEN id % 5 > 0 THEN 'b' END AS g")
+    want = {}
+    for r in sorted(df.collect()):
+        want.setdefault(r.g, []).append(r.k)
+    got = places(df, ["g"], ["k"], "p", "n").collect()
+    assert {(r.g, r.k): (r.p, r.n) for r in got} == {(g, k): (p, len(ks)) for g, ks in want.items() for p, k in enumerate(ks)}
+    before = sorted((r.k, r.b) for r in previous(df, ["k"], F.col("g"), "b").collect())
+    ordered = sorted(df.collect())
+    assert before == [(r.k, ordered[i - 1].g if i else None) for i, r in enumerate(ordered)]
+
+
 # --- deduplication and samples --------------------------------------------------------------------
 
 
