@@ -32,7 +32,6 @@ def _contracted(edges: DataFrame, src: str, dst: str, max_rounds: int) -> DataFr
             break
         both = live.union(live.select("b", "a"))
         low = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("up"))
-        low = cut(low, "cc-low")
         far = low.select(F.col("node").alias("up"), F.col("up").alias("up2"))
         step = cut(low.join(far, "up").select("node", F.col("up2").alias("root")), "cc-step")
         steps.append(step)
@@ -41,7 +40,6 @@ def _contracted(edges: DataFrame, src: str, dst: str, max_rounds: int) -> DataFr
         moved = live.join(left, "a").join(right, "b").where("ra <> rb")
         after = cut(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "cc-edges")
         discard(live)
-        discard(low)
         live = after
     else:
         if not live.isEmpty():

@@ -34,7 +34,7 @@ _SCRATCH: ContextVar[dict[str, DataFrame] | None] = ContextVar("scratch", defaul
 def cut(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read again: the same rows, an empty lineage."""
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)  # snappy's buffers lie outside the heap until some later collection
     again = df.sparkSession.read.schema(df.schema).parquet(path)
     again._gridloom_path = path
     if (made := _SCRATCH.get()) is not None:
@@ -74,9 +74,17 @@ def keep(df: DataFrame) -> DataFrame:
     return df
 
 
+#: Rows that cross to Python at a time, where the session leaves Spark's default of 10,000: rows here hold whole texts.
+BATCH_ROWS = "2000"
+
+
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver found it."""
+    """Lets Python workers import this package from where the driver found it, and keeps what they hold at a time small."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")  # it hands freed memory back
+    env.setdefault("MALLOC_ARENA_MAX", "2")
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
