@@ -3,12 +3,16 @@
 A line's normal form is its words (runs of letters and digits), lower-cased. Lines of equal normal form
 are merged first by a hash of it. A 63-bit SimHash of the words cuts into three blocks of 21 bits; two
 lines within two bits agree on a block (pigeonhole), so lines are joined on blocks, pairs beyond two bits
-go, and the rest are verified by edit similarity of their normal forms. Connected lines form a class, of
-which the first occurrence, by document id and line number, is kept.
+go, and the rest are verified by edit similarity over words. Connected lines form a class, of which the
+first occurrence, by document id and line number, is kept.
 
-SimHash votes are counted for several bits at once, in lanes of one BIGINT: lanes of 9 bits for lines of
-up to 255 words, of 21 bits for up to a million, of 63 bits beyond. Adding a constant to every lane
-carries into the lane's top bit exactly where the count is a majority.
+SimHash votes are counted for three bits at once, in lanes of 21 bits of one BIGINT sum over the words.
+Adding a constant to every lane carries into the lane's top bit exactly where the count is a majority.
+
+Within a block, lines next to each other in the order of their prints are verified first; that joins up
+most of a dense group of near copies. Only lines that are still in different classes are then joined with
+one another, so every candidate pair is either verified or in one class already, and a group of n near
+copies doesn't make n * n pairs.
 
 Only numbers are shuffled to find classes. Texts are fetched for the candidates alone, and once more to
 rebuild documents that lose lines.
@@ -16,14 +20,17 @@ rebuild documents that lose lines.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridloom.plans.components import connected_components
-from gridloom.plans.lineage import cut
+from gridloom.plans.lineage import cut, keep, scratch
 
-SIMILARITY = 0.9
+SIMILARITY = 0.8
 BITS = 2
 _BLOCK = 21
+_LANES = 1 | 1 << 21 | 1 << 42
+_MOST = (1 << 20) - 1  # words that a lane can count; longer lines are counted bit by bit
+_NEIGHBOURS = 3
 _WORDS = r"[^\p{L}\p{N}]+"
 
 
@@ -39,65 +46,112 @@ def line_words(line: Column) -> Column:
     return F.array_remove(F.split(F.lower(line), _WORDS), "")
 
 
-def _majorities(hashes: Column, n: Column, width: int) -> Column:
-    """The bits set in over half of the hashes, counted in lanes of ``width`` bits."""
-    ones = sum(1 << at for at in range(0, 63, width))
-    lift = ((F.lit(1 << (width - 1)) - F.floor(n / 2) - 1) * F.lit(ones)).cast("long")
+def _lane(h: Column, k: int) -> Column:
+    return F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_LANES))
 
-    def lane(k: int) -> Column:
-        votes = F.aggregate(hashes, F.lit(0).cast("long"), lambda total, h: total + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(ones)))
-        return F.shiftleft(F.shiftrightunsigned(votes + lift, width - 1).bitwiseAND(F.lit(ones)), k)
 
-    out = lane(0)
-    for k in range(1, width):
-        out = out.bitwiseOR(lane(k))
+def _bit_by_bit(words: Column) -> Column:
+    """simhash of one array of words, a bit at a time."""
+    hashes, out = F.transform(words, lambda w: F.xxhash64(w)), F.lit(0).cast("long")
+    for k in range(63):
+        votes = F.size(F.filter(hashes, lambda h: F.shiftrightunsigned(h, k).bitwiseAND(F.lit(1)) == 1))  # noqa: B023  called at once
+        out = out.bitwiseOR(F.when(2 * votes > F.size(words), F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
     return out
 
 
-def simhash(hashes: Column) -> Column:
-    """63-bit SimHash of an array of 64-bit hashes, repeats included; a bit is set if it is in over half of them."""
-    n = F.size(hashes)
-    return F.when(n <= 255, _majorities(hashes, n, 9)).when(n < 1 << 20, _majorities(hashes, n, 21)).otherwise(_majorities(hashes, n, 63))
+def _lines(df: DataFrame, doc: str, text: str) -> DataFrame:
+    """(doc, pos, line) of all lines."""
+    return df.select(F.col(f"`{doc}`").alias("doc"), F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("pos", "line"))
 
 
-def line_table(df: DataFrame, doc: str, text: str) -> DataFrame:
-    """(at: id and line number, k1, k2, print) of all lines with a word."""
-    lines = df.select(F.col(f"`{doc}`").alias("doc"), F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("pos", "line"))
-    hashed = _materialised(lines.select("doc", "pos", F.transform(line_words(F.col("line")), lambda w: F.xxhash64(w)).alias("raw")).where(F.size("raw") > 0), words=F.col("raw"))
-    return hashed.select(F.struct("doc", "pos").alias("at"), F.xxhash64("words").alias("k1"), F.xxhash64(F.size("words"), "words").alias("k2"), simhash(F.col("words")).alias("print"))
+def _probed(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """lines that may be among wanted (at), and few others, found as they are read: nothing is shuffled for it.
+
+    A bitmap of 2^26 bits, sent as at most 2^20 words of 64 bits, 16 MB whatever the tables' sizes.
+    """
+    spot = lambda *at: F.xxhash64(*at).bitwiseAND(F.lit((1 << 26) - 1))
+    marks = wanted.select(spot("at.doc", "at.pos").alias("h")).groupBy(F.shiftright("h", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits"))
+    at = lines.withColumn("h", spot("doc", "pos")).withColumn("word", F.shiftright("h", 6))
+    return at.join(F.broadcast(marks), "word").where(F.expr("shiftrightunsigned(bits, cast(h & 63 as int)) & 1 = 1")).select("doc", "pos", "line")
 
 
-def _candidates(lines: DataFrame) -> DataFrame:
-    """(a, b) of all lines whose prints differ in at most BITS bits, a before b."""
+def line_table(df: DataFrame, doc: str, text: str) -> DataFrame:
+    """(at: id and line number, k1: a hash of the normal form, n: its words, print) of all lines with a word.
+
+    print is the 63-bit SimHash of the words' hashes, repeats included: a bit is set if it is in over half of them.
+    """
+    worded = _materialised(_lines(df, doc, text).select("doc", "pos", line_words(F.col("line")).alias("raw")), words=F.col("raw")).where(F.size("words") > 0)
+    n = F.size("words")
+    keyed = worded.select("doc", "pos", F.xxhash64("words").alias("k1"), F.when(n > _MOST, _bit_by_bit(F.col("words"))).alias("long_print"), F.when(n <= _MOST, F.col("words")).alias("words"))
+    hashes = keyed.select("doc", "pos", "k1", "long_print", F.explode_outer("words").alias("word")).withColumn("h", F.xxhash64("word"))
+    votes = hashes.groupBy("doc", "pos", "k1").agg(F.count("*").alias("n"), F.max("long_print").alias("long_print"), *[F.sum(_lane(F.col("h"), k)).alias(f"v{k}") for k in range(21)])
+    lift = (F.lit(1 << 20) - F.floor(F.col("n") / 2) - 1) * F.lit(_LANES)
+    found = F.lit(0).cast("long")
+    for k in range(21):
+        found = found.bitwiseOR(F.shiftleft(_lane(F.col(f"v{k}") + lift, 20), k))
+    return votes.select(F.struct("doc", "pos").alias("at"), "k1", "n", F.when(F.col("long_print").isNotNull(), F.col("long_print")).otherwise(found).alias("print"))
+
+
+def _blocks(lines: DataFrame) -> DataFrame:
+    """A row per line and block of its print."""
     blocks = F.array(*[F.shiftrightunsigned("print", _BLOCK * k).bitwiseAND(F.lit((1 << _BLOCK) - 1)).bitwiseOR(F.lit(k << _BLOCK)) for k in range(3)])
-    rows = lines.select("at", "print", F.explode(blocks).alias("block"))
-    a, b = rows.select(F.col("at").alias("a"), F.col("print").alias("pa"), "block"), rows.select(F.col("at").alias("b"), F.col("print").alias("pb"), "block")
-    return a.join(b, (a["block"] == b["block"]) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= BITS)).select("a", "b").distinct()
+    return lines.select("*", F.explode(blocks).alias("block"))
+
 
+def _near(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= BITS
 
-def similar_lines(df: DataFrame, lines: DataFrame, doc: str, text: str, similarity: float) -> DataFrame:
-    """(src, dst) of candidate lines whose normal forms are at least ``similarity`` alike: 1 - edit distance / longer length."""
-    pairs = cut(_candidates(lines), "line-pairs")
+
+def _neighbours(lines: DataFrame) -> DataFrame:
+    """(a, b) of lines within BITS bits that are next to each other, up to three apart, in a block's order of prints."""
+    order = Window.partitionBy("block").orderBy("print", "at")
+    rows = _blocks(lines).select("at", "print", *[F.lag(F.struct("at", "print"), k).over(order).alias(f"l{k}") for k in range(1, _NEIGHBOURS + 1)])
+    before = rows.select("at", "print", F.explode(F.array(*[f"l{k}" for k in range(1, _NEIGHBOURS + 1)])).alias("l")).where(F.col("l").isNotNull() & _near("print", "l.print"))
+    return before.select(F.least("at", "l.at").alias("a"), F.greatest("at", "l.at").alias("b")).distinct()
+
+
+def _across(lines: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b) of all lines within BITS bits that aren't in one class yet."""
+    classed = lines.select("at", "print").join(roots.withColumnRenamed("node", "at"), "at", "left").withColumn("root", F.coalesce("root", "at"))
+    rows = _blocks(classed)
+    a, b = (rows.select(*[F.col(c).alias(f"{c}_{side}") for c in ("at", "print", "root")], "block") for side in "ab")
+    met = a.join(b, (a["block"] == b["block"]) & (F.col("at_a") < F.col("at_b")) & _near("print_a", "print_b") & (F.col("root_a") != F.col("root_b")))
+    return met.select(F.col("at_a").alias("a"), F.col("at_b").alias("b")).distinct()
+
+
+def similar_lines(df: DataFrame, pairs: DataFrame, doc: str, text: str, similarity: float) -> DataFrame:
+    """(src, dst) of the pairs (a, b) whose lines are at least ``similarity`` alike: 1 - edits / words of the longer, an edit being a word.
+
+    The distance is taken between strings with one character per word, from an alphabet of 54,528 by the
+    word's hash; two different words are the same character once in as many pairs.
+    """
+    pairs = cut(pairs, "line-pairs")
     wanted = pairs.select(F.col("a").alias("at")).union(pairs.select("b")).distinct()
-    docs = df.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{text}`").alias("text")).join(wanted.select("at.doc").distinct().withColumnRenamed("doc", "d"), F.col("doc").eqNullSafe(F.col("d")), "left_semi")
-    found = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select(F.struct("doc", "pos").alias("at"), "line").join(wanted, "at", "left_semi")
-    form = found.groupBy("at").agg(F.first("line").alias("line")).select("at", F.array_join(line_words(F.col("line")), " ").alias("form"))
-    form = cut(form, "line-forms")
+    found = _probed(_lines(df, doc, text), wanted).select(F.struct("doc", "pos").alias("at"), "line").join(wanted, "at", "left_semi")
+    letters = F.transform(line_words(F.col("line")), lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(0xD500)) + 0x0300), 4, "0"))
+    form = cut(found.groupBy("at").agg(F.min("line").alias("line")).select("at", F.decode(F.unhex(F.array_join(letters, "")), "UTF-16BE").alias("form")), "line-forms")
     both = pairs.join(form.select(F.col("at").alias("a"), F.col("form").alias("fa")), "a").join(form.select(F.col("at").alias("b"), F.col("form").alias("fb")), "b")
-    # the distance must stay within what the similarity leaves; beyond it, Spark stops early and returns -1
     longer = F.greatest(F.char_length("fa"), F.char_length("fb"))
-    steps = _materialised(both.withColumn("most", F.floor(longer * (1 - similarity) + 1e-9).cast("int")), near=F.expr("levenshtein(fa, fb)" if similarity <= 0 else "abs(char_length(fa) - char_length(fb)) <= most AND levenshtein(fa, fb) <= most"))
-    return steps.where("near").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    both = both.withColumn("most", F.floor(longer * (1 - similarity) + 1e-9).cast("int"))
+    near = F.expr("levenshtein(fa, fb, most)")  # stops beyond the threshold, with -1
+    return both.where((F.abs(F.char_length("fa") - F.char_length("fb")) <= F.col("most")) & (near >= 0)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
 def removed_lines(df: DataFrame, doc: str, text: str, similarity: float) -> DataFrame:
-    """(doc, removed: line numbers) of documents with lines that aren't the first of their class."""
-    table = cut(line_table(df, doc, text), "line-table")
-    lines = cut(table.groupBy("k1", "k2").agg(F.min("at").alias("at"), F.first("print").alias("print")), "line-distinct")
-    roots = connected_components(similar_lines(df, lines, doc, text, similarity))
-    merged = roots.where("node <> root").select(F.col("node").alias("at"))
-    first = lines.join(merged, "at", "left_anti").select("at")  # of classes; every other occurrence goes
-    return table.select("at").distinct().join(first, "at", "left_anti").groupBy(F.col("at.doc").alias("rdoc")).agg(F.collect_list("at.pos").alias("removed"))
+    """(__rdoc, __removed: line numbers) of documents with lines that aren't the first of their class."""
+    with scratch():
+        table = cut(line_table(df, doc, text), "line-table")
+        lines = cut(table.groupBy("k1", "n", "print").agg(F.min("at").alias("at")), "line-distinct")  # of one normal form, but for 127 bits of hashes
+        near = connected_components(similar_lines(df, _neighbours(lines), doc, text, similarity))
+        across = similar_lines(df, _across(lines, near), doc, text, similarity)
+        # the links across classes, between the classes' first lines
+        to_root = lambda end: near.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+        between = across.join(to_root("src"), "src", "left").join(to_root("dst"), "dst", "left").select(F.coalesce("src_root", "src").alias("src"), F.coalesce("dst_root", "dst").alias("dst"))
+        classes = connected_components(between)
+        later = near.where("node <> root").select("node").union(classes.where("node <> root").select("node")).select(F.col("node").alias("at"))
+        first = lines.join(later, "at", "left_anti").select("at")  # of classes; every other occurrence goes
+        gone = table.select("at").join(first, "at", "left_anti").groupBy(F.col("at.doc").alias("__rdoc")).agg(F.collect_set("at.pos").alias("__removed"))
+        return keep(cut(gone, "line-removed"))
 
 
 def dedup_lines(df: DataFrame, doc: str = "doc_id", text: str = "text", *, similarity: float = SIMILARITY) -> DataFrame:
@@ -106,17 +160,17 @@ def dedup_lines(df: DataFrame, doc: str = "doc_id", text: str = "text", *, simil
     Of every class of alike lines the first occurrence stays, in the document with the smallest id
     (null ids first), in its first place. Lines without a letter or digit stay. A null text stays null,
     an empty one empty; a document may end up empty. Rows that share an id are one document: they lose
-    the same lines. An empty table gives no rows. Other columns are kept as they are.
+    the same lines. An empty table gives no rows. Other columns are kept as they are, but for those of the two new names.
     """
     removed = removed_lines(df, doc, text, similarity)
     key = F.col(f"`{doc}`")
-    joined = df.join(removed.hint("shuffle_hash"), key.eqNullSafe(F.col("rdoc")), "left").drop("rdoc")
+    joined = df.join(removed.hint("shuffle_hash"), key.eqNullSafe(F.col("__rdoc")), "left").drop("__rdoc")
     joined = _materialised(joined, __lines=F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n"))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "removed")
-    joined = _materialised(joined, __stay=F.when(F.col("removed").isNotNull(), stay))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__removed")
+    joined = _materialised(joined, __stay=F.when(F.col("__removed").isNotNull(), stay))
     after = F.array_join(F.transform("__stay", lambda at: F.element_at("__lines", at + 1)), "\n")
     gone = F.coalesce(F.size("__lines") - F.size("__stay"), F.lit(0))
     return joined.select(
-        *[(F.when(F.col("removed").isNull(), F.col(f"`{c}`")).otherwise(after) if c == text else F.col(f"`{c}`")).alias(c) for c in df.columns],
+        *[(F.when(F.col("__removed").isNull(), F.col(f"`{c}`")).otherwise(after) if c == text else F.col(f"`{c}`")).alias(c) for c in df.columns if c.lower() not in ("n_lines_kept", "n_lines_removed")],
         F.when(F.col(f"`{text}`").isNull(), 0).otherwise(F.size("__lines") - gone).cast("long").alias("n_lines_kept"), gone.cast("long").alias("n_lines_removed"),
     )
