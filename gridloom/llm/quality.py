@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gridloom.plans.lineage import cut, ship
+from gridloom.plans.lineage import ship
 
 #: Most labelled rows that a fit uses.
 SAMPLE = 20_000
@@ -86,8 +86,9 @@ def text_counts(raw: bytes | None) -> tuple[int, ...]:
 
 
 def with_counts(df: DataFrame, keep: list[str], text: str) -> DataFrame:
-    """Columns ``keep`` of df and the counts of every whole text."""
+    """Columns ``keep`` of df and the counts of every whole text; kept columns of the counts' names give way to them."""
     ship(df.sparkSession)
+    keep = [c for c in keep if c.lower() not in COUNTS]
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("binary").alias("__text"))
     schema = source.drop("__text")
     for name in COUNTS:
@@ -187,11 +188,13 @@ def fit_forest(x: np.ndarray, y: np.ndarray, signs: list[int], *, trees: int = 4
     return Forest(feature, threshold, left, right, value, np.array(roots), base, depth)
 
 
-def fit(counts: DataFrame, labels: DataFrame, doc: str, label_doc: str, label: str, sample: int = SAMPLE) -> Forest | None:
-    """A forest from at most ``sample`` labelled rows; none if the labels don't have both classes."""
-    marked = labels.where(F.col(label).isin(0, 1)).select(F.col(label_doc).alias("__doc"), F.col(label).alias("__label"))
-    rows = counts.join(marked, F.col(doc) == F.col("__doc")).select(F.xxhash64(doc).alias("__order"), "__label", *COUNTS)
-    got = rows.orderBy("__order", "__label", *COUNTS).limit(sample).toPandas()
+def fit(df: DataFrame, labels: DataFrame, doc: str, text: str, label: str, sample: int = SAMPLE) -> Forest | None:
+    """A forest from the texts of at most ``sample`` labelled rows; none if their labels don't have both classes."""
+    marked = labels.where(F.col(label).isin(0, 1) & F.col(doc).isNotNull()).select(F.col(doc).alias("__doc"), F.col(label).cast("double").alias("__label"))
+    chosen = marked.orderBy(F.xxhash64("__doc"), "__doc", "__label").limit(sample)
+    rows = df.select(F.col(f"`{doc}`").alias("__id"), F.col(f"`{text}`").alias("__t")).join(F.broadcast(chosen), F.col("__id") == F.col("__doc"))  # ``sample`` rows at most
+    counts = with_counts(rows, ["__doc", "__label"], "__t")
+    got = counts.orderBy("__doc", "__label", *COUNTS).limit(sample).toPandas()
     if got["__label"].nunique() < 2:
         return None
     return fit_forest(feature_matrix(got[list(COUNTS)].to_numpy()), got["__label"].to_numpy(float), [MONOTONE.get(f, 0) for f in FEATURES])
@@ -223,5 +226,4 @@ def quality(df: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "
     part in fitting; repeated rows are scored alike; empty labels, or labels of one class, leave the
     base rules alone; an empty table gives no rows. Other columns are left out.
     """
-    counts = cut(with_counts(df, [doc], text), "quality-counts")
-    return verdicts(counts, fit(counts, labels, doc, doc, label))
+    return verdicts(with_counts(df, [doc], text), fit(df, labels, doc, text, label))
