@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from gridloom.plans.lineage import ship
 
 #: Most labelled rows, of all languages together, that a fit uses.
-SAMPLE = 2400
+SAMPLE = 2000
 DIMENSIONS = 4096
 _CHUNK = 1 << 20
 _LETTER = regex.compile(r"\p{L}")
@@ -39,12 +39,12 @@ def has_letter(text: str | None) -> bool:
 def features(text: str) -> np.ndarray:
     """Square roots of the shares of a text's hashed byte 2- and 3-grams, lower-cased; a vector of length 1."""
     counts = np.zeros(DIMENSIONS)
-    raw = text.lower().encode()
-    for k in range(0, len(raw), _CHUNK):
-        part = _FOLD[np.frombuffer(raw, np.uint8, min(_CHUNK + 2, len(raw) - k), k)]
-        a = np.concatenate(([32], part, [32])).astype(np.uint32) if k == 0 else np.append(part, 32).astype(np.uint32)
+    raw = b" " + text.lower().encode() + b" "
+    for k in range(0, len(raw), _CHUNK):  # grams that begin in a part; two bytes more end them
+        a = _FOLD[np.frombuffer(raw, np.uint8, min(_CHUNK + 2, len(raw) - k), k)].astype(np.uint32)
         two = a[:-1] << 8 | a[1:]
         three = two[:-1] << 8 | a[2:]
+        two, three = two[:_CHUNK], three[:_CHUNK]
         for gram, salt in ((two[two != 0x2020], 1), (three[three & 0xFFFF != 0x2020], 3)):
             counts += np.bincount((gram * np.uint32(2654435761) + np.uint32(salt * 40503)) >> np.uint32(20), minlength=DIMENSIONS)
     return np.sqrt(counts / max(1, counts.sum()))
@@ -89,18 +89,20 @@ class Model:
 
 
 def fit_model(x: np.ndarray, languages: list[str], penalty: float = 0.02) -> Model:
-    """A model of rows of features and their languages."""
+    """A model of rows of features, which are centred in place, and their languages."""
     names = sorted(set(languages))
     which = np.searchsorted(names, languages)
     code = codewords(len(names))
     if len(names) == 1:
         return Model(names, code, np.zeros((x.shape[1], 0)), np.zeros(0), np.zeros((1, 0)))
     goal = code[which]
-    centre, bias = x.mean(0), goal.mean(0)
-    z = x - centre
-    weights = z.T @ np.linalg.solve(z @ z.T + penalty * np.eye(len(z)), goal - bias)
-    bias = bias - centre @ weights
+    centre, bias = x.mean(0, dtype=float), goal.mean(0)
+    x -= centre.astype(x.dtype)
+    gram = (x @ x.T).astype(float)
+    gram[np.diag_indices_from(gram)] += penalty
+    weights = x.T.astype(x.dtype) @ np.linalg.solve(gram, goal - bias)
     right = (np.sign(x @ weights + bias) == goal).astype(float)
+    bias = bias - centre @ weights
     trust = np.stack([right[which == k].mean(0) for k in range(len(names))]) + 1e-6
     return Model(names, code, weights, bias, trust / trust.sum(1, keepdims=True))
 
@@ -123,22 +125,23 @@ def fit(df: DataFrame, doc: str, text: str, lang: str, sample: int = SAMPLE) ->
             made = [features(t.as_py()).astype(np.float32).tobytes() for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(made, pa.binary())], names=["l", "x"])
 
-    got = some.select("t", "l").mapInArrow(run, "l string, x binary").collect()
-    got.sort(key=lambda r: (r["l"], bytes(r["x"])))
-    return fit_model(np.stack([np.frombuffer(r["x"], np.float32) for r in got]).astype(float), [r["l"] for r in got])
+    got = some.select("t", "l").mapInArrow(run, "l string, x binary").toArrow().sort_by([("l", "ascending"), ("x", "ascending")])
+    return fit_model(np.frombuffer(b"".join(x.as_py() for x in got["x"]), np.float32).reshape(-1, DIMENSIONS).copy(), got["l"].to_pylist())
 
 
 #: Below this score the two nearest codewords are about as near.
-AMBIGUOUS = 0.1
+AMBIGUOUS = 0.05
 
 
 def identify(df: DataFrame, keep: list[str], text: str, model: Model | None) -> DataFrame:
     """Columns ``keep`` of df with lang_pred, score (0 to 1) and ambiguous, from whole texts.
 
     ``und`` with score 0 for null texts, texts without a letter, and any text if there is no model.
-    Rows are independent: repeats get the same answer, an empty table no rows.
+    Rows are independent: repeats get the same answer, an empty table no rows. Kept columns of the new
+    columns' names give way to them.
     """
     ship(df.sparkSession)
+    keep = [c for c in keep if c.lower() not in ("lang_pred", "score", "ambiguous")]
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
     schema = source.drop("__text").withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(None).cast("double"), "ambiguous": F.lit(True)}).schema
     shared = df.sparkSession.sparkContext.broadcast(model)
