@@ -27,7 +27,7 @@ from gridloom.plans.lineage import ship
 
 _NEVER = 1 << 62
 #: Entries of a worker's memos, two generations of which are held; beyond it, what was not used lately is worked out again.
-MEMO = 200_000
+MEMO = 300_000
 #: Characters after which a long text is split at the next safe place.
 CHUNK = 1 << 20
 
@@ -209,6 +209,7 @@ def load_encoder(path: str, pattern: str) -> Encoder:
 def _mapped(df: DataFrame, keep: list[str], column: str, out: str, kind: str, made: Callable) -> DataFrame:
     """Columns ``keep`` of df and ``out``, ``made()`` of the values of ``column``; rows cross in small batches."""
     ship(df.sparkSession)
+    keep = [c for c in keep if c.lower() != out.lower()]  # the new column replaces it
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{column}`").alias("__in"))
     schema = source.drop("__in").withColumn(out, F.lit(None).cast(kind)).schema
 
