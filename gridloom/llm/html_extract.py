@@ -182,6 +182,7 @@ def extract(df: DataFrame, keep: list[str], html: str = "html", sigma: float = 1
     empty text. Rows are independent: repeated pages get the same text, an empty table no rows.
     """
     ship(df.sparkSession)
+    keep = [c for c in keep if c.lower() not in ("text", "n_lines", "n_content_lines")]  # the new columns replace these
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{html}`").alias("__html"))
     schema = source.drop("__html").withColumns({"text": F.lit("").cast("string"), "n_lines": F.lit(0).cast("long"), "n_content_lines": F.lit(0).cast("long")}).schema
 

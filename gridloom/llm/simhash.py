@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from gridloom.plans.components import connected_components
-from gridloom.plans.lineage import cut, ship
+from gridloom.plans.lineage import cut, keep, scratch, ship
 
 #: One tuple of codes per band, as (kind, length); lengths sum to 64. Each code is perfect.
 CODES_3 = ((("golay", 23), ("hamming", 7), ("repeat", 1), ("repeat", 1)),) * 2
@@ -282,12 +282,13 @@ def components(prints: DataFrame, doc: str, probe: str, marks: list[str], bands,
     large, is one node; only nodes are replicated, and a single join hands the component back.
     """
     keys = [probe, *[m for m in marks if m != probe]]
-    nodes = prints.groupBy(*keys).agg(F.min(doc).alias("__least")).withColumn("__node", F.col(probe) if len(keys) == 1 else F.xxhash64(*keys))
-    nodes = cut(nodes, "simhash-nodes")
-    roots = connected_components(links(nodes, probe, marks, "__node", bands, bits, most).distinct())
-    rooted = cut(nodes.join(roots.withColumnRenamed("node", "__node"), "__node", "left").withColumn("root", F.coalesce("root", "__node")), "simhash-roots")
-    linked = rooted.groupBy("root").agg(F.min("__least").alias("component_id"))
-    of_node = rooted.join(linked, "root").select(*keys, "component_id")
+    with scratch():
+        nodes = prints.groupBy(*keys).agg(F.min(doc).alias("__least")).withColumn("__node", F.col(probe) if len(keys) == 1 else F.xxhash64(*keys))
+        nodes = cut(nodes, "simhash-nodes")
+        roots = connected_components(links(nodes, probe, marks, "__node", bands, bits, most).distinct())
+        rooted = nodes.join(roots.withColumnRenamed("node", "__node"), "__node", "left").withColumn("root", F.coalesce("root", "__node"))
+        linked = rooted.groupBy("root").agg(F.min("__least").alias("component_id"))
+        of_node = keep(cut(rooted.join(linked, "root").select(*keys, "component_id"), "simhash-components"))
     return prints.join(of_node, keys)
 
 

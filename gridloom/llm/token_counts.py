@@ -29,6 +29,7 @@ def _encoding(path: str, pattern: str) -> tiktoken.Encoding:
 def with_lengths(df: DataFrame, keep: list[str], text: str, path: str, pattern: str) -> DataFrame:
     """Columns ``keep`` and n_tokens, the number of ids of the whole text; null and empty texts have 0."""
     ship(df.sparkSession)
+    keep = [c for c in keep if c.lower() != "n_tokens"]  # the new column replaces it
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
     schema = source.drop("__text").withColumn("n_tokens", F.lit(None).cast("long")).schema
 
