@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridloom.operators import dedup, evaluate, features, images, linkage, similarity, tiles
 from gridloom.plans import adapters as A
@@ -37,9 +37,9 @@ def element_distance_hungarian(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.element_distances(s)
 
 
-@query("SELECT a.vec_id AS i, b.vec_id AS j, round((1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))::FLOAT::DOUBLE, 5) AS d FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.label = 3 AND b.label = 3")
+@query("SELECT a.vec_id AS i, b.vec_id AS j, round((1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))::FLOAT::DOUBLE, 5) AS d FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id")
 def cosine_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = A.read(spark, sf_dir, "embeddings").where("label = 3")
+    e = A.read(spark, sf_dir, "embeddings")
     return similarity.cosine_distances(e, "vec_id", "embedding").select("i", "j", F.round(F.col("d").cast("double"), 5).alias("d"))
 
 
@@ -66,7 +66,10 @@ def all_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     everything = _reference(spark, sf_dir).select("i")
-    views = everything.withColumn("view", F.lit("full")).unionByName(everything.where("i % 2 = 0").withColumn("view", F.lit("deduplicated")))
+    first = A.read(spark, sf_dir, "embeddings").groupBy(F.floor(F.col("vec_id") / 10).alias("obs_idx")).agg(F.min_by("label", "vec_id").alias("digest"))
+    first = first.withColumn("observation_id", F.col("obs_idx").cast("string"))  # screens whose first tiles have the same label count as copies
+    kept = dedup.select_representatives(first, first.withColumn("cluster_id", F.lit("all")), "digest", max_per_image=3)
+    views = everything.withColumn("view", F.lit("full")).unionByName(kept.select(F.col("obs_idx").alias("i"), F.lit("deduplicated").alias("view")))
     return sweep(A.embedding_tiles(spark, sf_dir), _reference(spark, sf_dir), views, method="best")[0]
 
 
@@ -113,72 +116,72 @@ def global_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("observation_id", F.round(F.aggregate("global_embedding", F.lit(0.0), lambda s, x: s + x), 5).alias("total"), F.round(F.array_max("global_embedding"), 5).alias("top"))
 
 
-@query(f"""WITH {OBS}, {TRANS}, n AS (SELECT count(*) AS n FROM embeddings), b AS (SELECT observation_id, list_transform(embedding[1:4], lambda x: x::DOUBLE) AS v FROM obs, n JOIN embeddings ON vec_id = obs_idx % n.n),
+@query(f"""WITH {OBS}, {TRANS}, n AS (SELECT count(*) AS n FROM embeddings), b AS (SELECT observation_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM obs, n JOIN embeddings ON vec_id = obs_idx % n.n),
   t AS (SELECT source_observation_id AS o, destination_observation_id AS d, event_type, coalesce(effective, false) AS e FROM trans),
   st AS (SELECT o, count(*) AS deg, avg(e::INT) AS eff, avg((event_type = (SELECT min(event_type) FROM trans))::INT) AS h1, avg((event_type = (SELECT max(event_type) FROM trans))::INT) AS h2 FROM t GROUP BY o),
-  nm AS (SELECT t.o, avg(b.v[1]) AS n1, avg(b.v[4]) AS n4 FROM t JOIN b ON b.observation_id = t.d GROUP BY t.o)
-  SELECT b.observation_id, (10 + (SELECT count(DISTINCT event_type) FROM trans))::BIGINT AS dims, round(b.v[1], 5) AS base, round(coalesce(n1, 0), 5) AS near_first, round(coalesce(n4, 0), 5) AS near_last, round(coalesce(h1, 0), 5) AS first_type, round(coalesce(h2, 0), 5) AS last_type, coalesce(deg, 0)::DOUBLE AS degree, round(coalesce(eff, 0), 5) AS effective
+  nm AS (SELECT t.o, avg(b.v[1]) AS n1, avg(b.v[64]) AS n4 FROM t JOIN b ON b.observation_id = t.d GROUP BY t.o)
+  SELECT b.observation_id, (130 + (SELECT count(DISTINCT event_type) FROM trans))::BIGINT AS dims, round(b.v[1], 5) AS base, round(coalesce(n1, 0), 5) AS near_first, round(coalesce(n4, 0), 5) AS near_last, round(coalesce(h1, 0), 5) AS first_type, round(coalesce(h2, 0), 5) AS last_type, coalesce(deg, 0)::DOUBLE AS degree, round(coalesce(eff, 0), 5) AS effective
   FROM b LEFT JOIN st ON st.o = b.observation_id LEFT JOIN nm ON nm.o = b.observation_id""")
 def transition_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = A.read(spark, sf_dir, "embeddings")
     n = e.count()
-    base = A.event_observations(spark, sf_dir).withColumn("vec_id", F.col("obs_idx") % n).join(e, "vec_id").select("observation_id", F.slice("embedding", 1, 4).alias("embedding"))
+    base = A.event_observations(spark, sf_dir).withColumn("vec_id", F.col("obs_idx") % n).join(e, "vec_id").select("observation_id", "embedding")
     out = features.transition_embedding(base, A.event_transitions(spark, sf_dir))
     at = lambda k: F.element_at("embedding", k)
     return out.select(
-        "observation_id", F.size("embedding").cast("long").alias("dims"), F.round(at(1), 5).alias("base"), F.round(at(5), 5).alias("near_first"), F.round(at(8), 5).alias("near_last"),
-        F.round(at(9), 5).alias("first_type"), F.round(at(-3), 5).alias("last_type"), at(-2).alias("degree"), F.round(at(-1), 5).alias("effective"),
+        "observation_id", F.size("embedding").cast("long").alias("dims"), F.round(at(1), 5).alias("base"), F.round(at(65), 5).alias("near_first"), F.round(at(128), 5).alias("near_last"),
+        F.round(at(129), 5).alias("first_type"), F.round(at(-3), 5).alias("last_type"), at(-2).alias("degree"), F.round(at(-1), 5).alias("effective"),
     )
 
 
 # --- tiles, losses --------------------------------------------------------------------------------
 
-_BOXES = """bx AS (SELECT l_orderkey AS image, greatest(0, least(432, ((l_partkey * 7) % 500 - 20)::DOUBLE)) AS x1, greatest(0, least(768, ((l_suppkey * 13) % 800 - 10)::DOUBLE)) AS y1,
-  greatest(0, least(432, ((l_partkey * 7) % 500 - 20 + l_quantity * 3)::DOUBLE)) AS x2, greatest(0, least(768, ((l_suppkey * 13) % 800 - 10 + l_linenumber * 9)::DOUBLE)) AS y2 FROM lineitem WHERE l_orderkey % 8 = 0)"""
+_SIDES = ("greatest(0, least(432, ((l_partkey * 7) % 500 - 20)::DOUBLE))", "greatest(0, least(768, ((l_suppkey * 13) % 800 - 10)::DOUBLE))",
+          "greatest(0, least(432, ((l_partkey * 7) % 500 - 20 + l_quantity * 3)::DOUBLE))", "greatest(0, least(768, ((l_suppkey * 13) % 800 - 10 + l_linenumber * 9)::DOUBLE))")
 
 
-def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = A.read(spark, sf_dir, "lineitem").where("l_orderkey % 8 = 0")
+def _cover(tile: int, shrink: float = 1.0, where: str = "true") -> str:
+    """SQL for the tiles that the boxes of line items cover on screens of 432 by 768."""
+    w, h = int(432 * shrink) // tile, int(768 * shrink) // tile
+    sides = ", ".join(f"{side} * {shrink} AS {name}" for side, name in zip(_SIDES, ("x1", "y1", "x2", "y2")))
+    return f"""SELECT DISTINCT image, y::INT AS y, x::INT AS x FROM (SELECT image, y, unnest(range(a, b)) AS x FROM (SELECT image, a, b, unnest(range(c, d)) AS y FROM
+      (SELECT image, (CASE WHEN w THEN fx1 ELSE tx1 END)::BIGINT AS a, (CASE WHEN w THEN fx2 ELSE tx2 END)::BIGINT AS b, (CASE WHEN w THEN fy1 ELSE ty1 END)::BIGINT AS c, (CASE WHEN w THEN fy2 ELSE ty2 END)::BIGINT AS d FROM
+      (SELECT *, fx1 < fx2 AND fy1 < fy2 AS w FROM (SELECT image, ceil(x1/{tile}) AS fx1, ceil(y1/{tile}) AS fy1, least({w}, floor(x2/{tile})) AS fx2, least({h}, floor(y2/{tile})) AS fy2,
+      floor(x1/{tile}) AS tx1, floor(y1/{tile}) AS ty1, least({w}, ceil(x2/{tile})) AS tx2, least({h}, ceil(y2/{tile})) AS ty2 FROM (SELECT l_orderkey AS image, {sides} FROM lineitem WHERE {where}))))))"""
+
+
+def _box() -> Column:
     x, y = (F.col("l_partkey") * 7) % 500 - 20, (F.col("l_suppkey") * 13) % 800 - 10
-    box = F.array(*[c.cast("double") for c in (x, y, x + F.col("l_quantity") * 3, y + F.col("l_linenumber") * 9)])
-    return tiles.clamp_boxes(li.select(F.col("l_orderkey").alias("image"), box.alias("bbox"), F.lit(432).alias("width"), F.lit(768).alias("height")))
+    return F.array(*[c.cast("double") for c in (x, y, x + F.col("l_quantity") * 3, y + F.col("l_linenumber") * 9)])
 
 
-@query(f"""WITH {_BOXES}, f AS (SELECT *, ceil(x1/16) AS fx1, ceil(y1/16) AS fy1, least(27, floor(x2/16)) AS fx2, least(48, floor(y2/16)) AS fy2, floor(x1/16) AS tx1, floor(y1/16) AS ty1, least(27, ceil(x2/16)) AS tx2, least(48, ceil(y2/16)) AS ty2 FROM bx),
-  g AS (SELECT image, CASE WHEN w THEN fx1 ELSE tx1 END::INT AS a, CASE WHEN w THEN fx2 ELSE tx2 END::INT AS b, CASE WHEN w THEN fy1 ELSE ty1 END::INT AS c, CASE WHEN w THEN fy2 ELSE ty2 END::INT AS d FROM (SELECT *, fx1 < fx2 AND fy1 < fy2 AS w FROM f)),
-  cov AS (SELECT DISTINCT image, r.y::INT AS "row", q.x::INT AS col FROM g, range(48) r(y), range(27) q(x) WHERE r.y >= c AND r.y < d AND q.x >= a AND q.x < b)
-  SELECT * FROM cov""")
-def bbox_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tiles.box_tiles(_boxes(spark, sf_dir), 16, ["image"])
+def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = A.read(spark, sf_dir, "lineitem")
+    return tiles.clamp_boxes(li.select(F.col("l_orderkey").alias("image"), _box().alias("bbox"), F.lit(432).alias("width"), F.lit(768).alias("height")))
 
 
-@query(f"""WITH {_BOXES}, im AS (SELECT DISTINCT image FROM bx WHERE image % 64 = 0) SELECT image, (48 * 27)::BIGINT AS tiles FROM im""")
-def tile_mask_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    boxes = _boxes(spark, sf_dir).where("image % 64 = 0")
-    shown = boxes.select("image", "width", "height").distinct()
-    return tiles.tile_mask(shown, tiles.box_tiles(boxes, 16, ["image"]), 16, ["image"]).groupBy("image").agg(F.count("label").alias("tiles"))
+@query(f'SELECT image, y AS "row", x AS col FROM ({_cover(16)})')
+def bbox_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles.box_tiles(_boxes(spark, sf_dir), 16, ["image"])
 
 
-def _raw_boxes(kind: str) -> str:
-    return f"""SELECT l_orderkey AS image, greatest(0, least(432, ((l_partkey * 7) % 500 - 20)::DOUBLE)) * (216/432) AS x1, greatest(0, least(768, ((l_suppkey * 13) % 800 - 10)::DOUBLE)) * (384/768) AS y1,
-      greatest(0, least(432, ((l_partkey * 7) % 500 - 20 + l_quantity * 3)::DOUBLE)) * (216/432) AS x2, greatest(0, least(768, ((l_suppkey * 13) % 800 - 10 + l_linenumber * 9)::DOUBLE)) * (384/768) AS y2 FROM lineitem WHERE l_orderkey % 32 = 0 AND l_linestatus = '{kind}'"""
+_GRID = "g AS (SELECT image, r.y::INT AS y, q.x::INT AS x FROM (SELECT DISTINCT l_orderkey AS image FROM lineitem), range(8) r(y), range(4) q(x))"
 
 
-_COVER = """SELECT DISTINCT image, r.y::INT AS y, q.x::INT AS x FROM (SELECT image, CASE WHEN w THEN fx1 ELSE tx1 END AS a, CASE WHEN w THEN fx2 ELSE tx2 END AS b, CASE WHEN w THEN fy1 ELSE ty1 END AS c, CASE WHEN w THEN fy2 ELSE ty2 END AS d FROM
-  (SELECT *, fx1 < fx2 AND fy1 < fy2 AS w FROM (SELECT image, ceil(x1/16) AS fx1, ceil(y1/16) AS fy1, least(13, floor(x2/16)) AS fx2, least(24, floor(y2/16)) AS fy2, floor(x1/16) AS tx1, floor(y1/16) AS ty1, least(13, ceil(x2/16)) AS tx2, least(24, ceil(y2/16)) AS ty2 FROM ({boxes})))),
-  range(24) r(y), range(13) q(x) WHERE r.y >= c AND r.y < d AND q.x >= a AND q.x < b"""
+@query(f"""WITH c AS ({_cover(96)}), {_GRID} SELECT g.image, g.y AS "row", g.x AS col, (c.image IS NOT NULL)::INT AS label FROM g LEFT JOIN c ON c.image = g.image AND c.y = g.y AND c.x = g.x""")
+def tile_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = _boxes(spark, sf_dir)
+    return tiles.tile_mask(boxes.select("image", "width", "height").distinct(), tiles.box_tiles(boxes, 96, ["image"]), 96, ["image"])
 
 
-@query(f"""WITH im AS (SELECT DISTINCT l_orderkey AS image FROM lineitem WHERE l_orderkey % 32 = 0), ca AS ({_COVER.format(boxes=_raw_boxes('F'))}), cb AS ({_COVER.format(boxes=_raw_boxes('O'))}),
-  g AS (SELECT image, r.y::INT AS y, q.x::INT AS x FROM im, range(24) r(y), range(13) q(x))
-  SELECT g.image, (g.y * 13 + g.x)::INT AS tile_idx, g.y AS "row", g.x AS col, (ca.image IS NOT NULL)::INT AS clickable, (cb.image IS NOT NULL)::INT AS scrollable FROM g LEFT JOIN ca ON ca.image = g.image AND ca.y = g.y AND ca.x = g.x LEFT JOIN cb ON cb.image = g.image AND cb.y = g.y AND cb.x = g.x""")
+@query(f"""WITH ca AS ({_cover(48, 0.5, "l_linestatus = 'F'")}), cb AS ({_cover(48, 0.5, "l_linestatus = 'O'")}), {_GRID}
+  SELECT g.image, (g.y * 4 + g.x)::INT AS tile_idx, g.y AS "row", g.x AS col, (ca.image IS NOT NULL)::INT AS clickable, (cb.image IS NOT NULL)::INT AS scrollable FROM g LEFT JOIN ca ON ca.image = g.image AND ca.y = g.y AND ca.x = g.x LEFT JOIN cb ON cb.image = g.image AND cb.y = g.y AND cb.x = g.x""")
 def sample_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = A.read(spark, sf_dir, "lineitem").where("l_orderkey % 32 = 0")
-    x, y = (F.col("l_partkey") * 7) % 500 - 20, (F.col("l_suppkey") * 13) % 800 - 10
-    box = F.struct(F.array(*[c.cast("double") for c in (x, y, x + F.col("l_quantity") * 3, y + F.col("l_linenumber") * 9)]).alias("bbox"))
+    box = F.struct(_box().alias("bbox"))
     of = lambda kind: F.collect_list(F.when(F.col("l_linestatus") == kind, box))
+    li = A.read(spark, sf_dir, "lineitem")
     shown = li.groupBy(F.col("l_orderkey").alias("image")).agg(of("F").alias("clickable_elements"), of("O").alias("scrollable_elements")).withColumns({"width": F.lit(432), "height": F.lit(768)})
-    return tiles.sample_targets(shown, 0.5, 16, ["image"])
+    return tiles.sample_targets(shown, 0.5, 48, ["image"])
 
 
 @query("""WITH s AS (SELECT conv_id, count(*) AS turns FROM conversations GROUP BY conv_id) SELECT conv_id, turns, min(conv_id) OVER (PARTITION BY turns) AS first_idx, ((row_number() OVER (PARTITION BY turns ORDER BY conv_id) - 1) // 8)::BIGINT AS chunk FROM s""")
