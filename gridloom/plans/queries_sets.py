@@ -53,6 +53,11 @@ def dedup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("digest", "first_idx", F.array_join("observation_ids", ",").alias("members"), F.size("observation_ids").cast("long").alias("n"))
 
 
+@query(f"WITH {DOCS} SELECT obs_idx, observation_id, min(obs_idx) OVER (PARTITION BY digest) AS first_idx FROM docs")
+def dedup_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.dedup_membership(A.document_observations(spark, sf_dir), "digest")
+
+
 _SAMPLED = "SELECT obs_idx, observation_id FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY obs_idx) - 1 AS pos, count(*) OVER (PARTITION BY {keys}) AS n FROM docs JOIN ann USING (observation_id)) WHERE n <= {k} OR pos IN ({places})"
 _FLOORED = ", ".join(f"({i}*(n-1))//2" for i in range(3))
 
