@@ -7,28 +7,39 @@ cut inside ``scratch()`` are deleted at its end, but for those handed to ``keep`
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from contextlib import contextmanager
 from contextvars import ContextVar
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-_FALLBACK = os.path.join(tempfile.gettempdir(), "gridloom-checkpoints")
+#: One folder per process below the shared one, so that a session can clear what it left.
+_OWN = f"gridloom-{uuid.uuid4().hex}"
+
+
+@cache
+def _fallback() -> str:
+    path = tempfile.mkdtemp(prefix="gridloom-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; only where that is unset (tests, one machine), a local one."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _FALLBACK
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _fallback()
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/gridloom/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark).rstrip('/')}/{_OWN}/{label}-{uuid.uuid4().hex}"
 
 
-#: The tables cut in the innermost open scratch(), by path.
-_SCRATCH: ContextVar[dict[str, DataFrame] | None] = ContextVar("scratch", default=None)
+#: The tables cut in every open scratch(), the innermost last, by path.
+_SCRATCH: ContextVar[tuple[dict[str, DataFrame], ...]] = ContextVar("scratch", default=())
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
@@ -37,7 +48,7 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)  # snappy's buffers lie outside the heap until some later collection
     again = df.sparkSession.read.schema(df.schema).parquet(path)
     again._gridloom_path = path
-    if (made := _SCRATCH.get()) is not None:
+    for made in _SCRATCH.get()[-1:]:
         made[path] = again
     return again
 
@@ -49,28 +60,36 @@ def discard(df: DataFrame) -> None:
         spark = df.sparkSession
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-        if (made := _SCRATCH.get()) is not None:
+        for made in _SCRATCH.get():
             made.pop(path, None)
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that this process has cut; frames that read them can't be used any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/{_OWN}")
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 @contextmanager
 def scratch():
     """Deletes what is cut inside when it ends; frames that are read later must be cut and kept."""
-    token = _SCRATCH.set({})
+    made: dict[str, DataFrame] = {}
+    token = _SCRATCH.set((*_SCRATCH.get(), made))
     try:
         yield
     finally:
-        made = _SCRATCH.get()
         _SCRATCH.reset(token)
-        for table in made.values():
+        for table in list(made.values()):
             discard(table)
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """A frame that ``cut`` returned, handed to the scratch() around the innermost one, or to nobody."""
-    path, made = df._gridloom_path, _SCRATCH.get()
-    if made is not None:
+    """A frame that ``cut`` returned, handed from the innermost scratch() to the one around it, if any."""
+    path = df._gridloom_path
+    for made in _SCRATCH.get()[-1:]:
         made.pop(path, None)
+    for outer in _SCRATCH.get()[-2:-1]:
+        outer[path] = df
     return df
 
 

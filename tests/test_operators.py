@@ -259,6 +259,22 @@ def test_places_and_previous(spark):
     assert before == [(r.k, ordered[i - 1].g if i else None) for i, r in enumerate(ordered)]
 
 
+def test_scratch_deletes_what_is_not_kept(spark):
+    import os
+
+    from gridloom.plans import lineage
+
+    with lineage.scratch():
+        gone, kept = lineage.cut(spark.range(3), "a"), lineage.cut(spark.range(4), "b")
+        with lineage.scratch():
+            inner = lineage.keep(lineage.cut(spark.range(5), "c"))
+        lineage.keep(kept)
+        assert inner.count() == 5
+    paths = [os.path.exists(x._gridloom_path.removeprefix("file:")) for x in (gone, kept, inner)]
+    assert kept.count() == 4 and paths == [False, True, False]  # the inner one went with the outer scratch
+    assert lineage.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
 # --- deduplication and samples --------------------------------------------------------------------
 
 
