@@ -52,11 +52,10 @@ def _lane(h: Column, k: int) -> Column:
 
 def _bit_by_bit(words: Column) -> Column:
     """simhash of one array of words, a bit at a time."""
-    hashes, out = F.transform(words, lambda w: F.xxhash64(w)), F.lit(0).cast("long")
-    for k in range(63):
-        votes = F.size(F.filter(hashes, lambda h: F.shiftrightunsigned(h, k).bitwiseAND(F.lit(1)) == 1))  # noqa: B023  called at once
-        out = out.bitwiseOR(F.when(2 * votes > F.size(words), F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
-    return out
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    votes = lambda k: F.size(F.filter(hashes, lambda h: F.call_function("shiftrightunsigned", h, k).bitwiseAND(F.lit(1)) == 1))
+    bit = lambda k: F.when(2 * votes(k) > F.size(words), F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(62)), F.lit(0).cast("long"), lambda found, k: found.bitwiseOR(bit(k)))
 
 
 def _lines(df: DataFrame, doc: str, text: str) -> DataFrame:
