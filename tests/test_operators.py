@@ -72,7 +72,7 @@ def test_assignment_is_best(n, m, seed):
     small, large = sorted((n, m))
     table = score if n <= m else score.T
     best = max(sum(table[i, c] for i, c in enumerate(cols)) for cols in itertools.permutations(range(large), small))
-    assert similarity.assignment_sum(score) == pytest.approx(best)
+    assert similarity.assignment_sums(np.stack([score, np.zeros_like(score), score + 1]))[[0, 1, 2]] == pytest.approx([best, 0, best + small])
 
 
 # --- linkage --------------------------------------------------------------------------------------
@@ -218,9 +218,12 @@ def test_hamming_pairs(spark, width):
     base = [rng.integers(0, 16, width) for _ in range(6)]
     words = {"".join("%x" % (d ^ (rng.random() < 0.15)) for d in base[k % 6]) for k in range(40)}
     want = {(a, b): bin(int(a, 16) ^ int(b, 16)).count("1") for a, b in itertools.combinations(sorted(words), 2)}
-    got = cluster.hamming_pairs(observations(spark, sorted(words)), "v", 4).collect()
-    assert {(r.a, r.b): r.distance for r in got} == {k: d for k, d in want.items() if d <= 4}
-    assert len(got) == len({(r.a, r.b) for r in got})
+    for most in (4, 1):  # narrow bands, and wide ones where the words are long
+        got = cluster.hamming_pairs(observations(spark, sorted(words)), "v", most).collect()
+        assert {(r.a, r.b): r.distance for r in got} == {k: d for k, d in want.items() if d <= most}
+        assert len(got) == len({(r.a, r.b) for r in got})
+    many = cluster._all_pairs(observations(spark, sorted(words)).selectExpr("v AS h"), 4, block=7).collect()
+    assert {(r.a, r.b): r.distance for r in many} == {k: d for k, d in want.items() if d <= 4} and len(many) == len({(r.a, r.b) for r in many})
 
 
 @pytest.mark.parametrize("edges", [[(i, i + 1) for i in range(60)], [(0, i) for i in range(1, 40)], [(40, i) for i in range(40)], [(5, 9), (9, 2), (7, 3), (1, 1)], []])
