@@ -63,15 +63,15 @@ def _lines(df: DataFrame, doc: str, text: str) -> DataFrame:
     return df.select(F.col(f"`{doc}`").alias("doc"), F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("pos", "line"))
 
 
-def _probed(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """lines that may be among wanted (at), and few others, found as they are read: nothing is shuffled for it.
+def _probed(rows: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
+    """rows whose keys may be among wanted's, and few others, found as they are read: nothing is shuffled for it.
 
     A bitmap of 2^26 bits, sent as at most 2^20 words of 64 bits, 16 MB whatever the tables' sizes.
     """
-    spot = lambda *at: F.xxhash64(*at).bitwiseAND(F.lit((1 << 26) - 1))
-    marks = wanted.select(spot("at.doc", "at.pos").alias("h")).groupBy(F.shiftright("h", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits"))
-    at = lines.withColumn("h", spot("doc", "pos")).withColumn("word", F.shiftright("h", 6))
-    return at.join(F.broadcast(marks), "word").where(F.expr("shiftrightunsigned(bits, cast(h & 63 as int)) & 1 = 1")).select("doc", "pos", "line")
+    spot = F.xxhash64(*keys).bitwiseAND(F.lit((1 << 26) - 1))
+    marks = wanted.select(spot.alias("h")).groupBy(F.shiftright("h", 6).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits"))
+    at = rows.withColumn("h", spot).withColumn("cell", F.shiftright("h", 6))
+    return at.join(F.broadcast(marks), "cell").where(F.expr("shiftrightunsigned(bits, cast(h & 63 as int)) & 1 = 1")).select(*rows.columns)
 
 
 def line_table(df: DataFrame, doc: str, text: str) -> DataFrame:
@@ -126,7 +126,9 @@ def similar_lines(df: DataFrame, pairs: DataFrame, doc: str, text: str, similari
     """
     pairs = cut(pairs, "line-pairs")
     wanted = pairs.select(F.col("a").alias("at")).union(pairs.select("b")).distinct()
-    found = _probed(_lines(df, doc, text), wanted).select(F.struct("doc", "pos").alias("at"), "line").join(wanted, "at", "left_semi")
+    flat = wanted.select("at.doc", "at.pos")
+    docs = _probed(df.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{text}`").alias("text")), ["doc"], flat)
+    found = _probed(_lines(docs, "doc", "text"), ["doc", "pos"], flat).select(F.struct("doc", "pos").alias("at"), "line").join(wanted, "at", "left_semi")
     letters = F.transform(line_words(F.col("line")), lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(0xD500)) + 0x0300), 4, "0"))
     form = cut(found.groupBy("at").agg(F.min("line").alias("line")).select("at", F.decode(F.unhex(F.array_join(letters, "")), "UTF-16BE").alias("form")), "line-forms")
     both = pairs.join(form.select(F.col("at").alias("a"), F.col("form").alias("fa")), "a").join(form.select(F.col("at").alias("b"), F.col("form").alias("fb")), "b")
@@ -164,12 +166,14 @@ def dedup_lines(df: DataFrame, doc: str = "doc_id", text: str = "text", *, simil
     removed = removed_lines(df, doc, text, similarity)
     key = F.col(f"`{doc}`")
     joined = df.join(removed.hint("shuffle_hash"), key.eqNullSafe(F.col("__rdoc")), "left").drop("__rdoc")
-    joined = _materialised(joined, __lines=F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n"))
+    body = F.col(f"`{text}`")
+    joined = _materialised(joined, __lines=F.when(F.col("__removed").isNotNull(), F.split(body, "\n")))
     stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__removed")
     joined = _materialised(joined, __stay=F.when(F.col("__removed").isNotNull(), stay))
     after = F.array_join(F.transform("__stay", lambda at: F.element_at("__lines", at + 1)), "\n")
+    n = F.when(body.isNull(), 0).otherwise(F.char_length(body) - F.char_length(F.replace(body, F.lit("\n"), F.lit(""))) + 1)
     gone = F.coalesce(F.size("__lines") - F.size("__stay"), F.lit(0))
     return joined.select(
         *[(F.when(F.col("__removed").isNull(), F.col(f"`{c}`")).otherwise(after) if c == text else F.col(f"`{c}`")).alias(c) for c in df.columns if c.lower() not in ("n_lines_kept", "n_lines_removed")],
-        F.when(F.col(f"`{text}`").isNull(), 0).otherwise(F.size("__lines") - gone).cast("long").alias("n_lines_kept"), gone.cast("long").alias("n_lines_removed"),
+        (n - gone).cast("long").alias("n_lines_kept"), gone.cast("long").alias("n_lines_removed"),
     )
