@@ -1,18 +1,26 @@
 """Fuzzy line deduplication with DataFrame operations only.
 
 A line's normal form is its words (runs of letters and digits), lower-cased. Lines of equal normal form
-are merged first by a hash of it. A 63-bit SimHash of the words cuts into three blocks of 21 bits; two
-lines within two bits agree on a block (pigeonhole), so lines are joined on blocks, pairs beyond two bits
-go, and the rest are verified by edit similarity over words. Connected lines form a class, of which the
-first occurrence, by document id and line number, is kept.
-
-SimHash votes are counted for three bits at once, in lanes of 21 bits of one BIGINT sum over the words.
-Adding a constant to every lane carries into the lane's top bit exactly where the count is a majority.
-
-Within a block, lines next to each other in the order of their prints are verified first; that joins up
-most of a dense group of near copies. Only lines that are still in different classes are then joined with
-one another, so every candidate pair is either verified or in one class already, and a group of n near
-copies doesn't make n * n pairs.
+are merged first by a hash of it. Candidates share a run of words: with at most a fifth of the longer
+line's n words edited, e = n // 5 edits leave n - e words in e + 1 runs, so one run has (n - e) / (e + 1)
+words or more. That makes 4 words, but 3 where n is 6, 7, 10, 11 or 15, and 2 where n is 5. Of four
+words in a row the smaller by hash of the two trigrams is the same in both lines; so lines of over 15
+words are known by the trigrams that are not above both of their neighbours, shorter ones by all
+trigrams, those of 4 and 5 words by bigrams. No similar pair is lost; pairs are verified by edit
+similarity over words. Connected lines form a class, of which the first occurrence, by document id and
+line number, is kept.
+
+Before that, pairs go whose lengths or parities are too far apart: a line's parity has 128 bits, of
+which every word flips one by its hash, so an edit changes at most two.
+
+Every line has a 63-bit SimHash of its words. Its votes are counted for three bits at once, in lanes of
+21 bits of one BIGINT sum over the words. Adding a constant to every lane carries into the lane's top
+bit exactly where the count is a majority.
+
+Among the lines of a gram, those next to each other in the order of their prints are verified first;
+that joins up most of a dense group of near copies. Only lines that are still in different classes are
+then joined with one another, so every candidate pair is either verified or in one class already, and a
+group of n near copies doesn't make n * n pairs.
 
 Only numbers are shuffled to find classes. Texts are fetched for the candidates alone, and once more to
 rebuild documents that lose lines.
@@ -26,8 +34,6 @@ from gridloom.plans.components import connected_components
 from gridloom.plans.lineage import cut, keep, scratch
 
 SIMILARITY = 0.8
-BITS = 2
-_BLOCK = 21
 _LANES = 1 | 1 << 21 | 1 << 42
 _MOST = (1 << 20) - 1  # words that a lane can count; longer lines are counted bit by bit
 _NEIGHBOURS = 3
@@ -50,6 +56,11 @@ def _lane(h: Column, k: int) -> Column:
     return F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_LANES))
 
 
+def _parity(k: int) -> Column:
+    """Half k of a line's parity, from its words' hashes h."""
+    return F.expr(f"bit_xor(if(shiftrightunsigned(h, 6) & 1 = {k}, shiftleft(1L, cast(h & 63 as int)), 0L))")
+
+
 def _bit_by_bit(words: Column) -> Column:
     """simhash of one array of words, a bit at a time."""
     hashes = F.transform(words, lambda w: F.xxhash64(w))
@@ -75,47 +86,68 @@ def _probed(rows: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
 
 
 def line_table(df: DataFrame, doc: str, text: str) -> DataFrame:
-    """(at: id and line number, k1: a hash of the normal form, n: its words, print) of all lines with a word.
+    """(at: id and line number, k1: a hash of the normal form, n: its words, x0, x1: parity, print) of all lines with a word.
 
     print is the 63-bit SimHash of the words' hashes, repeats included: a bit is set if it is in over half of them.
+    The parity is null where the bits are counted one by one, and where rows share an id, and so a place.
     """
     worded = _materialised(_lines(df, doc, text).select("doc", "pos", line_words(F.col("line")).alias("raw")), words=F.col("raw")).where(F.size("words") > 0)
     n = F.size("words")
-    keyed = worded.select("doc", "pos", F.xxhash64("words").alias("k1"), F.when(n > _MOST, _bit_by_bit(F.col("words"))).alias("long_print"), F.when(n <= _MOST, F.col("words")).alias("words"))
-    hashes = keyed.select("doc", "pos", "k1", "long_print", F.explode_outer("words").alias("word")).withColumn("h", F.xxhash64("word"))
-    votes = hashes.groupBy("doc", "pos", "k1").agg(F.count("*").alias("n"), F.max("long_print").alias("long_print"), *[F.sum(_lane(F.col("h"), k)).alias(f"v{k}") for k in range(21)])
-    lift = (F.lit(1 << 20) - F.floor(F.col("n") / 2) - 1) * F.lit(_LANES)
+    keyed = worded.select("doc", "pos", F.xxhash64("words").alias("k1"), n.alias("n"), F.when(n > _MOST, _bit_by_bit(F.col("words"))).alias("long_print"), F.when(n <= _MOST, F.col("words")).alias("words"))
+    hashes = keyed.select("doc", "pos", "k1", "n", "long_print", F.explode_outer("words").alias("word")).withColumn("h", F.xxhash64("word"))
+    votes = hashes.groupBy("doc", "pos", "k1", "n").agg(F.count("*").alias("c"), F.max("long_print").alias("long_print"), *[_parity(k).alias(f"x{k}") for k in range(2)], *[F.sum(_lane(F.col("h"), k)).alias(f"v{k}") for k in range(21)])
+    lift = (F.lit(1 << 20) - F.floor(F.col("c") / 2) - 1) * F.lit(_LANES)
     found = F.lit(0).cast("long")
     for k in range(21):
         found = found.bitwiseOR(F.shiftleft(_lane(F.col(f"v{k}") + lift, 20), k))
-    return votes.select(F.struct("doc", "pos").alias("at"), "k1", "n", F.when(F.col("long_print").isNotNull(), F.col("long_print")).otherwise(found).alias("print"))
+    parity = [F.when(F.col("c") == F.col("n"), F.col(f"x{k}")).alias(f"x{k}") for k in range(2)]
+    return votes.select(F.struct("doc", "pos").alias("at"), "k1", "n", *parity, F.when(F.col("long_print").isNotNull(), F.col("long_print")).otherwise(found).alias("print"))
+
+
+def _grams(df: DataFrame, doc: str, text: str) -> DataFrame:
+    """(k1, gram) of all lines: every pair of lines that can be similar shares a gram."""
+    raw = _lines(df, doc, text).select(line_words(F.col("line")).alias("raw"))
+    worded = _materialised(raw, words=F.col("raw")).where(F.size("words") > 3).select(F.xxhash64("words").alias("k1"), "words")
+    at = worded.select("k1", "words", F.size("words").alias("n"), F.explode(F.sequence(F.lit(0), F.size("words") - 2)).alias("i"))
+    gram = lambda k: F.expr(f"xxhash64(get(words, i + {k}), get(words, i + {k + 1}), get(words, i + {k + 2}))")
+    least = (F.col("n") <= 15) | (F.col("i") == 0) | (F.col("i") == F.col("n") - 3) | (gram(0) <= gram(-1)) | (gram(0) <= gram(1))
+    three = F.when((F.col("n") > 4) & (F.col("i") < F.col("n") - 2) & least, gram(0))
+    two = F.when(F.col("n") < 6, F.expr("xxhash64(get(words, i), get(words, i + 1))"))
+    short = at.where("n < 6").select("k1", two.alias("gram"))
+    return at.select("k1", three.alias("gram")).where(F.col("gram").isNotNull()).union(short)
+
+
+def shared_grams(df: DataFrame, lines: DataFrame, doc: str, text: str) -> DataFrame:
+    """lines by gram, for the grams of two lines or more."""
+    of = Window.partitionBy("gram")
+    known = _grams(df, doc, text).select("gram", "k1", F.min("k1").over(of).alias("low"), F.max("k1").over(of).alias("high"))
+    return known.where("low <> high").select("gram", "k1").distinct().join(lines, "k1").drop("k1")
 
 
-def _blocks(lines: DataFrame) -> DataFrame:
-    """A row per line and block of its print."""
-    blocks = F.array(*[F.shiftrightunsigned("print", _BLOCK * k).bitwiseAND(F.lit((1 << _BLOCK) - 1)).bitwiseOR(F.lit(k << _BLOCK)) for k in range(3)])
-    return lines.select("*", F.explode(blocks).alias("block"))
+def _may(a: str, b: str, similarity: float) -> Column:
+    """Whether lengths and parities allow two lines to be similar."""
+    most = F.floor(F.greatest(f"{a}n", f"{b}n") * (1 - similarity) + 1e-9)
+    flips = sum((F.bit_count(F.col(f"{a}x{k}").bitwiseXOR(F.col(f"{b}x{k}"))) for k in range(2)), F.lit(0))
+    return (F.abs(F.col(f"{a}n") - F.col(f"{b}n")) <= most) & F.coalesce(flips <= 2 * most, F.lit(True))
 
 
-def _near(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= BITS
+_FACTS = ("at", "n", "x0", "x1")
 
 
-def _neighbours(lines: DataFrame) -> DataFrame:
-    """(a, b) of lines within BITS bits that are next to each other, up to three apart, in a block's order of prints."""
-    order = Window.partitionBy("block").orderBy("print", "at")
-    rows = _blocks(lines).select("at", "print", *[F.lag(F.struct("at", "print"), k).over(order).alias(f"l{k}") for k in range(1, _NEIGHBOURS + 1)])
-    before = rows.select("at", "print", F.explode(F.array(*[f"l{k}" for k in range(1, _NEIGHBOURS + 1)])).alias("l")).where(F.col("l").isNotNull() & _near("print", "l.print"))
+def _neighbours(grams: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of lines that may be similar and are next to each other, up to three apart, in a gram's order of prints."""
+    order = Window.partitionBy("gram").orderBy("print", "at")
+    rows = grams.select(*_FACTS, *[F.lag(F.struct(*_FACTS), k).over(order).alias(f"l{k}") for k in range(1, _NEIGHBOURS + 1)])
+    before = rows.select(*_FACTS, F.explode(F.array(*[f"l{k}" for k in range(1, _NEIGHBOURS + 1)])).alias("l")).where(F.col("l").isNotNull() & _may("", "l.", similarity))
     return before.select(F.least("at", "l.at").alias("a"), F.greatest("at", "l.at").alias("b")).distinct()
 
 
-def _across(lines: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b) of all lines within BITS bits that aren't in one class yet."""
-    classed = lines.select("at", "print").join(roots.withColumnRenamed("node", "at"), "at", "left").withColumn("root", F.coalesce("root", "at"))
-    rows = _blocks(classed)
-    a, b = (rows.select(*[F.col(c).alias(f"{c}_{side}") for c in ("at", "print", "root")], "block") for side in "ab")
-    met = a.join(b, (a["block"] == b["block"]) & (F.col("at_a") < F.col("at_b")) & _near("print_a", "print_b") & (F.col("root_a") != F.col("root_b")))
-    return met.select(F.col("at_a").alias("a"), F.col("at_b").alias("b")).distinct()
+def _across(grams: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of all lines that share a gram, may be similar and aren't in one class yet."""
+    rows = grams.join(roots.withColumnRenamed("node", "at"), "at", "left").withColumn("root", F.coalesce("root", "at"))
+    a, b = (rows.select(*[F.col(c).alias(f"{side}{c}") for c in (*_FACTS, "root")], "gram") for side in ("a_", "b_"))
+    met = a.join(b, (a["gram"] == b["gram"]) & (F.col("a_at") < F.col("b_at")) & _may("a_", "b_", similarity) & (F.col("a_root") != F.col("b_root")))
+    return met.select(F.col("a_at").alias("a"), F.col("b_at").alias("b")).distinct()
 
 
 def similar_lines(df: DataFrame, pairs: DataFrame, doc: str, text: str, similarity: float) -> DataFrame:
@@ -140,11 +172,14 @@ def similar_lines(df: DataFrame, pairs: DataFrame, doc: str, text: str, similari
 
 def removed_lines(df: DataFrame, doc: str, text: str, similarity: float) -> DataFrame:
     """(__rdoc, __removed: line numbers) of documents with lines that aren't the first of their class."""
+    if similarity < SIMILARITY:
+        raise ValueError(f"grams are shared from a similarity of {SIMILARITY} on")
     with scratch():
         table = cut(line_table(df, doc, text), "line-table")
-        lines = cut(table.groupBy("k1", "n", "print").agg(F.min("at").alias("at")), "line-distinct")  # of one normal form, but for 127 bits of hashes
-        near = connected_components(similar_lines(df, _neighbours(lines), doc, text, similarity))
-        across = similar_lines(df, _across(lines, near), doc, text, similarity)
+        lines = cut(table.groupBy("k1", "n", "print").agg(F.min("at").alias("at"), F.max("x0").alias("x0"), F.max("x1").alias("x1")), "line-distinct")  # of one normal form, but for 127 bits of hashes
+        grams = cut(shared_grams(df, lines, doc, text), "line-grams")
+        near = connected_components(similar_lines(df, _neighbours(grams, similarity), doc, text, similarity))
+        across = similar_lines(df, _across(grams, near, similarity), doc, text, similarity)
         # the links across classes, between the classes' first lines
         to_root = lambda end: near.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
         between = across.join(to_root("src"), "src", "left").join(to_root("dst"), "dst", "left").select(F.coalesce("src_root", "src").alias("src"), F.coalesce("dst_root", "dst").alias("dst"))

@@ -164,6 +164,32 @@ def test_near_lines(spark):
     assert got[1] == "" and got[2] == "A, b!\n--\n--" and got[4] == texts[4]
 
 
+def similar_by_edits(forms, similarity=0.8):
+    """Pairs of indices of word lists whose edit similarity is at least that; no print is asked."""
+    return {(i, j) for j, b in enumerate(forms) for i, a in enumerate(forms[:j]) if abs(len(a) - len(b)) <= (m := int(max(len(a), len(b)) * (1 - similarity) + 1e-9)) and edits(a, b) <= m}
+
+
+def test_lines_by_edit_similarity_alone(spark):
+    rng = np.random.default_rng(3)
+    lines = []
+    for n in [*range(1, 27), 30, 50, 100]:
+        for share in (0, 5, 10, 20):
+            base = [f"w{n}x{i}x{share}" for i in range(n)]
+            lines.append(base)
+            near, many = list(base), n * share // 100 or 1
+            for k in range(many):  # evenly spread, the hardest case: no long run stays
+                at = (2 * k + 1) * len(near) // (2 * many)
+                near[at : at + 1] = [[], [f"new{n}x{k}x{share}"], [near[at], f"add{n}x{k}x{share}"]][rng.integers(3)]
+            lines.append(near)
+    lines = [x for x in lines if x]
+    df = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(lines)], DOCS)
+    root = components(similar_by_edits(lines), range(len(lines)))
+    got = {r.doc_id for r in line_dedup.dedup_lines(df).where("text <> ''").collect()}
+    assert got == {k for k, r in root.items() if k == r}
+    with pytest.raises(ValueError):
+        line_dedup.dedup_lines(df, similarity=0.7)
+
+
 def test_lines_odd_rows(spark):
     docs = documents(spark, None, "", "x y\n\nx y", "x Y", extra=True)
     docs = docs.union(docs.where("doc_id = 2")).union(docs.where("doc_id = 3").withColumn("doc_id", F.lit(None).cast("long")))
