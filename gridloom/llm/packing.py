@@ -13,8 +13,11 @@ simply run again.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 from functools import cache
+from pathlib import Path
 
 import pyarrow as pa
 import tiktoken
@@ -129,6 +132,22 @@ class Packer:
                 yield from self._place(row)
 
 
+@cache
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of the ``tokenizers`` file beside a rank file, if there is one, by their text."""
+    beside = Path(path).with_suffix(".json")
+    return {t["content"]: t["id"] for t in json.loads(beside.read_text("utf-8"))["added_tokens"]} if beside.exists() else {}
+
+
+def parts_of(text: str, added: dict[str, int]) -> Iterator[str]:
+    """A text cut at the added tokens, which are parts of their own, and into chunks between them."""
+    if not any(token in text for token in added):
+        yield from chunks(text)
+        return
+    for part in re.split("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")", text):
+        yield from [part] if part in added else chunks(part)
+
+
 @cache
 def _fast(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
@@ -137,8 +156,8 @@ def _fast(path: str, pattern: str) -> tiktoken.Encoding:
 def pack(df: DataFrame, doc: str, text: str, path: str, pattern: str, *, capacity: int = 1024, separator: int = 0) -> DataFrame:
     """Pieces (doc, start, length, doc_tokens, sequence_id, offset, ids) of all documents' ids, each followed by the separator.
 
-    ``path`` is a rank file; its ids are those of the vocabulary's ``tokenizers`` file without special
-    tokens. ids are little-endian unsigned 32-bit numbers, as binary. Sequences hold exactly
+    ``path`` is a rank file; ids are those of the vocabulary's ``tokenizers`` file of the same name, with
+    its added tokens where a text holds them, and none put around the text. ids are little-endian unsigned 32-bit numbers, as binary. Sequences hold exactly
     ``capacity`` ids, or a power of two of them (the ends of tasks); sequence ids are unique, not
     gapless. A null or empty text is the separator alone. Rows are packed as they come, so repeated ids
     and null ids are documents of their own; an empty table gives no rows; other columns are left out.
@@ -156,7 +175,7 @@ def pack(df: DataFrame, doc: str, text: str, path: str, pattern: str, *, capacit
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        encode, end = _fast(path, pattern), np.array([separator], "<u4")
+        encode, added, end = _fast(path, pattern), added_tokens(path), np.array([separator], "<u4")
         packer, rows, kind = Packer(capacity, TaskContext.get().partitionId() << 40), [], None
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -167,7 +186,7 @@ def pack(df: DataFrame, doc: str, text: str, path: str, pattern: str, *, capacit
         for batch in batches:
             kind = batch.schema.field(0).type
             for key, value in zip(*batch.columns):
-                parts = [np.array(encode.encode_ordinary(part), "<u4") for part in chunks(value.as_py() or "")]
+                parts = [np.array([added[part]] if part in added else encode.encode_ordinary(part), "<u4") for part in parts_of(value.as_py() or "", added)]
                 for row in packer.add(key, np.concatenate([*parts, end])):
                     rows.append(row)
                     if len(rows) >= 4096:

@@ -159,6 +159,16 @@ def test_packing_query(spark, tokenizer):
     assert all(zlib.crc32(docs[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in rows)
 
 
+def test_packing_added_tokens(spark):
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y\n", "<|endoftext", "no token"]
+    want = {k: [*whole.encode(t, add_special_tokens=False).ids, 0] for k, t in enumerate(texts)}
+    got = {k: [] for k in want}
+    for r in sorted(packing.pack(documents(spark, *texts), "doc_id", "text", RANKS, PATTERN).collect(), key=lambda r: (r.doc_id, r.start)):
+        got[r.doc_id] += np.frombuffer(r.ids, "<u4").tolist()
+    assert got == want and got[0] == [64, 220, 50256, 275, 0]
+
+
 def test_packing_odd_rows(spark):
     df = documents(spark, None, "", "word " * 3000, "one", extra=True)
     df = df.union(df.where("doc_id = 3")).union(df.where("doc_id = 3").withColumn("doc_id", F.lit(None).cast("long")))
