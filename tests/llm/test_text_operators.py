@@ -111,6 +111,21 @@ def test_similar_documents(spark):
     assert [r.component_id for r in simhash.similar_documents(docs).orderBy("doc_id").collect()] == [0, 0, 0, 3, 4]
 
 
+def test_similar_documents_with_appended_and_cut_passages(spark):
+    rng = np.random.default_rng(2)
+    word = lambda: f"w{rng.integers(3000)}"
+    texts = []
+    for k in range(40):
+        base = [word() for _ in range(200 + 20 * k)]
+        more = [word() for _ in range(len(base) * (8 + k % 10) // 100)]
+        texts += [" ".join(base + more), " ".join(base)]
+    prints = [simhash.fingerprints(t, simhash._STAGE) for t in texts]
+    apart = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(prints[a][1:], prints[b][1:]))
+    want = components([(a, a + 1) for a in range(0, 80, 2) if apart(a, a + 1) <= simhash.SIMILAR_BITS], range(80))
+    assert sum((prints[a][0] ^ prints[a + 1][0]).bit_count() > 8 and want[a + 1] == a for a in range(0, 80, 2)) > 5
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(documents(spark, *texts)).collect()} == want
+
+
 # --- 2: lines -------------------------------------------------------------------------------------
 
 
