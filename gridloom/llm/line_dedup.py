@@ -1,29 +1,28 @@
 """Fuzzy line deduplication with DataFrame operations only.
 
 A line's normal form is its words (runs of letters and digits), lower-cased. Lines of equal normal form
-are merged first by a hash of it. Candidates share a run of words: with at most a fifth of the longer
-line's n words edited, e = n // 5 edits leave n - e words in e + 1 runs, so one run has (n - e) / (e + 1)
-words or more. That makes 4 words, but 3 where n is 6, 7, 10, 11 or 15, and 2 where n is 5. Of four
-words in a row the smaller by hash of the two trigrams is the same in both lines; so lines of over 15
-words are known by the trigrams that are not above both of their neighbours, shorter ones by all
-trigrams, those of 4 and 5 words by bigrams. No similar pair is lost; pairs are verified by edit
-similarity over words. Connected lines form a class, of which the first occurrence, by document id and
-line number, is kept.
-
-Before that, pairs go whose lengths or parities are too far apart: a line's parity has 128 bits, of
-which every word flips one by its hash, so an edit changes at most two.
-
-Every line has a 63-bit SimHash of its words. Its votes are counted for three bits at once, in lanes of
-21 bits of one BIGINT sum over the words. Adding a constant to every lane carries into the lane's top
-bit exactly where the count is a majority.
-
-Among the lines of a gram, those next to each other in the order of their prints are verified first;
-that joins up most of a dense group of near copies. Only lines that are still in different classes are
-then joined with one another, so every candidate pair is either verified or in one class already, and a
-group of n near copies doesn't make n * n pairs.
-
-Only numbers are shuffled to find classes. Texts are fetched for the candidates alone, and once more to
-rebuild documents that lose lines.
+are merged first, by 128 bits of hashes. Candidates share a block of words; pairs are verified by edit
+similarity over words; connected lines form a class, of which the first occurrence stays.
+
+Blocks by pigeonhole: with at most a fifth of the longer line's words edited, e = n // 5 edits leave
+e + 1 unedited runs. Lines of up to nine words allow one edit, so of two similar ones the first or the
+last half agrees; halves lose no pair. Longer lines are known by runs of three words: those that begin
+at the first places of the ``KEPT`` words with the least hashes, all words' if there are up to twelve. Two
+lines share most of their least words, and a run unless the words behind are edited. Of similar lines
+with edits as evenly spread as can be, about 1 % share no run; with edits at random places, 0.1 %.
+Blocks of a SimHash can't do this: an edited word in five flips about 13 of 64 bits.
+
+The SimHash of a line orders the lines of a block, and rules out pairs of long lines. Its votes are
+counted for three bits at once, in lanes of 21 bits of one BIGINT sum over the words. Adding a constant
+to every lane carries into the lane's top bit exactly where the count is a majority.
+
+Among the lines of a block, those next to each other in the order of their prints are verified first;
+that joins up most of a dense group of near copies. Only lines still in different classes are then
+joined with one another, so a group of n near copies doesn't make n * n pairs. Blocks of more than
+``HOT`` lines are dealt to a grid of cells, so no task has more than that of one block.
+
+Rows are numbered once, in a cut table. Numbers are shuffled to find candidates; texts only of candidates,
+and once to rebuild documents.
 """
 
 from __future__ import annotations
@@ -34,10 +33,17 @@ from gridloom.plans.components import connected_components
 from gridloom.plans.lineage import cut, keep, scratch
 
 SIMILARITY = 0.8
+#: Runs of three words that a line is known by, at most (but for lines of up to two words more).
+KEPT = 10
+#: Lines of a block that meet in one cell of its grid.
+HOT = 1000
+_HALVED = 9  # words of lines that allow one edit at most
 _LANES = 1 | 1 << 21 | 1 << 42
 _MOST = (1 << 20) - 1  # words that a lane can count; longer lines are counted bit by bit
 _NEIGHBOURS = 3
-_WORDS = r"[^\p{L}\p{N}]+"
+_LONG, _BITS = 60, 25  # prints of longer lines must agree in 63 - 25 bits; similar ones differ in 13 on average
+_LETTERS = 0xD500
+_WORDS = r"[^a-z0-9\p{L}\p{N}]+"
 
 
 def _materialised(df: DataFrame, **columns: Column) -> DataFrame:
@@ -61,133 +67,170 @@ def _parity(k: int) -> Column:
     return F.expr(f"bit_xor(if(shiftrightunsigned(h, 6) & 1 = {k}, shiftleft(1L, cast(h & 63 as int)), 0L))")
 
 
-def _bit_by_bit(words: Column) -> Column:
-    """simhash of one array of words, a bit at a time."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
+def _bit_by_bit(hashes: Column) -> Column:
+    """The print of one array of hashes, a bit at a time."""
     votes = lambda k: F.size(F.filter(hashes, lambda h: F.call_function("shiftrightunsigned", h, k).bitwiseAND(F.lit(1)) == 1))
-    bit = lambda k: F.when(2 * votes(k) > F.size(words), F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long"))
+    bit = lambda k: F.when(2 * votes(k) > F.size(hashes), F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long"))
     return F.aggregate(F.sequence(F.lit(0), F.lit(62)), F.lit(0).cast("long"), lambda found, k: found.bitwiseOR(bit(k)))
 
 
-def _lines(df: DataFrame, doc: str, text: str) -> DataFrame:
-    """(doc, pos, line) of all lines."""
-    return df.select(F.col(f"`{doc}`").alias("doc"), F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("pos", "line"))
+def _hashed(lines: DataFrame) -> DataFrame:
+    """lines with h, the hashes of their words, instead of their text; only those with a word."""
+    worded = _materialised(lines, words=line_words(F.col("line"))).drop("line").where(F.size("words") > 0)
+    return _materialised(worded, h=F.transform("words", lambda w: F.xxhash64(w))).drop("words")
+
+
+def _lines(rows: DataFrame, doc: str, text: str) -> DataFrame:
+    """(doc, row, pos, line) of all lines."""
+    return rows.select(F.col(f"`{doc}`").alias("doc"), F.col("__row").alias("row"), F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("pos", "line"))
+
+
+def distinct_lines(rows: DataFrame, doc: str, text: str) -> DataFrame:
+    """(k1, k2: hashes of the normal form, n: its words, blocks, at) of every normal form with a word.
+
+    at is its first place (doc, row, pos), null ids first.
+    """
+    n, h = F.col("n"), F.col("h")
+    of = _hashed(_lines(rows, doc, text)).select("doc", "row", "pos", F.size("h").alias("n"), F.xxhash64("h").alias("k1"), F.xxhash64(F.lit(7), "h").alias("k2"), "h")
+    known = F.slice(F.sort_array(F.array_distinct("h")), 1, F.when(n < _HALVED - 1, 0).when(n <= KEPT + 2, n).otherwise(KEPT))  # lines of 8 and 9 words meet those of 10
+    of = _materialised(of, known=known)
+    of = _materialised(of, places=F.transform("known", lambda x: F.array_position("h", x).cast("int")))
+    runs = F.transform("places", lambda i: F.when(i + 1 < n, F.xxhash64(F.get(h, i - 1), F.get(h, i), F.get(h, i + 1))))
+    sizes = F.array_distinct(F.array(F.floor(n / 2).cast("int"), F.greatest(F.floor((n - 1) / 2).cast("int"), F.lit(2))))
+    halves = F.flatten(F.transform(sizes, lambda m: F.array(F.xxhash64(F.lit("first"), F.slice(h, 1, m)), F.xxhash64(F.lit("last"), F.slice(h, n - m + 1, m)))))
+    runs = F.transform(runs, lambda x: x.bitwiseAND(F.lit(-2)))  # even
+    halves = F.transform(halves, lambda x: x.bitwiseOR(F.lit(1)))
+    blocks = F.array_distinct(F.array_compact(F.when((n > 3) & (n <= _HALVED), F.concat(runs, halves)).otherwise(runs)))
+    first = of.select("doc", "row", "pos", "n", "k1", "k2", blocks.alias("blocks")).groupBy("k1", "k2").agg(F.min(F.struct("doc", "row", "pos", "n", "blocks")).alias("at"))
+    return first.select("k1", "k2", "at.n", "at.blocks", F.struct("at.doc", "at.row", "at.pos").alias("at"))
+
+
+def shared_blocks(lines: DataFrame) -> DataFrame:
+    """(block, k1, parts) for the blocks of two lines or more; parts is by how many cells a side its grid has."""
+    one = lines.select(F.explode("blocks").alias("block"), "k1")
+    sizes = one.groupBy("block").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = cut(sizes.select("block", F.ceil(F.col("n") / HOT).cast("int").alias("parts")), "line-sizes")
+    return _probed(one, ["block"], sizes).join(sizes, "block")
 
 
 def _probed(rows: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
-    """rows whose keys may be among wanted's, and few others, found as they are read: nothing is shuffled for it.
+    """rows whose keys may be among wanted's, found as they are read, so that few others are shuffled.
 
-    A bitmap of 2^26 bits, sent as at most 2^20 words of 64 bits, 16 MB whatever the tables' sizes.
+    A bitmap of 2^26 bits is sent, as at most 2^11 values of 4 KB: 8 MB whatever the tables' sizes.
+    Beyond some 10^8 wanted keys it lets everything pass; an exact join always follows.
     """
-    spot = F.xxhash64(*keys).bitwiseAND(F.lit((1 << 26) - 1))
-    marks = wanted.select(spot.alias("h")).groupBy(F.shiftright("h", 6).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits"))
-    at = rows.withColumn("h", spot).withColumn("cell", F.shiftright("h", 6))
-    return at.join(F.broadcast(marks), "cell").where(F.expr("shiftrightunsigned(bits, cast(h & 63 as int)) & 1 = 1")).select(*rows.columns)
+    spot = F.pmod(F.xxhash64(*keys), F.lit(1 << 26))
+    marks = wanted.select(spot.alias("h")).groupBy(F.expr("bitmap_bucket_number(h)").alias("cell")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("bits"))
+    at = rows.withColumn("h", spot).withColumns({"cell": F.expr("bitmap_bucket_number(h)"), "bit": F.expr("cast(bitmap_bit_position(h) as int)")})
+    byte = F.expr("cast(conv(hex(substring(bits, bit div 8 + 1, 1)), 16, 10) as int)")
+    return at.join(F.broadcast(marks), "cell").where(byte.bitwiseAND(F.expr("shiftleft(1, bit % 8)")) != 0).select(*rows.columns)
+
 
+def wanted_words(rows: DataFrame, doc: str, text: str, wanted: DataFrame) -> DataFrame:
+    """(k1, n, h: the words' hashes) of the lines wanted, a table of (k1, row, pos)."""
+    found = _probed(_lines(rows, doc, text).drop("doc"), ["row", "pos"], wanted.select("row", "pos")).join(wanted, ["row", "pos"])
+    return _hashed(found.select("k1", "line")).select("k1", F.size("h").alias("n"), "h")
 
-def line_table(df: DataFrame, doc: str, text: str) -> DataFrame:
-    """(at: id and line number, k1: a hash of the normal form, n: its words, x0, x1: parity, print) of all lines with a word.
+
+def prints(words: DataFrame) -> DataFrame:
+    """(k1, n, x0, x1: parity, print) of lines (k1, n, h).
 
     print is the 63-bit SimHash of the words' hashes, repeats included: a bit is set if it is in over half of them.
-    The parity is null where the bits are counted one by one, and where rows share an id, and so a place.
+    The parity has 128 bits, of which every word flips one. It is null where the bits are counted one by one.
     """
-    worded = _materialised(_lines(df, doc, text).select("doc", "pos", line_words(F.col("line")).alias("raw")), words=F.col("raw")).where(F.size("words") > 0)
-    n = F.size("words")
-    keyed = worded.select("doc", "pos", F.xxhash64("words").alias("k1"), n.alias("n"), F.when(n > _MOST, _bit_by_bit(F.col("words"))).alias("long_print"), F.when(n <= _MOST, F.col("words")).alias("words"))
-    hashes = keyed.select("doc", "pos", "k1", "n", "long_print", F.explode_outer("words").alias("word")).withColumn("h", F.xxhash64("word"))
-    votes = hashes.groupBy("doc", "pos", "k1", "n").agg(F.count("*").alias("c"), F.max("long_print").alias("long_print"), *[_parity(k).alias(f"x{k}") for k in range(2)], *[F.sum(_lane(F.col("h"), k)).alias(f"v{k}") for k in range(21)])
-    lift = (F.lit(1 << 20) - F.floor(F.col("c") / 2) - 1) * F.lit(_LANES)
+    long = F.col("n") > _MOST
+    one = words.select("k1", "n", F.when(long, _bit_by_bit(F.col("h"))).alias("long_print"), F.when(~long, F.col("h")).alias("words"))
+    one = one.select("k1", "n", "long_print", F.explode_outer("words").alias("h"))
+    votes = one.groupBy("k1", "n").agg(F.max("long_print").alias("long_print"), *[_parity(k).alias(f"x{k}") for k in range(2)], *[F.sum(_lane(F.col("h"), k)).alias(f"v{k}") for k in range(21)])
+    lift = (F.lit(1 << 20) - F.floor(F.col("n") / 2) - 1) * F.lit(_LANES)
     found = F.lit(0).cast("long")
     for k in range(21):
         found = found.bitwiseOR(F.shiftleft(_lane(F.col(f"v{k}") + lift, 20), k))
-    parity = [F.when(F.col("c") == F.col("n"), F.col(f"x{k}")).alias(f"x{k}") for k in range(2)]
-    return votes.select(F.struct("doc", "pos").alias("at"), "k1", "n", *parity, F.when(F.col("long_print").isNotNull(), F.col("long_print")).otherwise(found).alias("print"))
+    long = F.col("long_print").isNotNull()
+    return votes.select("k1", "n", *[F.when(~long, F.col(f"x{k}")).alias(f"x{k}") for k in range(2)], F.when(long, F.col("long_print")).otherwise(found).alias("print"))
 
 
-def _grams(df: DataFrame, doc: str, text: str) -> DataFrame:
-    """(k1, gram) of all lines: every pair of lines that can be similar shares a gram."""
-    raw = _lines(df, doc, text).select(line_words(F.col("line")).alias("raw"))
-    worded = _materialised(raw, words=F.col("raw")).where(F.size("words") > 3).select(F.xxhash64("words").alias("k1"), "words")
-    at = worded.select("k1", "words", F.size("words").alias("n"), F.explode(F.sequence(F.lit(0), F.size("words") - 2)).alias("i"))
-    gram = lambda k: F.expr(f"xxhash64(get(words, i + {k}), get(words, i + {k + 1}), get(words, i + {k + 2}))")
-    least = (F.col("n") <= 15) | (F.col("i") == 0) | (F.col("i") == F.col("n") - 3) | (gram(0) <= gram(-1)) | (gram(0) <= gram(1))
-    three = F.when((F.col("n") > 4) & (F.col("i") < F.col("n") - 2) & least, gram(0))
-    two = F.when(F.col("n") < 6, F.expr("xxhash64(get(words, i), get(words, i + 1))"))
-    short = at.where("n < 6").select("k1", two.alias("gram"))
-    return at.select("k1", three.alias("gram")).where(F.col("gram").isNotNull()).union(short)
+_FACTS = ("k1", "n", "x0", "x1", "print")
 
 
-def shared_grams(df: DataFrame, lines: DataFrame, doc: str, text: str) -> DataFrame:
-    """lines by gram, for the grams of two lines or more."""
-    of = Window.partitionBy("gram")
-    known = _grams(df, doc, text).select("gram", "k1", F.min("k1").over(of).alias("low"), F.max("k1").over(of).alias("high"))
-    return known.where("low <> high").select("gram", "k1").distinct().join(lines, "k1").drop("k1")
+def _most(a: Column, b: Column, similarity: float) -> Column:
+    """The edits that two lines of a and b words may be apart."""
+    return F.floor(F.greatest(a, b) * (1 - similarity) + 1e-9).cast("int")
 
 
 def _may(a: str, b: str, similarity: float) -> Column:
-    """Whether lengths and parities allow two lines to be similar."""
-    most = F.floor(F.greatest(f"{a}n", f"{b}n") * (1 - similarity) + 1e-9)
-    flips = sum((F.bit_count(F.col(f"{a}x{k}").bitwiseXOR(F.col(f"{b}x{k}"))) for k in range(2)), F.lit(0))
-    return (F.abs(F.col(f"{a}n") - F.col(f"{b}n")) <= most) & F.coalesce(flips <= 2 * most, F.lit(True))
+    """Whether lengths, parities and, for long lines, prints allow two lines to be similar: an edit changes two bits of a parity at most."""
+    n, m = F.col(f"{a}n"), F.col(f"{b}n")
+    most = _most(n, m, similarity)
+    apart = lambda c: F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}")))
+    met = (F.greatest(n, m) > _HALVED) | (F.col("block").bitwiseAND(F.lit(1)) == 1)  # two short lines share a half if they are similar
+    return met & (F.abs(n - m) <= most) & F.coalesce(apart("x0") + apart("x1") <= 2 * most, F.lit(True)) & ((F.least(n, m) <= _LONG) | (apart("print") <= _BITS))
+
 
+def _neighbours(blocks: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of lines that may be similar and are next to each other, up to three apart, in a block's order of prints."""
+    order = Window.partitionBy("block", F.when(F.col("parts") > 1, F.pmod(F.shiftright("print", 40), F.col("parts")))).orderBy("print", "k1")
+    rows = blocks.select("block", *_FACTS, *[F.lag(F.struct(*_FACTS), k).over(order).alias(f"l{k}") for k in range(1, _NEIGHBOURS + 1)])
+    before = rows.select("block", *_FACTS, F.explode(F.array(*[f"l{k}" for k in range(1, _NEIGHBOURS + 1)])).alias("l")).where(F.col("l").isNotNull() & _may("", "l.", similarity))
+    return before.select(F.least("k1", "l.k1").alias("a"), F.greatest("k1", "l.k1").alias("b")).distinct()
 
-_FACTS = ("at", "n", "x0", "x1")
 
+def _across(blocks: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of all lines that share a block, may be similar and aren't in one class yet.
 
-def _neighbours(grams: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of lines that may be similar and are next to each other, up to three apart, in a gram's order of prints."""
-    order = Window.partitionBy("gram").orderBy("print", "at")
-    rows = grams.select(*_FACTS, *[F.lag(F.struct(*_FACTS), k).over(order).alias(f"l{k}") for k in range(1, _NEIGHBOURS + 1)])
-    before = rows.select(*_FACTS, F.explode(F.array(*[f"l{k}" for k in range(1, _NEIGHBOURS + 1)])).alias("l")).where(F.col("l").isNotNull() & _may("", "l.", similarity))
-    return before.select(F.least("at", "l.at").alias("a"), F.greatest("at", "l.at").alias("b")).distinct()
+    The lines of a block of several parts are dealt to them by hash; every pair of parts meets in a cell.
+    """
+    rows = blocks.join(roots.withColumnRenamed("node", "k1"), "k1", "left").withColumn("root", F.coalesce("root", "k1"))
+    mixed = cut(rows.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("block"), "line-mixed")
+    rows = rows.join(mixed, "block", "left_semi").withColumn("part", F.pmod(F.xxhash64("k1"), F.col("parts")).cast("int"))
+    facts = (*_FACTS, "root")
+    own = rows.select("block", F.col("part").alias("i"), F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("j"), *[F.col(c).alias(f"a_{c}") for c in facts])
+    met = rows.select("block", F.explode(F.sequence(F.lit(0), F.col("part"))).alias("i"), F.col("part").alias("j"), *[F.col(c).alias(f"b_{c}") for c in facts])
+    pairs = own.join(met, ["block", "i", "j"]).where(((F.col("i") < F.col("j")) | (F.col("a_k1") < F.col("b_k1"))) & (F.col("a_root") != F.col("b_root")) & _may("a_", "b_", similarity))
+    return pairs.select(F.least("a_k1", "b_k1").alias("a"), F.greatest("a_k1", "b_k1").alias("b")).distinct()
 
 
-def _across(grams: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of all lines that share a gram, may be similar and aren't in one class yet."""
-    rows = grams.join(roots.withColumnRenamed("node", "at"), "at", "left").withColumn("root", F.coalesce("root", "at"))
-    a, b = (rows.select(*[F.col(c).alias(f"{side}{c}") for c in (*_FACTS, "root")], "gram") for side in ("a_", "b_"))
-    met = a.join(b, (a["gram"] == b["gram"]) & (F.col("a_at") < F.col("b_at")) & _may("a_", "b_", similarity) & (F.col("a_root") != F.col("b_root")))
-    return met.select(F.col("a_at").alias("a"), F.col("b_at").alias("b")).distinct()
+def _string(letters: Column) -> Column:
+    """A string with one character per number of an array."""
+    return F.decode(F.unhex(F.array_join(F.transform(letters, lambda x: F.lpad(F.hex(x + 0x0300), 4, "0")), "")), "UTF-16BE")
 
 
-def similar_lines(df: DataFrame, pairs: DataFrame, doc: str, text: str, similarity: float) -> DataFrame:
-    """(src, dst) of the pairs (a, b) whose lines are at least ``similarity`` alike: 1 - edits / words of the longer, an edit being a word.
+def similar(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst) of the pairs (a, b), a cut table, whose lines (k1, h) are at least ``similarity`` alike: 1 - edits / words of the longer, an edit being a word.
 
-    The distance is taken between strings with one character per word, from an alphabet of 54,528 by the
-    word's hash; two different words are the same character once in as many pairs.
+    The distance is taken between strings with a character per word, its hash modulo 54,528. That can
+    only be too small, where two different words of the pair have one character; such pairs are compared
+    again with words as their places in the pair's own vocabulary.
     """
-    pairs = cut(pairs, "line-pairs")
-    wanted = pairs.select(F.col("a").alias("at")).union(pairs.select("b")).distinct()
-    flat = wanted.select("at.doc", "at.pos")
-    docs = _probed(df.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{text}`").alias("text")), ["doc"], flat)
-    found = _probed(_lines(docs, "doc", "text"), ["doc", "pos"], flat).select(F.struct("doc", "pos").alias("at"), "line").join(wanted, "at", "left_semi")
-    letters = F.transform(line_words(F.col("line")), lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(0xD500)) + 0x0300), 4, "0"))
-    form = cut(found.groupBy("at").agg(F.min("line").alias("line")).select("at", F.decode(F.unhex(F.array_join(letters, "")), "UTF-16BE").alias("form")), "line-forms")
-    both = pairs.join(form.select(F.col("at").alias("a"), F.col("form").alias("fa")), "a").join(form.select(F.col("at").alias("b"), F.col("form").alias("fb")), "b")
-    longer = F.greatest(F.char_length("fa"), F.char_length("fb"))
-    both = both.withColumn("most", F.floor(longer * (1 - similarity) + 1e-9).cast("int"))
-    near = F.expr("levenshtein(fa, fb, most)")  # stops beyond the threshold, with -1
-    return both.where((F.abs(F.char_length("fa") - F.char_length("fb")) <= F.col("most")) & (near >= 0)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-
-
-def removed_lines(df: DataFrame, doc: str, text: str, similarity: float) -> DataFrame:
-    """(__rdoc, __removed: line numbers) of documents with lines that aren't the first of their class."""
-    if similarity < SIMILARITY:
-        raise ValueError(f"grams are shared from a similarity of {SIMILARITY} on")
-    with scratch():
-        table = cut(line_table(df, doc, text), "line-table")
-        lines = cut(table.groupBy("k1", "n", "print").agg(F.min("at").alias("at"), F.max("x0").alias("x0"), F.max("x1").alias("x1")), "line-distinct")  # of one normal form, but for 127 bits of hashes
-        grams = cut(shared_grams(df, lines, doc, text), "line-grams")
-        near = connected_components(similar_lines(df, _neighbours(grams, similarity), doc, text, similarity))
-        across = similar_lines(df, _across(grams, near, similarity), doc, text, similarity)
-        # the links across classes, between the classes' first lines
-        to_root = lambda end: near.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
-        between = across.join(to_root("src"), "src", "left").join(to_root("dst"), "dst", "left").select(F.coalesce("src_root", "src").alias("src"), F.coalesce("dst_root", "dst").alias("dst"))
-        classes = connected_components(between)
-        later = near.where("node <> root").select("node").union(classes.where("node <> root").select("node")).select(F.col("node").alias("at"))
-        first = lines.join(later, "at", "left_anti").select("at")  # of classes; every other occurrence goes
-        gone = table.select("at").join(first, "at", "left_anti").groupBy(F.col("at.doc").alias("__rdoc")).agg(F.collect_set("at.pos").alias("__removed"))
-        return keep(cut(gone, "line-removed"))
+    paired = pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).distinct()
+    words = words.join(paired, "k1", "left_semi").select("k1", "h", _string(F.transform("h", lambda x: F.pmod(x, F.lit(_LETTERS)))).alias("form"))
+    side = lambda c: words.select(F.col("k1").alias(c), F.col("h").alias(f"h{c}"), F.col("form").alias(f"f{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("most", _most(F.size("ha"), F.size("hb"), similarity))
+    near = both.where((F.abs(F.size("ha") - F.size("hb")) <= F.col("most")) & (F.expr("levenshtein(fa, fb, most)") >= 0))  # stops beyond the threshold, with -1
+    near = _materialised(near, known=F.array_union("ha", "hb"))
+    letters = F.size(F.array_distinct(F.split(F.concat("fa", "fb"), "")))
+    place = lambda h: _string(F.transform(F.col(h), lambda x: F.array_position("known", x)))
+    exact = F.when((letters == F.size("known")) | (F.size("known") >= _LETTERS), F.lit(True)).otherwise(F.call_function("levenshtein", place("ha"), place("hb"), F.col("most")) >= 0)
+    return near.where(exact).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
+def kept_places(rows: DataFrame, doc: str, text: str, similarity: float) -> DataFrame:
+    """(__of: row, __stay: line numbers) of the lines that are the first of their class."""
+    lines = cut(distinct_lines(rows, doc, text), "line-distinct")
+    shared = cut(shared_blocks(lines), "line-blocks")
+    wanted = cut(lines.select("k1", "at.row", "at.pos").join(shared.select("k1").distinct(), "k1", "left_semi"), "line-wanted")
+    words = cut(wanted_words(rows, doc, text, wanted), "line-words")
+    blocks = cut(shared.join(prints(words), "k1"), "line-facts")
+    near = connected_components(similar(cut(_neighbours(blocks, similarity), "line-pairs"), words, similarity))
+    across = similar(cut(_across(blocks, near, similarity), "line-pairs"), words, similarity)
+    to_root = lambda end: near.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+    between = across.join(to_root("src"), "src", "left").join(to_root("dst"), "dst", "left").select(F.coalesce("src_root", "src").alias("src"), F.coalesce("dst_root", "dst").alias("dst"))
+    classes = connected_components(between).select(F.col("node").alias("root"), F.col("root").alias("class"))  # of roots, and of lines that had no class
+    linked = near.select(F.col("node").alias("k1"), "root").join(classes, "root", "left").select("k1", F.coalesce("class", "root").alias("class"))
+    # a line without a link is known by all 128 bits, so that of linked ones only 64 must differ
+    classed = lines.select("k1", "k2", "at").join(linked.union(classes.join(linked, F.col("root") == F.col("k1"), "left_anti")), "k1", "left")
+    first = classed.groupBy(F.coalesce("class", "k1").alias("class"), F.when(F.col("class").isNull(), F.col("k2")).alias("k2")).agg(F.min("at").alias("at"))
+    return keep(cut(first.groupBy(F.col("at.row").alias("__of")).agg(F.collect_set("at.pos").alias("__stay")), "line-kept"))
 
 
 def dedup_lines(df: DataFrame, doc: str = "doc_id", text: str = "text", *, similarity: float = SIMILARITY) -> DataFrame:
@@ -195,20 +238,24 @@ def dedup_lines(df: DataFrame, doc: str = "doc_id", text: str = "text", *, simil
 
     Of every class of alike lines the first occurrence stays, in the document with the smallest id
     (null ids first), in its first place. Lines without a letter or digit stay. A null text stays null,
-    an empty one empty; a document may end up empty. Rows that share an id are one document: they lose
-    the same lines. An empty table gives no rows. Other columns are kept as they are, but for those of the two new names.
+    an empty one empty; a document may end up empty. Rows that share an id, or are the same, are
+    documents of their own, in the order of a number given to the rows once. An empty table gives no
+    rows. Other columns are kept as they are, but for those of the two new names. Lines have any length;
+    where the words of a pair are 54,528 or more, two of them can pass for one.
     """
-    removed = removed_lines(df, doc, text, similarity)
-    key = F.col(f"`{doc}`")
-    joined = df.join(removed.hint("shuffle_hash"), key.eqNullSafe(F.col("__rdoc")), "left").drop("__rdoc")
-    body = F.col(f"`{text}`")
-    joined = _materialised(joined, __lines=F.when(F.col("__removed").isNotNull(), F.split(body, "\n")))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__removed")
-    joined = _materialised(joined, __stay=F.when(F.col("__removed").isNotNull(), stay))
-    after = F.array_join(F.transform("__stay", lambda at: F.element_at("__lines", at + 1)), "\n")
-    n = F.when(body.isNull(), 0).otherwise(F.char_length(body) - F.char_length(F.replace(body, F.lit("\n"), F.lit(""))) + 1)
-    gone = F.coalesce(F.size("__lines") - F.size("__stay"), F.lit(0))
+    if similarity < SIMILARITY:
+        raise ValueError(f"blocks are shared from a similarity of {SIMILARITY} on")
+    columns = [c for c in df.columns if c.lower() not in ("n_lines_kept", "n_lines_removed")]
+    with scratch():
+        rows = keep(cut(df.select(*[F.col(f"`{c}`") for c in columns], F.monotonically_increasing_id().alias("__row")), "line-rows"))
+        stay = kept_places(rows, doc, text, similarity)
+    joined = rows.join(stay.hint("shuffle_hash"), F.col("__row") == F.col("__of"), "left")
+    joined = _materialised(joined, __lines=F.split(F.col(f"`{text}`"), "\n"))
+    stays = lambda line, k: F.coalesce(F.array_contains(F.col("__stay"), k), F.lit(False)) | ~line.rlike(r"[a-z0-9\p{L}\p{N}]")
+    joined = _materialised(joined, __left=F.filter("__lines", stays))
+    lost = F.coalesce(F.size("__lines") - F.size("__left"), F.lit(0))
+    body = F.when(lost > 0, F.array_join("__left", "\n")).otherwise(F.col(f"`{text}`"))
     return joined.select(
-        *[(F.when(F.col("__removed").isNull(), F.col(f"`{c}`")).otherwise(after) if c == text else F.col(f"`{c}`")).alias(c) for c in df.columns if c.lower() not in ("n_lines_kept", "n_lines_removed")],
-        (n - gone).cast("long").alias("n_lines_kept"), gone.cast("long").alias("n_lines_removed"),
+        *[(body if c == text else F.col(f"`{c}`")).alias(c) for c in columns],
+        F.coalesce(F.size("__left"), F.lit(0)).cast("long").alias("n_lines_kept"), lost.cast("long").alias("n_lines_removed"),
     )

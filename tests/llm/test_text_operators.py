@@ -143,19 +143,14 @@ def edits(a, b):
 
 
 def slow_dedup(texts):
-    """texts: {id: text}; the same by comparing all lines."""
+    """texts: {id: text}; the same by comparing all lines, by edit similarity alone."""
     places = [(d, p, line_words(line)) for d, t in sorted(texts.items()) for p, line in enumerate(t.split("\n"))]
     forms = {}
     for d, p, words in places:
         if words:
             forms.setdefault(tuple(words), (d, p))
-    prints = {f: sum(1 << b for b in range(63) if 2 * sum(xxhash.xxh64_intdigest(w.encode(), 42) >> b & 1 for w in f) > len(f)) for f in forms}
-    links, items = [], list(forms)
-    for k, a in enumerate(items):
-        for b in items[k + 1 :]:
-            n = max(len(a), len(b))
-            if (prints[a] ^ prints[b]).bit_count() <= 2 and edits(a, b) <= int(n * 0.2 + 1e-9):
-                links.append((forms[a], forms[b]))
+    items = list(forms)
+    links = [(forms[items[i]], forms[items[j]]) for i, j in similar_by_edits(items)]
     root = components(links, list(forms.values()))
     kept = {at for at, r in root.items() if at == r}
     return {d: "\n".join(line for p, line in enumerate(t.split("\n")) if not line_words(line) or (d, p) in kept) for d, t in texts.items()}
@@ -180,8 +175,15 @@ def test_near_lines(spark):
 
 
 def similar_by_edits(forms, similarity=0.8):
-    """Pairs of indices of word lists whose edit similarity is at least that; no print is asked."""
-    return {(i, j) for j, b in enumerate(forms) for i, a in enumerate(forms[:j]) if abs(len(a) - len(b)) <= (m := int(max(len(a), len(b)) * (1 - similarity) + 1e-9)) and edits(a, b) <= m}
+    """Pairs of indices of word lists whose edit similarity is at least that; an edit takes one word at most from what two bags share."""
+    bags, out = [collections.Counter(f) for f in forms], set()
+    for j, b in enumerate(forms):
+        for i, a in enumerate(forms[:j]):
+            longer = max(len(a), len(b))
+            most = int(longer * (1 - similarity) + 1e-9)
+            if abs(len(a) - len(b)) <= most and (bags[i] & bags[j]).total() >= longer - most and edits(a, b) <= most:
+                out.add((i, j))
+    return out
 
 
 def test_lines_by_edit_similarity_alone(spark):
@@ -215,24 +217,86 @@ def test_lines_odd_rows(spark):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def line_prints(spark, words):
+    lines = spark.createDataFrame([(1, [int(np.uint64(xxhash.xxh64_intdigest(w.encode(), 42)).astype(np.int64)) for w in words])], "k1 long, h array<long>")
+    return line_dedup.prints(lines.withColumn("n", F.size("h"))).first()
+
+
 @pytest.mark.parametrize("n", [1, 2, 255, 256, 5000])
 def test_line_print(spark, n):
     words = [f"w{i * i % 113}" for i in range(n)]
-    row = line_dedup.line_table(documents(spark, " ".join(words)), "doc_id", "text").first()
     hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words]
-    assert row.print == sum(1 << b for b in range(63) if 2 * sum(h >> b & 1 for h in hashes) > n)
+    assert line_prints(spark, words).print == sum(1 << b for b in range(63) if 2 * sum(h >> b & 1 for h in hashes) > n)
 
 
 def test_very_long_line_counts_bit_by_bit(spark, monkeypatch):
     words = [f"w{i}" for i in range(50)]
-    want = line_dedup.line_table(documents(spark, " ".join(words)), "doc_id", "text").first().print
+    want = line_prints(spark, words).print
     monkeypatch.setattr(line_dedup, "_MOST", 40)
-    assert line_dedup.line_table(documents(spark, " ".join(words)), "doc_id", "text").first().print == want
+    assert line_prints(spark, words).print == want
 
 
 def test_lines_stay_native(spark):
-    plan = line_dedup.line_table(documents(spark, "a"), "doc_id", "text")._jdf.queryExecution().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+    plans = []
+    for step in (line_dedup.distinct_lines(documents(spark, "a").withColumn("__row", F.lit(1)), "doc_id", "text"), line_dedup.dedup_lines(documents(spark, "a b\nA b"))):
+        plans.append(step._jdf.queryExecution().toString())
+    assert not re.search("Python|Pandas|Arrow", "".join(plans))
+
+
+@pytest.mark.parametrize("n", [5, 10, 20, 50])
+def test_lines_recall(spark, n):
+    """Of lines edited to a similarity of 0.8, evenly and at random places, at least 0.97 go."""
+    rng = np.random.default_rng(n)
+    lines = []
+    for k in range(200):
+        base = [f"{k}w{i}" for i in range(n)]
+        near, many = list(base), n // 5
+        for i, at in enumerate([(2 * m + 1) * n // (2 * many) for m in range(many)] if k % 2 else rng.choice(n, many, replace=False)):
+            near[at] = f"{k}new{i}"
+        lines += [base, near]
+    kept = {r.doc_id for r in line_dedup.dedup_lines(documents(spark, *map(" ".join, lines))).where("text <> ''").collect()}
+    assert kept >= set(range(0, 400, 2)) and len(kept) <= 206
+
+
+def test_lines_with_the_same_and_null_ids(spark):
+    rows = [(None, "uniq one\nalpha beta"), (None, "alpha beta\n===="), (1, "alpha beta\n---"), (2, "alpha beta"), (2, "alpha beta\nown line"), (2, "alpha beta")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS).coalesce(1)).collect()
+    assert sorted(((r.doc_id or 0), r.text) for r in got) == [(0, "===="), (0, "uniq one\nalpha beta"), (1, "---"), (2, ""), (2, ""), (2, "own line")]
+
+
+def test_permuted_lines_make_few_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(8)]
+    lines = list({tuple(rng.permutation(words)) for _ in range(700)})
+    pairs, cut = {}, line_dedup.cut
+
+    def counted(df, label):
+        made = cut(df, label)
+        pairs[label] = pairs.get(label, 0) + made.count() * (label == "line-pairs")
+        return made
+
+    monkeypatch.setattr(line_dedup, "cut", counted)
+    got = {r.doc_id for r in line_dedup.dedup_lines(documents(spark, *map(" ".join, lines))).where("text <> ''").collect()}
+    root = components(similar_by_edits(lines), range(len(lines)))
+    assert got == {k for k, r in root.items() if k == r} and 0 < pairs["line-pairs"] < 20 * len(lines)
+
+
+def test_hot_blocks_are_dealt_to_a_grid(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    head = [f"h{i}" for i in range(4)]
+    lines = [head + [f"w{rng.integers(6)}" for _ in range(5)] for _ in range(150)]
+    lines = [list(x) for x in {tuple(x) for x in lines}]
+    root = components(similar_by_edits(lines), range(len(lines)))
+    monkeypatch.setattr(line_dedup, "HOT", 16)
+    got = {r.doc_id for r in line_dedup.dedup_lines(documents(spark, *map(" ".join, lines))).where("text <> ''").collect()}
+    assert got == {k for k, r in root.items() if k == r}
+
+
+def test_words_of_one_letter_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "_LETTERS", 40)
+    lines = [[f"w{i}" for i in range(k, k + 14)] for k in (0, 3)] + [["w0", "x1", *(f"w{i}" for i in range(2, 14))]]
+    got = {r.doc_id for r in line_dedup.dedup_lines(documents(spark, *map(" ".join, lines))).where("text <> ''").collect()}
+    assert got == {0, 1}
 
 
 # --- 3: HTML --------------------------------------------------------------------------------------
