@@ -12,11 +12,11 @@ lines share most of their least words, and a run unless the words behind are edi
 with edits as evenly spread as can be, about 1 % share no run; with edits at random places, 0.1 %.
 Blocks of a SimHash can't do this: an edited word in five flips about 13 of 64 bits.
 
-The SimHash of a line orders the lines of a block, and rules out pairs of long lines. Its votes are
-counted for three bits at once, in lanes of 21 bits of one BIGINT sum over the words. Adding a constant
-to every lane carries into the lane's top bit exactly where the count is a majority.
+Before texts are read again, pairs go whose lengths or signatures are too far apart. A signature has a bit
+for each of a line's least words, of 64: an edit changes two at most in lines of up to twelve words;
+of longer similar lines it leaves 10 bits or fewer different, but for 1 in 250.
 
-Among the lines of a block, those next to each other in the order of their prints are verified first;
+Among the lines of a block, those next to each other in the order of their signatures are verified first;
 that joins up most of a dense group of near copies. Only lines still in different classes are then
 joined with one another, so a group of n near copies doesn't make n * n pairs. Blocks of more than
 ``HOT`` lines are dealt to a grid of cells, so no task has more than that of one block.
@@ -38,10 +38,8 @@ KEPT = 10
 #: Lines of a block that meet in one cell of its grid.
 HOT = 1000
 _HALVED = 9  # words of lines that allow one edit at most
-_LANES = 1 | 1 << 21 | 1 << 42
-_MOST = (1 << 20) - 1  # words that a lane can count; longer lines are counted bit by bit
 _NEIGHBOURS = 3
-_LONG, _BITS = 60, 25  # prints of longer lines must agree in 63 - 25 bits; similar ones differ in 13 on average
+_BITS = 10  # of two signatures of similar lines of over KEPT + 2 words
 _LETTERS = 0xD500
 _WORDS = r"[^a-z0-9\p{L}\p{N}]+"
 
@@ -58,22 +56,6 @@ def line_words(line: Column) -> Column:
     return F.array_remove(F.split(F.lower(line), _WORDS), "")
 
 
-def _lane(h: Column, k: int) -> Column:
-    return F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_LANES))
-
-
-def _parity(k: int) -> Column:
-    """Half k of a line's parity, from its words' hashes h."""
-    return F.expr(f"bit_xor(if(shiftrightunsigned(h, 6) & 1 = {k}, shiftleft(1L, cast(h & 63 as int)), 0L))")
-
-
-def _bit_by_bit(hashes: Column) -> Column:
-    """The print of one array of hashes, a bit at a time."""
-    votes = lambda k: F.size(F.filter(hashes, lambda h: F.call_function("shiftrightunsigned", h, k).bitwiseAND(F.lit(1)) == 1))
-    bit = lambda k: F.when(2 * votes(k) > F.size(hashes), F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(62)), F.lit(0).cast("long"), lambda found, k: found.bitwiseOR(bit(k)))
-
-
 def _hashed(lines: DataFrame) -> DataFrame:
     """lines with h, the hashes of their words, instead of their text; only those with a word."""
     worded = _materialised(lines, words=line_words(F.col("line"))).drop("line").where(F.size("words") > 0)
@@ -86,28 +68,30 @@ def _lines(rows: DataFrame, doc: str, text: str) -> DataFrame:
 
 
 def distinct_lines(rows: DataFrame, doc: str, text: str) -> DataFrame:
-    """(k1, k2: hashes of the normal form, n: its words, blocks, at) of every normal form with a word.
+    """(k1, k2: hashes of the normal form, n: its words, sig, blocks, at) of every normal form with a word.
 
     at is its first place (doc, row, pos), null ids first.
     """
     n, h = F.col("n"), F.col("h")
     of = _hashed(_lines(rows, doc, text)).select("doc", "row", "pos", F.size("h").alias("n"), F.xxhash64("h").alias("k1"), F.xxhash64(F.lit(7), "h").alias("k2"), "h")
-    known = F.slice(F.sort_array(F.array_distinct("h")), 1, F.when(n < _HALVED - 1, 0).when(n <= KEPT + 2, n).otherwise(KEPT))  # lines of 8 and 9 words meet those of 10
+    known = F.slice(F.sort_array(F.array_distinct("h")), 1, F.when(n <= KEPT + 2, n).otherwise(KEPT))
     of = _materialised(of, known=known)
-    of = _materialised(of, places=F.transform("known", lambda x: F.array_position("h", x).cast("int")))
+    run = lambda x: F.array_position("h", x).cast("int")
+    of = _materialised(of, places=F.transform(F.slice("known", 1, F.when(n < _HALVED - 1, 0).otherwise(KEPT + 2)), run))  # lines of 8 and 9 words meet those of 10
+    sig = F.aggregate("known", F.lit(0).cast("long"), lambda bits, x: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
     runs = F.transform("places", lambda i: F.when(i + 1 < n, F.xxhash64(F.get(h, i - 1), F.get(h, i), F.get(h, i + 1))))
     sizes = F.array_distinct(F.array(F.floor(n / 2).cast("int"), F.greatest(F.floor((n - 1) / 2).cast("int"), F.lit(2))))
     halves = F.flatten(F.transform(sizes, lambda m: F.array(F.xxhash64(F.lit("first"), F.slice(h, 1, m)), F.xxhash64(F.lit("last"), F.slice(h, n - m + 1, m)))))
     runs = F.transform(runs, lambda x: x.bitwiseAND(F.lit(-2)))  # even
     halves = F.transform(halves, lambda x: x.bitwiseOR(F.lit(1)))
     blocks = F.array_distinct(F.array_compact(F.when((n > 3) & (n <= _HALVED), F.concat(runs, halves)).otherwise(runs)))
-    first = of.select("doc", "row", "pos", "n", "k1", "k2", blocks.alias("blocks")).groupBy("k1", "k2").agg(F.min(F.struct("doc", "row", "pos", "n", "blocks")).alias("at"))
-    return first.select("k1", "k2", "at.n", "at.blocks", F.struct("at.doc", "at.row", "at.pos").alias("at"))
+    first = of.select("doc", "row", "pos", "n", "k1", "k2", sig.alias("sig"), blocks.alias("blocks")).groupBy("k1", "k2").agg(F.min(F.struct("doc", "row", "pos", "n", "sig", "blocks")).alias("at"))
+    return first.select("k1", "k2", "at.n", "at.sig", "at.blocks", F.struct("at.doc", "at.row", "at.pos").alias("at"))
 
 
 def shared_blocks(lines: DataFrame) -> DataFrame:
-    """(block, k1, parts) for the blocks of two lines or more; parts is by how many cells a side its grid has."""
-    one = lines.select(F.explode("blocks").alias("block"), "k1")
+    """(block, k1, n, sig, parts) for the blocks of two lines or more; parts is by how many cells a side its grid has."""
+    one = lines.select(F.explode("blocks").alias("block"), *_FACTS)
     sizes = one.groupBy("block").agg(F.count("*").alias("n")).where("n > 1")
     sizes = cut(sizes.select("block", F.ceil(F.col("n") / HOT).cast("int").alias("parts")), "line-sizes")
     return _probed(one, ["block"], sizes).join(sizes, "block")
@@ -116,41 +100,24 @@ def shared_blocks(lines: DataFrame) -> DataFrame:
 def _probed(rows: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
     """rows whose keys may be among wanted's, found as they are read, so that few others are shuffled.
 
-    A bitmap of 2^26 bits is sent, as at most 2^11 values of 4 KB: 8 MB whatever the tables' sizes.
+    A bitmap of 2^26 bits is sent, as at most 2^11 arrays of 4 KB: 8 MB whatever the tables' sizes.
     Beyond some 10^8 wanted keys it lets everything pass; an exact join always follows.
     """
     spot = F.pmod(F.xxhash64(*keys), F.lit(1 << 26))
     marks = wanted.select(spot.alias("h")).groupBy(F.expr("bitmap_bucket_number(h)").alias("cell")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("bits"))
+    marks = marks.select("cell", F.expr("transform(sequence(0, 511), i -> cast(conv(hex(substring(bits, 8 * i + 1, 8)), 16, -10) as bigint))").alias("bits"))  # 8 bytes each
     at = rows.withColumn("h", spot).withColumns({"cell": F.expr("bitmap_bucket_number(h)"), "bit": F.expr("cast(bitmap_bit_position(h) as int)")})
-    byte = F.expr("cast(conv(hex(substring(bits, bit div 8 + 1, 1)), 16, 10) as int)")
-    return at.join(F.broadcast(marks), "cell").where(byte.bitwiseAND(F.expr("shiftleft(1, bit % 8)")) != 0).select(*rows.columns)
+    held = F.expr("shiftrightunsigned(get(bits, bit div 64), 56 - 8 * ((bit % 64) div 8) + bit % 8) & 1 = 1")  # bit % 8 of byte bit div 8
+    return at.join(F.broadcast(marks), "cell").where(held).select(*rows.columns)
 
 
 def wanted_words(rows: DataFrame, doc: str, text: str, wanted: DataFrame) -> DataFrame:
-    """(k1, n, h: the words' hashes) of the lines wanted, a table of (k1, row, pos)."""
+    """(k1, h: the words' hashes) of the lines wanted, a table of (k1, row, pos)."""
     found = _probed(_lines(rows, doc, text).drop("doc"), ["row", "pos"], wanted.select("row", "pos")).join(wanted, ["row", "pos"])
-    return _hashed(found.select("k1", "line")).select("k1", F.size("h").alias("n"), "h")
-
-
-def prints(words: DataFrame) -> DataFrame:
-    """(k1, n, x0, x1: parity, print) of lines (k1, n, h).
-
-    print is the 63-bit SimHash of the words' hashes, repeats included: a bit is set if it is in over half of them.
-    The parity has 128 bits, of which every word flips one. It is null where the bits are counted one by one.
-    """
-    long = F.col("n") > _MOST
-    one = words.select("k1", "n", F.when(long, _bit_by_bit(F.col("h"))).alias("long_print"), F.when(~long, F.col("h")).alias("words"))
-    one = one.select("k1", "n", "long_print", F.explode_outer("words").alias("h"))
-    votes = one.groupBy("k1", "n").agg(F.max("long_print").alias("long_print"), *[_parity(k).alias(f"x{k}") for k in range(2)], *[F.sum(_lane(F.col("h"), k)).alias(f"v{k}") for k in range(21)])
-    lift = (F.lit(1 << 20) - F.floor(F.col("n") / 2) - 1) * F.lit(_LANES)
-    found = F.lit(0).cast("long")
-    for k in range(21):
-        found = found.bitwiseOR(F.shiftleft(_lane(F.col(f"v{k}") + lift, 20), k))
-    long = F.col("long_print").isNotNull()
-    return votes.select("k1", "n", *[F.when(~long, F.col(f"x{k}")).alias(f"x{k}") for k in range(2)], F.when(long, F.col("long_print")).otherwise(found).alias("print"))
+    return _hashed(found.select("k1", "line"))
 
 
-_FACTS = ("k1", "n", "x0", "x1", "print")
+_FACTS = ("k1", "n", "sig")
 
 
 def _most(a: Column, b: Column, similarity: float) -> Column:
@@ -159,17 +126,17 @@ def _most(a: Column, b: Column, similarity: float) -> Column:
 
 
 def _may(a: str, b: str, similarity: float) -> Column:
-    """Whether lengths, parities and, for long lines, prints allow two lines to be similar: an edit changes two bits of a parity at most."""
+    """Whether lengths and signatures allow two lines of a block to be similar."""
     n, m = F.col(f"{a}n"), F.col(f"{b}n")
     most = _most(n, m, similarity)
-    apart = lambda c: F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}")))
+    apart = F.bit_count(F.col(f"{a}sig").bitwiseXOR(F.col(f"{b}sig")))
     met = (F.greatest(n, m) > _HALVED) | (F.col("block").bitwiseAND(F.lit(1)) == 1)  # two short lines share a half if they are similar
-    return met & (F.abs(n - m) <= most) & F.coalesce(apart("x0") + apart("x1") <= 2 * most, F.lit(True)) & ((F.least(n, m) <= _LONG) | (apart("print") <= _BITS))
+    return met & (F.abs(n - m) <= most) & (apart <= F.when(F.greatest(n, m) <= KEPT + 2, 2 * most).otherwise(_BITS))
 
 
 def _neighbours(blocks: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of lines that may be similar and are next to each other, up to three apart, in a block's order of prints."""
-    order = Window.partitionBy("block", F.when(F.col("parts") > 1, F.pmod(F.shiftright("print", 40), F.col("parts")))).orderBy("print", "k1")
+    """(a, b) of lines that may be similar and are next to each other, up to three apart, in a block's order of signatures."""
+    order = Window.partitionBy("block", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("sig"), F.col("parts")))).orderBy("sig", "k1")
     rows = blocks.select("block", *_FACTS, *[F.lag(F.struct(*_FACTS), k).over(order).alias(f"l{k}") for k in range(1, _NEIGHBOURS + 1)])
     before = rows.select("block", *_FACTS, F.explode(F.array(*[f"l{k}" for k in range(1, _NEIGHBOURS + 1)])).alias("l")).where(F.col("l").isNotNull() & _may("", "l.", similarity))
     return before.select(F.least("k1", "l.k1").alias("a"), F.greatest("k1", "l.k1").alias("b")).distinct()
@@ -195,15 +162,18 @@ def _string(letters: Column) -> Column:
     return F.decode(F.unhex(F.array_join(F.transform(letters, lambda x: F.lpad(F.hex(x + 0x0300), 4, "0")), "")), "UTF-16BE")
 
 
-def similar(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
-    """(src, dst) of the pairs (a, b), a cut table, whose lines (k1, h) are at least ``similarity`` alike: 1 - edits / words of the longer, an edit being a word.
+def similar(pairs: DataFrame, rows: DataFrame, lines: DataFrame, doc: str, text: str, similarity: float) -> DataFrame:
+    """(src, dst) of the pairs (a, b) whose lines are at least ``similarity`` alike: 1 - edits / words of the longer, an edit being a word.
 
     The distance is taken between strings with a character per word, its hash modulo 54,528. That can
     only be too small, where two different words of the pair have one character; such pairs are compared
     again with words as their places in the pair's own vocabulary.
     """
+    pairs = cut(pairs, "line-pairs")
     paired = pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).distinct()
-    words = words.join(paired, "k1", "left_semi").select("k1", "h", _string(F.transform("h", lambda x: F.pmod(x, F.lit(_LETTERS)))).alias("form"))
+    wanted = cut(lines.select("k1", "at.row", "at.pos").join(paired, "k1", "left_semi"), "line-wanted")
+    words = wanted_words(rows, doc, text, wanted).select("k1", "h", _string(F.transform("h", lambda x: F.pmod(x, F.lit(_LETTERS)))).alias("form"))
+    words = cut(words, "line-words")
     side = lambda c: words.select(F.col("k1").alias(c), F.col("h").alias(f"h{c}"), F.col("form").alias(f"f{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("most", _most(F.size("ha"), F.size("hb"), similarity))
     near = both.where((F.abs(F.size("ha") - F.size("hb")) <= F.col("most")) & (F.expr("levenshtein(fa, fb, most)") >= 0))  # stops beyond the threshold, with -1
@@ -218,11 +188,8 @@ def kept_places(rows: DataFrame, doc: str, text: str, similarity: float) -> Data
     """(__of: row, __stay: line numbers) of the lines that are the first of their class."""
     lines = cut(distinct_lines(rows, doc, text), "line-distinct")
     shared = cut(shared_blocks(lines), "line-blocks")
-    wanted = cut(lines.select("k1", "at.row", "at.pos").join(shared.select("k1").distinct(), "k1", "left_semi"), "line-wanted")
-    words = cut(wanted_words(rows, doc, text, wanted), "line-words")
-    blocks = cut(shared.join(prints(words), "k1"), "line-facts")
-    near = connected_components(similar(cut(_neighbours(blocks, similarity), "line-pairs"), words, similarity))
-    across = similar(cut(_across(blocks, near, similarity), "line-pairs"), words, similarity)
+    near = connected_components(similar(_neighbours(shared, similarity), rows, lines, doc, text, similarity))
+    across = similar(_across(shared, near, similarity), rows, lines, doc, text, similarity)
     to_root = lambda end: near.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
     between = across.join(to_root("src"), "src", "left").join(to_root("dst"), "dst", "left").select(F.coalesce("src_root", "src").alias("src"), F.coalesce("dst_root", "dst").alias("dst"))
     classes = connected_components(between).select(F.col("node").alias("root"), F.col("root").alias("class"))  # of roots, and of lines that had no class

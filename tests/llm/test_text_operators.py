@@ -217,25 +217,6 @@ def test_lines_odd_rows(spark):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
-def line_prints(spark, words):
-    lines = spark.createDataFrame([(1, [int(np.uint64(xxhash.xxh64_intdigest(w.encode(), 42)).astype(np.int64)) for w in words])], "k1 long, h array<long>")
-    return line_dedup.prints(lines.withColumn("n", F.size("h"))).first()
-
-
-@pytest.mark.parametrize("n", [1, 2, 255, 256, 5000])
-def test_line_print(spark, n):
-    words = [f"w{i * i % 113}" for i in range(n)]
-    hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words]
-    assert line_prints(spark, words).print == sum(1 << b for b in range(63) if 2 * sum(h >> b & 1 for h in hashes) > n)
-
-
-def test_very_long_line_counts_bit_by_bit(spark, monkeypatch):
-    words = [f"w{i}" for i in range(50)]
-    want = line_prints(spark, words).print
-    monkeypatch.setattr(line_dedup, "_MOST", 40)
-    assert line_prints(spark, words).print == want
-
-
 def test_lines_stay_native(spark):
     plans = []
     for step in (line_dedup.distinct_lines(documents(spark, "a").withColumn("__row", F.lit(1)), "doc_id", "text"), line_dedup.dedup_lines(documents(spark, "a b\nA b"))):
@@ -326,6 +307,34 @@ def test_pages(page, want):
     assert html_extract.main_text(page)[0] == want
 
 
+OTHER = "Another paragraph, which is about as long as the first one and is a part of the same article on the page."
+
+
+@pytest.mark.parametrize("tag, attribute", [
+    ("div", "post no-comments"), ("div", "content has-sidebar"), ("div", "entry share-enabled"), ("div", "two-side layout"), ("article", "post comments-open"), ("body", "single-post comments-open"), ("div", "right-sidebar"), ("form", "page"),
+])
+def test_names_of_states_keep_the_page(tag, attribute):
+    page = f"<{tag} class='{attribute}'><ul><li><a href=/>Home</a></li><li><a href=/a>About us</a></li></ul><h1>Title</h1><p>{LONG}</p><p>So.</p><p>{OTHER}</p><p>Short end.</p><div>Copyright 2020 Example <a href=/b>About</a></div></{tag}>"
+    text = html_extract.main_text(page)[0]
+    if tag != "article":
+        assert text == f"Title\n\n{LONG}\n\nSo.\n\n{OTHER}\n\nShort end."
+    assert LONG in text and OTHER in text
+
+
+@pytest.mark.parametrize("name, kind", [
+    ("comments", "sure"), ("post-comments", "sure"), ("commentList", "sure"), ("ad-slot-1", "sure"), ("cookie_banner", "sure"), ("leftSidebar", "likely"), ("side-bar", "likely"), ("related-posts", "likely"), ("site-header", "likely"),
+    ("no-comments", ""), ("has-sidebar", ""), ("entry-header", ""), ("post comments-open", ""), ("article", ""), ("adventure", ""), ("shared", ""),
+])
+def test_name_mark(name, kind):
+    assert html_extract.name_mark(name) == kind
+
+
+def test_marked_blocks_go_however_long():
+    page = f"<div><p>{LONG}</p><p>{OTHER}</p></div><div id=comments>{'<p>' + LONG + '</p>'}{5 * f'<p>{LONG}</p>'}</div><div class=ads><p>{LONG}</p></div>"
+    assert html_extract.main_text(page)[0] == f"{LONG}\n\n{OTHER}"
+    assert html_extract.main_text(f"<p>{LONG} <span class=ad>Buy</span>end</p><p>{OTHER}</p>")[0] == f"{LONG} end\n\n{OTHER}"
+
+
 def test_html_in_parts(monkeypatch):
     page = f"<article><p>{LONG} &eacute;&amp; <b>bold</b></p><p>{LONG}</p></article>"
     want = html_extract.main_text(page)
