@@ -1,15 +1,20 @@
 """Main text of HTML pages: parser events, text-to-tag ratios, Gaussian smoothing, threshold clustering.
 
 The standard library's parser streams a page's events, in bounded parts. Events make lines, one per
-block element, each with its text, the tags on it, and the elements around it. What pages mark as
-something else never makes a line: scripts and styles, navigation, headers, footers, sidebars, forms,
-and elements whose class, id or role says menu, advert, notice, comments and so on.
+block element, each with its text, the tags and the linked text on it, and the elements around it.
+Scripts, styles, controls and hidden elements never make a line. Lines within menus, footers, sidebars,
+forms, adverts, notices and comments are marked, by element or by a word of a class, id or role that
+isn't about a state ("has-sidebar", "comments-open").
 
 A line's text-to-tag ratio is the length of its text over its tags. The ratios are smoothed by a
 Gaussian over the neighbouring lines, and lines above the threshold, the ratios' standard deviation
-or the mean if that is less, are content. They choose the region: the articles (or else the main
-element, or else the innermost element around them all) that hold content, whole, so that an
-article's short paragraphs stay.
+or the mean if that is less, are the content cluster. Where all of a page's cluster is marked by a name
+or element that also wraps whole pages, that mark isn't believed.
+
+The cluster chooses the region: the articles (or else the main elements) that hold some of it, whole, so
+that an article's short paragraphs stay. Without either it is the innermost element around the cluster,
+from which lines go that are outside the cluster and unlike it: links, what stands before and after and
+isn't a heading or a paragraph beside the cluster's own, and copyright lines.
 """
 
 from __future__ import annotations
@@ -30,62 +35,86 @@ _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split()
 )
-#: Elements that are never part of an article's text.
-_OTHER = frozenset(
-    "script style noscript template head title nav footer aside form menu dialog button select option textarea input label fieldset "
-    "iframe object svg canvas audio video map datalist search".split()
-)
+#: Elements without text of their own for a reader.
+_NEVER = frozenset("script style noscript template head title dialog button select option textarea input iframe object svg canvas audio video map datalist".split())
+#: Elements that mark their lines as something else; those of _WRAPS may wrap whole pages.
+_MARKS = frozenset("nav footer aside form menu label fieldset search".split())
+_WRAPS = frozenset("form fieldset aside label".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Start tags that end an open element of these kinds, up to the nearest of the bounds.
 _ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select", "datalist"}),
 }
-#: What a class, id or role says of an element that isn't the article; whole words of the name.
-_NAMES = re.compile(
-    r"(?<![a-z0-9])(?:ads?|adverts?|advertisements?|advertising|adsense|adbox|sponsor(?:ed|s)?|promos?|promotions?|banners?|cookies?|consent|gdpr|notices?|notifications?|"
-    r"alerts?|popups?|modals?|overlays?|sidebars?|sidenav|side|menus?|nav|navs|navbar|navigation|breadcrumbs?|toolbars?|footers?|header|masthead|"
-    r"comments?|commentlist|disqus|replies|respond|responses|share|sharing|social|related|recommend(?:ed|ations)?|newsletter|subscribe|subscription|signup|login|"
-    r"widgets?|pagination|pager|skip|contentinfo|complementary|search)(?![a-z0-9])"
+#: Words of a class, id or role that mark an element: of what never wraps a page, and of what may.
+_SURE = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense adbox sponsor sponsored sponsors cookie cookies consent gdpr popup popups modal modals "
+    "comment comments commentlist disqus replies respond responses breadcrumb breadcrumbs footer contentinfo navbar pagination pager".split()
 )
+_LIKELY = frozenset(
+    "promo promos promotion promotions banner banners notice notices notification notifications alert alerts overlay overlays sidebar sidebars sidenav menu menus nav navs "
+    "navigation toolbar toolbars header masthead share sharing social related recommend recommended recommendations newsletter subscribe subscription signup login "
+    "widget widgets skip complementary search".split()
+)
+#: Words that make a name one of a state or layout, or of the article's own heading.
+_STATES = frozenset("no not non without with has have having is are open opened closed close enabled disabled enable disable allowed on off layout hide hidden show shown active single two three".split())
+_OWN = frozenset("post entry article story content blog section chapter".split())
+_WORD = re.compile(r"[a-z]+|[0-9]+")
+_COPYRIGHT = re.compile(r"\s*(?:©|\(c\)|copyright\b|all rights reserved)", re.I)
+#: Elements of running text.
+_RUNNING = frozenset("p li dd dt blockquote pre td th figcaption caption".split())
+
+
+def name_mark(value: str) -> str:
+    """What a class, id or role says of an element: "sure" or "likely" to be something else than the article, or ""."""
+    found = ""
+    for token in re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "-", value).lower().split():
+        words = set(_WORD.findall(token))
+        joined = words | {token.replace("-", "").replace("_", "")}
+        if words & _STATES or words & {"header"} and words & _OWN:
+            continue
+        if joined & _SURE:
+            return "sure"
+        if joined & _LIKELY:
+            found = "likely"
+    return found
 
 
 class _Page(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []  # tag, number, is other
+        self.open: list[tuple[str, int, str]] = []  # tag, number, mark: never, sure, likely or none
         self.made = 0
-        self.lines: list[tuple[str, int, tuple[tuple[str, int], ...]]] = []  # text, tags, elements around
+        self.lines: list[tuple[str, int, int, tuple[tuple[str, int], ...], tuple[str, ...]]] = []  # text, tags, linked characters, elements around, marks
         self.text: list[str] = []
-        self.tags = 0
-        self.hidden = 0  # open elements that are other
+        self.tags = self.linked = 0
+        self.hidden = self.links = 0  # open elements without lines, open links
 
     def _end_line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, self.tags, tuple((tag, number) for tag, number, _ in self.open)))
-            self.tags = 0
+            self.lines.append((text, self.tags, self.linked, tuple((tag, number) for tag, number, _ in self.open), tuple(mark for _, _, mark in self.open if mark)))
+            self.tags = self.linked = 0
         self.text.clear()
 
     def _pop(self, to: int) -> None:
-        self.hidden -= sum(other for _, _, other in self.open[to:])
+        self.hidden -= sum(mark == "never" for _, _, mark in self.open[to:])
+        self.links -= sum(tag == "a" for tag, _, _ in self.open[to:])
         del self.open[to:]
 
-    def _is_other(self, tag: str, attributes: list[tuple[str, str | None]]) -> bool:
-        if tag in _OTHER:
-            return True
-        if tag in ("html", "body", "article", "main") and not any(k in ("class", "id") and "comment" in (v or "").lower() for k, v in attributes):
-            return False
-        if tag in _HEADINGS:
-            return False
+    def _mark(self, tag: str, attributes: list[tuple[str, str | None]]) -> str:
+        if tag in _NEVER or any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attributes):
+            return "never"
+        if tag in ("html", "body") or tag in _HEADINGS:
+            return ""
+        if tag in _MARKS:
+            return "likely" if tag in _WRAPS else "sure"
         if tag == "header":  # a page's header; an article's own holds its heading
-            return not any(t == "article" for t, _, _ in self.open)
-        for key, value in attributes:
-            if key == "hidden" or key == "aria-hidden" and value == "true":
-                return True
-            if key in ("class", "id", "role") and value and _NAMES.search(re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", value).lower().replace("_", " ")):
-                return True
-        return False
+            return "" if any(t in ("article", "main") for t, _, _ in self.open) else "likely"
+        marks = {name_mark(v) for k, v in attributes if k in ("class", "id", "role") and v}
+        if tag in ("article", "main"):
+            marks.discard("likely")
+        return "sure" if "sure" in marks else "likely" if "likely" in marks else ""
 
     def handle_starttag(self, tag: str, attributes: list[tuple[str, str | None]]) -> None:
         if tag in _BLOCKS:
@@ -101,9 +130,12 @@ class _Page(HTMLParser):
         if tag == "br":
             self.text.append(" ")
         if tag not in _VOID:
-            other = self._is_other(tag, attributes)
-            self.open.append((tag, self.made, other))
-            self.hidden += other
+            mark = self._mark(tag, attributes)
+            if mark and tag not in _BLOCKS:
+                mark = "never"  # a marked part of a line
+            self.open.append((tag, self.made, mark))
+            self.hidden += mark == "never"
+            self.links += tag == "a"
             self.made += 1
 
     def handle_startendtag(self, tag: str, attributes: list[tuple[str, str | None]]) -> None:
@@ -123,6 +155,8 @@ class _Page(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.hidden:
             self.text.append(data)
+            if self.links:
+                self.linked += len(data.strip())
 
 
 def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
@@ -133,8 +167,8 @@ def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
     return spread(ratios) / spread(np.ones(len(ratios)))
 
 
-def page_lines(html: str | None) -> list[tuple[str, int, tuple[tuple[str, int], ...]]]:
-    """(text, tags, elements around it from the outside in) of every line of a page that isn't marked as something else."""
+def page_lines(html: str | None) -> list[tuple[str, int, int, tuple[tuple[str, int], ...], tuple[str, ...]]]:
+    """(text, tags, linked characters, elements around from the outside in, marks) of every line of a page."""
     page = _Page()
     for k in range(0, len(html or ""), _PART):
         page.feed(html[k : k + _PART])
@@ -143,36 +177,66 @@ def page_lines(html: str | None) -> list[tuple[str, int, tuple[tuple[str, int],
     return page.lines
 
 
-def content_lines(lines, sigma: float = 1.0) -> np.ndarray:
-    """Which lines the smoothed text-to-tag ratios put into the content cluster."""
-    ratios = np.array([len(text) / max(1, tags) for text, tags, _ in lines], float)
+def content_lines(lines, sigma: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Which lines the smoothed text-to-tag ratios put into the content cluster, and which of these are above the threshold by themselves."""
+    ratios = np.array([len(line[0]) / max(1, line[1]) for line in lines], float)
     if not len(ratios):
-        return np.zeros(0, bool)
-    return smoothed(ratios, sigma) >= min(ratios.std(), ratios.mean())
+        return np.zeros(0, bool), np.zeros(0, bool)
+    threshold = min(ratios.std(), ratios.mean())
+    content = smoothed(ratios, sigma) >= threshold
+    return content, content & (ratios >= threshold)
 
 
-def select_region(lines, content: np.ndarray) -> list[str]:
+def believed(lines, sigma: float) -> list:
+    """The lines that count as unmarked: those without a mark, or, if the whole cluster has marks, with marks that whole pages may have."""
+    free = [line for line in lines if not line[4]]
+    if any(tag in ("article", "main") for line in free for tag, _ in line[3]):
+        return free
+    content, alone = content_lines(lines, sigma)
+    if any(is_content and not line[4] for line, is_content in zip(lines, alone)):
+        return free
+    wrapped = [line for line in lines if "sure" not in line[4]]
+    return wrapped if sum(is_content and "sure" not in line[4] for line, is_content in zip(lines, alone)) > 1 else free
+
+
+def select_region(lines, content: np.ndarray, alone: np.ndarray) -> list[str]:
     """The texts of the region that the content lines choose, in page order."""
-    around = [path for _, _, path in lines]
+    around = [line[3] for line in lines]
     for kind in ("article", "main"):
         outer = [next((number for tag, number in path if tag == kind), None) for path in around]
         chosen = {number for number, is_content in zip(outer, content) if is_content and number is not None}
         if chosen:
-            return [text for (text, _, _), number in zip(lines, outer) if number in chosen]
-    paths = [path for path, is_content in zip(around, content) if is_content]
-    if not paths:
+            return [line[0] for line, number in zip(lines, outer) if number in chosen]
+    linked = [2 * line[2] > len(line[0]) for line in lines]
+    core = [k for k in range(len(lines)) if alone[k] and not linked[k]] or [k for k in range(len(lines)) if content[k] and not linked[k]]
+    if not core:
         return []
+    first = around[core[0]]
     shared = 0
-    while all(len(p) > shared + 1 and p[shared] == paths[0][shared] for p in paths):
+    while all(len(around[k]) > shared + 1 and around[k][shared] == first[shared] for k in core):
         shared += 1
-    return [text for text, _, path in lines if path[:shared] == paths[0][:shared]]
+    beside = {(around[k][:-1], around[k][-1][0] if around[k] else "") for k in core}
+    parents = {parent for parent, _ in beside}
+
+    def stays(k: int) -> bool:
+        text, path = lines[k][0], around[k]
+        tag = path[-1][0] if path else ""
+        if linked[k] and (tag not in _HEADINGS or not core[0] < k < core[-1]):
+            return False
+        if core[0] <= k <= core[-1] or any(t in _HEADINGS for t, _ in path) and k < core[0]:
+            return True
+        if _COPYRIGHT.match(text):
+            return False
+        return (path[:-1], tag) in beside or tag in _RUNNING and (path[:-1] in parents or tag == "li" and path[:-2] in parents)
+
+    return [lines[k][0] for k in range(len(lines)) if around[k][:shared] == first[:shared] and stays(k)]
 
 
 def main_text(html: str | None, sigma: float = 1.0) -> tuple[str, int, int]:
     """(text, lines, lines of the content cluster) of a page; its blocks are joined by empty lines."""
-    lines = page_lines(html)
-    content = content_lines(lines, sigma)
-    return "\n\n".join(select_region(lines, content)), len(lines), int(content.sum())
+    lines = believed(page_lines(html), sigma)
+    content, alone = content_lines(lines, sigma)
+    return "\n\n".join(select_region(lines, content, alone)), len(lines), int(content.sum())
 
 
 def extract(df: DataFrame, keep: list[str], html: str = "html", sigma: float = 1.0) -> DataFrame:
