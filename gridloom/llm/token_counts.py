@@ -15,7 +15,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window, functions as F
 
 from gridloom.llm.bpe import chunks, load_ranks
-from gridloom.plans.lineage import ship
+from gridloom.plans.lineage import cut, ship
 
 #: Lengths of a block; sums go over blocks first, then within each.
 BLOCK = 256
@@ -43,8 +43,12 @@ def with_lengths(df: DataFrame, keep: list[str], text: str, path: str, pattern:
 
 
 def length_histogram(df: DataFrame, text: str, path: str, pattern: str) -> DataFrame:
-    """(n_tokens, n_docs) over all rows, one row per distinct encoded length; an empty table gives none."""
-    return with_lengths(df, [], text, path, pattern).groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    """(n_tokens, n_docs) over all rows, one row per distinct encoded length; an empty table gives none.
+
+    Repeated rows count as often as they occur; documents of one length tie, and are one row. The
+    histogram is cut, so that the corpus is encoded once however often it is read.
+    """
+    return cut(with_lengths(df, [], text, path, pattern).groupBy("n_tokens").agg(F.count("*").alias("n_docs")), "length-histogram")
 
 
 def suffix_sums(histogram: DataFrame) -> DataFrame:
