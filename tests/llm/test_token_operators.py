@@ -233,6 +233,38 @@ def test_map_versions():
     assert after[5] == pytest.approx(sum(sizes) / 6, rel=0.05) and after.max() < loads.max()
 
 
+def test_stored_slot_map(spark, tmp_path):
+    path = f"{tmp_path}/maps/corpus"
+    df = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows, _ = sharding.shard(df, 4, slots=64, path=path)
+    first = sharding.SlotMap.load(spark, path)
+    assert first.version >= 2 and sharding.SlotMap.load(spark, path, 1) == sharding.SlotMap.fixed(4, 64)
+    edited = first.moved({s: (first.shard_of[s] + 1) % 4 for s in (3, 7)})
+    edited.save(spark, path)
+    again = sharding.SlotMap.load(spark, path)
+    assert again == edited and [s for s in range(64) if again.shard_of[s] != first.shard_of[s]] == [3, 7]
+    with pytest.raises(Exception, match="already exists"):
+        edited.save(spark, path)
+    later, _ = sharding.shard(df, 4, slots=64, stored=again, path=path)
+    last = sharding.SlotMap.load(spark, path)
+    assert last.version > again.version
+    stay = {s for s in range(len(again.shard_of)) if last.shard_of[s] == again.shard_of[s]}
+    assert len(stay) > 50 and {(r.virtual_slot, r.shard) for r in later.collect() if r.virtual_slot in stay} <= set(enumerate(again.shard_of))
+    assert rows.count() == later.count()
+    with pytest.raises(ValueError):
+        again.moved({64: 0})
+    with pytest.raises(ValueError):
+        sharding.shard(df, 5, slots=64, stored=again)
+
+
+def test_slots_are_split_by_rows(spark):
+    df = spark.range(5000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("").alias("text")).union(spark.range(200).select("id", F.repeat(F.lit("x"), 5000).alias("text")))
+    rows, stored = sharding.shard(df, 4, slots=64)
+    held = rows.groupBy("virtual_slot").count().toPandas()["count"]
+    assert held.max() < 5200 / 16 and stored.groupBy("version").count().count() == 3
+    assert sorted(r.slot for r in rows.where("shard = 0").collect()) == list(range(rows.where("shard = 0").count()))
+
+
 def test_sharding_odd_rows(spark):
     df = documents(spark, None, "", "a", extra=True).union(documents(spark, *["same text"] * 1, extra=True).withColumn("doc_id", F.lit(None).cast("long")).crossJoin(spark.range(200)).drop("id"))
     rows, stored = sharding.shard(df, 3)
