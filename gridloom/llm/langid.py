@@ -7,7 +7,8 @@ Classifiers may err on a few bits without changing the choice. Texts whose two n
 about equally far are flagged as ambiguous.
 
 Fitting uses a bounded sample: at most ``SAMPLE`` labelled rows, equally many a language, the smallest
-hashes of the id. Only the text is an input of a prediction.
+hashes of the id. Only the text is an input of a prediction. Of codewords that are equally near, the
+first language by name is chosen, with score 0. Texts of any length are read whole, in parts.
 """
 
 from __future__ import annotations
@@ -100,7 +101,9 @@ def fit_model(x: np.ndarray, languages: list[str], penalty: float = 0.02) -> Mod
     x -= centre.astype(x.dtype)
     gram = (x @ x.T).astype(float)
     gram[np.diag_indices_from(gram)] += penalty
-    weights = x.T.astype(x.dtype) @ np.linalg.solve(gram, goal - bias)
+    solved = np.linalg.solve(gram, goal - bias)
+    del gram
+    weights = x.T @ solved.astype(x.dtype) if x.dtype == np.float32 else x.T @ solved
     right = (np.sign(x @ weights + bias) == goal).astype(float)
     bias = bias - centre @ weights
     trust = np.stack([right[which == k].mean(0) for k in range(len(names))]) + 1e-6
@@ -117,16 +120,28 @@ def fit(df: DataFrame, doc: str, text: str, lang: str, sample: int = SAMPLE) ->
     # of every language, at first about four times what is wanted, by the hash alone; no sort sees more
     share = F.create_map(*[x for l, n in sizes.items() for x in (F.lit(l), F.lit(min(1.0, 4 * (each + 16) / n)))])
     some = rows.where(F.col("l").isin(list(sizes))).where((F.col("o") / F.lit(2.0**64) + 0.5) <= share[F.col("l")])
-    some = some.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy("o", F.xxhash64("t")))).where(F.col("k") <= each)
+    some = some.withColumn("h", F.xxhash64("t"))
+    some = some.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy("o", "h"))).where(F.col("k") <= each)
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [features(t.as_py()).astype(np.float32).tobytes() for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(made, pa.binary())], names=["l", "x"])
-
-    got = some.select("t", "l").mapInArrow(run, "l string, x binary").toArrow().sort_by([("l", "ascending"), ("x", "ascending")])
-    return fit_model(np.frombuffer(b"".join(x.as_py() for x in got["x"]), np.float32).reshape(-1, DIMENSIONS).copy(), got["l"].to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(made, pa.binary())], names=["l", "k", "x"])
+
+    got = some.select("t", "l", "k").mapInArrow(run, "l string, k int, x binary").toArrow()
+    # in the order of languages and hashes, whatever the partitions; one copy of the features at a time
+    languages = got["l"].to_pylist()
+    order = sorted(range(len(languages)), key=lambda i: (languages[i], at[i])) if (at := got["k"].to_pylist()) else []
+    x = np.empty((len(order), DIMENSIONS), np.float32)
+    place = np.argsort(order)
+    k = 0
+    for chunk in got["x"].chunks:
+        for value in chunk:
+            x[place[k]] = np.frombuffer(value.as_buffer(), np.float32)
+            k += 1
+    del got
+    return fit_model(x, [languages[i] for i in order])
 
 
 #: Below this score the two nearest codewords are about as near.
