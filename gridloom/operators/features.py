@@ -37,6 +37,27 @@ def grounding_embedding(tiles: DataFrame, grids: DataFrame) -> DataFrame:
     return parts.select("observation_id", F.when(fits, full).otherwise(F.raise_error(F.lit("Grounding patch features do not match patch_grid")).cast("array<double>")).alias("embedding"))
 
 
+def _length(rows: DataFrame, vec: str) -> int:
+    """How long the vectors are; they all have one model's length."""
+    first = rows.where(F.col(vec).isNotNull()).select(F.size(vec)).first()
+    return first[0] if first else 0
+
+
+#: Sums of one aggregate, so that its row stays within what generated code takes.
+_SUMS = 90
+
+
+def _mean_vectors(rows: DataFrame, key: str, vec: str, name: str, length: int) -> DataFrame:
+    """(key, name): the mean vector of every key, place by place, in partial aggregates of one row per key."""
+    out = None
+    for low in range(0, max(1, length), _SUMS):
+        places = range(low, min(low + _SUMS, length))
+        sums = rows.groupBy(key).agg(F.count("*").alias("__n"), *[F.sum(F.get(vec, F.lit(k)).cast("double")).alias(f"__s{k}") for k in places])
+        part = sums.select(key, F.array(*[F.col(f"__s{k}") / F.col("__n") for k in places]).cast("array<double>").alias(f"__p{low}"))
+        out = part if out is None else out.join(part, key)
+    return out.select(key, F.concat(*[c for c in out.columns if c.startswith("__p")]).alias(name))
+
+
 def event_types(transitions: DataFrame) -> list[str]:
     """The distinct event types, sorted: a handful of names, which give the histogram its length."""
     return [r[0] for r in transitions.select(F.coalesce("event_type", F.lit("unknown")).alias("t")).distinct().orderBy("t").collect()]
@@ -52,8 +73,7 @@ def transition_embedding(base: DataFrame, transitions: DataFrame) -> DataFrame:
     stats = out.groupBy("observation_id").agg(F.count("*").alias("degree"), F.avg(F.col("e").cast("int")).alias("effective"), *[(F.count_if(F.col("t") == t) / F.count("*")).alias(f"t{k}") for k, t in enumerate(types)])
     known = out.join(base.select(F.col("observation_id").alias("dest"), F.col("embedding").alias("v")), "dest", "left")
     v = F.when(F.col("v").isNull(), F.raise_error(F.concat(F.lit("No base embedding of "), "dest")).cast(dict(base.dtypes)["embedding"])).otherwise(F.col("v"))
-    dims = known.select("observation_id", F.posexplode(v).alias("k", "x")).groupBy("observation_id", "k").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    means = _vector(dims, "observation_id", "k", "m", "near")
+    means = _mean_vectors(known.select("observation_id", v.alias("v")), "observation_id", "v", "near", _length(base, "embedding"))
     rows = base.join(means, "observation_id", "left").join(stats, "observation_id", "left")
     zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
     full = F.concat(F.col("embedding").cast("array<double>"), F.coalesce("near", F.transform("embedding", lambda x: F.lit(0.0))), F.array(*[zero(f"t{k}") for k in range(len(types))], zero("degree"), zero("effective")))

@@ -2,7 +2,8 @@
 
 ``cut`` writes a table below ``spark.checkpoint.dir`` and reads it back, so that later stages neither
 recompute it nor depend on blocks of one executor. Nothing here uses ``localCheckpoint``. Tables that are
-cut inside ``scratch()`` are deleted at its end, but for those handed to ``keep``.
+cut inside ``scratch()`` are deleted at its end, but for those handed to ``keep``, which results read;
+these go with the session, or by ``clear``.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: One folder per process below the shared one, so that a session can clear what it left.
@@ -29,9 +31,29 @@ def _fallback() -> str:
     return path
 
 
+#: The applications and folders that are swept when they end.
+_SWEPT: set[tuple[str, str]] = set()
+
+
+def _sweep(spark: SparkSession, top: str) -> None:
+    """Has Spark's JVM delete this process's folder below ``top`` when it ends."""
+    if (spark.sparkContext.applicationId, top) not in _SWEPT:
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{top}/{_OWN}")
+        files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(target)
+        files.deleteOnExit(target)
+        _SWEPT.add((spark.sparkContext.applicationId, top))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset (tests, one machine), a local one."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _fallback()
+    """The folder in ``spark.checkpoint.dir``; where that is unset and the master is this machine (tests), a local one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = _fallback()
+    _sweep(spark, found.rstrip("/"))
+    return found
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -100,6 +122,7 @@ BATCH_ROWS = "2000"
 def ship(spark: SparkSession) -> None:
     """Lets Python workers import this package from where the driver found it, and keeps what they hold at a time small."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    pa.set_memory_pool(pa.system_memory_pool())  # as for the workers below
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from gridloom.plans.lineage import cut
+from gridloom.plans.lineage import cut, discard, keep, scratch
 
 
 def running(df: DataFrame, order: list, sums: dict) -> DataFrame:
@@ -35,18 +35,30 @@ def positions(df: DataFrame, order: list, name: str) -> DataFrame:
     return running(df, order, {name: F.lit(1).cast("long")}).withColumn(name, F.col(name) - 1)
 
 
+#: Rows of a group that one task ranks; groups beyond are ranked by range.
+HOT_GROUP = 100_000
+
+
 def places(df: DataFrame, keys: list[str], order: list[str], place: str, size: str) -> DataFrame:
     """df with the row's place in its group, from 0, and the group's size; a hot group is ranked by several tasks.
 
-    Rows are numbered over the whole table, by group and order; a group's place is what lies before its first.
+    Rows of hot groups are numbered together, by group and order; a group's place is what lies before its first.
     """
-    numbered = positions(df, [*keys, *order], "__at")
-    groups = numbered.groupBy(*[F.col(k).alias(f"__g{i}") for i, k in enumerate(keys)]).agg(F.min("__at").alias("__first"), F.count("*").alias(size))
+    named = [F.col(k).alias(f"__g{i}") for i, k in enumerate(keys)]
+    with scratch():
+        hot = keep(cut(df.groupBy(*named).agg(F.count("*").alias(size)).where(F.col(size) > HOT_GROUP), "hot-groups"))
+    own = Window.partitionBy(*keys)
+    ranked = lambda rows: rows.select(*[F.col(f"`{c}`") for c in df.columns], (F.row_number().over(own.orderBy(*order)) - 1).cast("long").alias(place), F.count("*").over(own).alias(size))
+    if hot.isEmpty():
+        discard(hot)
+        return ranked(df)
     same = F.lit(True)
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"__g{i}"))
-    out = numbered.join(groups, same).withColumn(place, F.col("__at") - F.col("__first"))
-    return out.select(*[F.col(f"`{c}`") for c in df.columns], place, size)
+    numbered = positions(df.join(hot.drop(size), same, "left_semi"), [*keys, *order], "__at")
+    firsts = numbered.groupBy(*named).agg(F.min("__at").alias("__first"), F.count("*").alias(size))
+    out = numbered.join(firsts, same).withColumn(place, F.col("__at") - F.col("__first"))
+    return ranked(df.join(hot.drop(size), same, "left_anti")).union(out.select(*[F.col(f"`{c}`") for c in df.columns], place, size))
 
 
 def previous(df: DataFrame, order: list[str], value, name: str) -> DataFrame:

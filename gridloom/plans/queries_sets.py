@@ -164,7 +164,8 @@ def cluster_categorical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.categorical_clusters(A.event_observations(spark, sf_dir), "structure_str").select("obs_idx", "label")
 
 
-_PAIRS = "pairs AS (SELECT DISTINCT a.feature AS a, b.feature AS b, bit_count(xor(('0x' || a.feature)::UBIGINT, ('0x' || b.feature)::UBIGINT))::INT AS distance FROM hashes a JOIN hashes b ON a.feature < b.feature WHERE bit_count(xor(('0x' || a.feature)::UBIGINT, ('0x' || b.feature)::UBIGINT)) <= 17)"
+_PAIRS_AT = "pairs AS (SELECT DISTINCT a.feature AS a, b.feature AS b, bit_count(xor(('0x' || a.feature)::UBIGINT, ('0x' || b.feature)::UBIGINT))::INT AS distance FROM hashes a JOIN hashes b ON a.feature < b.feature WHERE bit_count(xor(('0x' || a.feature)::UBIGINT, ('0x' || b.feature)::UBIGINT)) <= {most})"
+_PAIRS = _PAIRS_AT.format(most=17)
 
 
 @query(f"WITH {HASHES}, {_PAIRS} SELECT * FROM pairs")
@@ -172,6 +173,16 @@ def hamming_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.hamming_pairs(A.embedding_hashes(spark, sf_dir), "feature", 17)
 
 
+@query(f"WITH {HASHES}, {_PAIRS_AT.format(most=3)} SELECT * FROM pairs")
+def hamming_pairs_3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.hamming_pairs(A.embedding_hashes(spark, sf_dir), "feature", 3)
+
+
+@query(f"WITH {HASHES}, {_PAIRS_AT.format(most=8)} SELECT * FROM pairs")
+def hamming_pairs_8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.hamming_pairs(A.embedding_hashes(spark, sf_dir), "feature", 8)
+
+
 @query(f"""WITH RECURSIVE {HASHES}, {_PAIRS}, e AS (SELECT a AS x, b AS y FROM pairs UNION SELECT b, a FROM pairs UNION SELECT feature, feature FROM hashes),
   reach AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM reach r JOIN e ON r.y = e.x), root AS (SELECT x, min(y) AS root FROM reach GROUP BY x),
   o AS (SELECT obs_idx, root FROM hashes JOIN root ON feature = x), f AS (SELECT root, min(obs_idx) AS m FROM o GROUP BY root), l AS (SELECT root, (row_number() OVER (ORDER BY m) - 1)::INT AS label FROM f)
