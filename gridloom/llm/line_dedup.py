@@ -16,8 +16,8 @@ Before texts are read again, pairs go whose lengths or signatures are too far ap
 for each of a line's least words, of 64: an edit changes two at most in lines of up to twelve words;
 of longer similar lines it leaves 10 bits or fewer different, but for 1 in 250.
 
-Among the lines of a block, those next to each other in the order of their signatures are verified first;
-that joins up most of a dense group of near copies. Only lines still in different classes are then
+The lines of a block of up to ``SMALL`` are all compared. Of a larger one, those next to each other in the
+order of their signatures are verified first; that joins up most of a dense group of near copies. Only lines still in different classes are then
 joined with one another, so a group of n near copies doesn't make n * n pairs. Blocks of more than
 ``HOT`` lines are dealt to a grid of cells, so no task has more than that of one block.
 
@@ -37,10 +37,12 @@ SIMILARITY = 0.8
 KEPT = 10
 #: Lines of a block that meet in one cell of its grid.
 HOT = 1000
+#: Lines of a block that are all compared at once.
+SMALL = 16
 _HALVED = 9  # words of lines that allow one edit at most
 _NEIGHBOURS = 3
 _BITS = 10  # of two signatures of similar lines of over KEPT + 2 words
-_LETTERS = 0xD500
+_LETTERS = 8192
 _WORDS = r"[^a-z0-9\p{L}\p{N}]+"
 
 
@@ -90,10 +92,9 @@ def distinct_lines(rows: DataFrame, doc: str, text: str) -> DataFrame:
 
 
 def shared_blocks(lines: DataFrame) -> DataFrame:
-    """(block, k1, n, sig, parts) for the blocks of two lines or more; parts is by how many cells a side its grid has."""
+    """(block, k1, n, sig, size) for the blocks of two lines or more; size is the block's number of lines."""
     one = lines.select(F.explode("blocks").alias("block"), *_FACTS)
-    sizes = one.groupBy("block").agg(F.count("*").alias("n")).where("n > 1")
-    sizes = cut(sizes.select("block", F.ceil(F.col("n") / HOT).cast("int").alias("parts")), "line-sizes")
+    sizes = cut(one.groupBy("block").agg(F.count("*").alias("size")).where("size > 1"), "line-sizes")
     return _probed(one, ["block"], sizes).join(sizes, "block")
 
 
@@ -134,12 +135,24 @@ def _may(a: str, b: str, similarity: float) -> Column:
     return met & (F.abs(n - m) <= most) & (apart <= F.when(F.greatest(n, m) <= KEPT + 2, 2 * most).otherwise(_BITS))
 
 
+def _parts() -> Column:
+    """By how many cells a side a block's grid has."""
+    return F.ceil(F.col("size") / HOT).cast("int")
+
+
+def _together(blocks: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of all lines of small blocks that may be similar."""
+    a, b = (blocks.select("block", *[F.col(c).alias(f"{side}_{c}") for c in _FACTS]) for side in "ab")
+    met = a.join(b, "block").where((F.col("a_k1") < F.col("b_k1")) & _may("a_", "b_", similarity))
+    return met.select(F.col("a_k1").alias("a"), F.col("b_k1").alias("b"))
+
+
 def _neighbours(blocks: DataFrame, similarity: float) -> DataFrame:
     """(a, b) of lines that may be similar and are next to each other, up to three apart, in a block's order of signatures."""
-    order = Window.partitionBy("block", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("sig"), F.col("parts")))).orderBy("sig", "k1")
+    order = Window.partitionBy("block", F.when(_parts() > 1, F.pmod(F.xxhash64("sig"), _parts()))).orderBy("sig", "k1")
     rows = blocks.select("block", *_FACTS, *[F.lag(F.struct(*_FACTS), k).over(order).alias(f"l{k}") for k in range(1, _NEIGHBOURS + 1)])
     before = rows.select("block", *_FACTS, F.explode(F.array(*[f"l{k}" for k in range(1, _NEIGHBOURS + 1)])).alias("l")).where(F.col("l").isNotNull() & _may("", "l.", similarity))
-    return before.select(F.least("k1", "l.k1").alias("a"), F.greatest("k1", "l.k1").alias("b")).distinct()
+    return before.select(F.least("k1", "l.k1").alias("a"), F.greatest("k1", "l.k1").alias("b"))
 
 
 def _across(blocks: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
@@ -149,7 +162,7 @@ def _across(blocks: DataFrame, roots: DataFrame, similarity: float) -> DataFrame
     """
     rows = blocks.join(roots.withColumnRenamed("node", "k1"), "k1", "left").withColumn("root", F.coalesce("root", "k1"))
     mixed = cut(rows.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("block"), "line-mixed")
-    rows = rows.join(mixed, "block", "left_semi").withColumn("part", F.pmod(F.xxhash64("k1"), F.col("parts")).cast("int"))
+    rows = rows.join(mixed, "block", "left_semi").withColumn("parts", _parts()).withColumn("part", F.pmod(F.xxhash64("k1"), F.col("parts")).cast("int"))
     facts = (*_FACTS, "root")
     own = rows.select("block", F.col("part").alias("i"), F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("j"), *[F.col(c).alias(f"a_{c}") for c in facts])
     met = rows.select("block", F.explode(F.sequence(F.lit(0), F.col("part"))).alias("i"), F.col("part").alias("j"), *[F.col(c).alias(f"b_{c}") for c in facts])
@@ -158,14 +171,15 @@ def _across(blocks: DataFrame, roots: DataFrame, similarity: float) -> DataFrame
 
 
 def _string(letters: Column) -> Column:
-    """A string with one character per number of an array."""
-    return F.decode(F.unhex(F.array_join(F.transform(letters, lambda x: F.lpad(F.hex(x + 0x0300), 4, "0")), "")), "UTF-16BE")
+    """A string with one character per number of an array, from 0 to ``_LETTERS`` - 1, out of a constant."""
+    alphabet = F.split(F.lit("".join(chr(0x4E00 + k) for k in range(_LETTERS))), "")
+    return F.array_join(F.transform(letters, lambda x: F.get(alphabet, x.cast("int"))), "")
 
 
 def similar(pairs: DataFrame, rows: DataFrame, lines: DataFrame, doc: str, text: str, similarity: float) -> DataFrame:
     """(src, dst) of the pairs (a, b) whose lines are at least ``similarity`` alike: 1 - edits / words of the longer, an edit being a word.
 
-    The distance is taken between strings with a character per word, its hash modulo 54,528. That can
+    The distance is taken between strings with a character per word, its hash modulo 8,192. That can
     only be too small, where two different words of the pair have one character; such pairs are compared
     again with words as their places in the pair's own vocabulary.
     """
@@ -179,8 +193,8 @@ def similar(pairs: DataFrame, rows: DataFrame, lines: DataFrame, doc: str, text:
     near = both.where((F.abs(F.size("ha") - F.size("hb")) <= F.col("most")) & (F.expr("levenshtein(fa, fb, most)") >= 0))  # stops beyond the threshold, with -1
     near = _materialised(near, known=F.array_union("ha", "hb"))
     letters = F.size(F.array_distinct(F.split(F.concat("fa", "fb"), "")))
-    place = lambda h: _string(F.transform(F.col(h), lambda x: F.array_position("known", x)))
-    exact = F.when((letters == F.size("known")) | (F.size("known") >= _LETTERS), F.lit(True)).otherwise(F.call_function("levenshtein", place("ha"), place("hb"), F.col("most")) >= 0)
+    place = lambda h: _string(F.transform(F.col(h), lambda x: F.array_position("known", x) - 1))
+    exact = F.when((letters == F.size("known")) | (F.size("known") > _LETTERS), F.lit(True)).otherwise(F.call_function("levenshtein", place("ha"), place("hb"), F.col("most")) >= 0)
     return near.where(exact).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
@@ -188,8 +202,10 @@ def kept_places(rows: DataFrame, doc: str, text: str, similarity: float) -> Data
     """(__of: row, __stay: line numbers) of the lines that are the first of their class."""
     lines = cut(distinct_lines(rows, doc, text), "line-distinct")
     shared = cut(shared_blocks(lines), "line-blocks")
-    near = connected_components(similar(_neighbours(shared, similarity), rows, lines, doc, text, similarity))
-    across = similar(_across(shared, near, similarity), rows, lines, doc, text, similarity)
+    small, large = shared.where(F.col("size") <= SMALL), shared.where(F.col("size") > SMALL)
+    close = _together(small, similarity).union(_neighbours(large, similarity)).distinct()
+    near = connected_components(similar(close, rows, lines, doc, text, similarity))
+    across = similar(_across(large, near, similarity), rows, lines, doc, text, similarity)
     to_root = lambda end: near.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
     between = across.join(to_root("src"), "src", "left").join(to_root("dst"), "dst", "left").select(F.coalesce("src_root", "src").alias("src"), F.coalesce("dst_root", "dst").alias("dst"))
     classes = connected_components(between).select(F.col("node").alias("root"), F.col("root").alias("class"))  # of roots, and of lines that had no class
@@ -208,7 +224,7 @@ def dedup_lines(df: DataFrame, doc: str = "doc_id", text: str = "text", *, simil
     an empty one empty; a document may end up empty. Rows that share an id, or are the same, are
     documents of their own, in the order of a number given to the rows once. An empty table gives no
     rows. Other columns are kept as they are, but for those of the two new names. Lines have any length;
-    where the words of a pair are 54,528 or more, two of them can pass for one.
+    where a pair has over 8,192 different words, two of them can pass for one.
     """
     if similarity < SIMILARITY:
         raise ValueError(f"blocks are shared from a similarity of {SIMILARITY} on")

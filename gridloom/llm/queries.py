@@ -82,5 +82,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_simhash, op2_lines, op3_html, op4_packing, op5_quality, op6_token_counts, op7_sharding, op8_bpe, op9_language, op10_embeddings, pipeline)}
 
 
+_LINKS = """v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+  l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98)"""
+OP10_SQL = f"""WITH RECURSIVE {_LINKS}, reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM reach r JOIN l ON l.x = r.y),
+  c AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x), n AS (SELECT x, count(*) AS n_links FROM l GROUP BY x)
+  SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON c.x = vec_id LEFT JOIN n ON n.x = vec_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it has the means: the others hash by XXH64, encode by a vocabulary, fit models or compare by edits. Tests hold those against brute force."""
+    return {"op10_embeddings": OP10_SQL}

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gridloom.llm import bpe, embed_dedup, packing, queries, sharding, token_counts
-from tests.conftest import DATA
+from tests.conftest import DATA, values
 from tests.llm.test_text_operators import components, documents
 
 RANKS, PATTERN = queries.RANKS, queries.PATTERN
@@ -252,7 +252,7 @@ def test_stored_slot_map(spark, tmp_path):
     assert len(stay) > 50 and {(r.virtual_slot, r.shard) for r in later.collect() if r.virtual_slot in stay} <= set(enumerate(again.shard_of))
     assert rows.count() == later.count()
     with pytest.raises(ValueError):
-        again.moved({64: 0})
+        again.moved({10_000: 0})
     with pytest.raises(ValueError):
         sharding.shard(df, 5, slots=64, stored=again)
 
@@ -315,6 +315,37 @@ def test_vectors_odd_rows(spark):
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_like_sql(spark, duck):
+    got = queries.op10_embeddings(spark, DATA).toPandas()
+    want = duck.sql(queries.OP10_SQL).df()
+    assert values(got, sorted(got.columns)) == values(want, sorted(want.columns))
+
+
+def test_clustered_vectors_are_mostly_not_compared():
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 16))
+    v = np.repeat(centres, 50, axis=0) + 0.01 * rng.normal(size=(2000, 16))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    ones, seen = np.ones(2000, np.int64), []
+    got, _, _ = embed_dedup.links(v, None, ones, None, 0.98, seen)
+    assert (got == ((v @ v.T >= 0.98).sum(1) - 1)).all() and seen[0] < 2000 * 2000 / 2 / 5
+    got_a, got_b, _ = embed_dedup.links(v[:700], v[700:], ones[:700], ones[700:], 0.98, seen)
+    near = v[:700] @ v[700:].T >= 0.98
+    assert (got_a == near.sum(1)).all() and (got_b == near.sum(0)).all()
+
+
+def test_cells_of_a_label(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(30, 8))
+    rows = [(k, (centres[k % 30] + rng.choice([0.02, 0.3]) * rng.normal(size=8)).tolist(), 0) for k in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    counts, roots = brute_links(rows, 0.98)
+    for block in (40, 150):
+        got = {r.vec_id: r for r in embed_dedup.near_duplicates(df, block=block).collect()}
+        assert {i: r.n_links for i, r in got.items()} == {i: counts.get(i, 0) for i in got}
+        assert {i: r.component_id for i, r in got.items()} == {i: roots.get(i, i) for i in got}
+
+
 def test_cover_tree_covers():
     rng = np.random.default_rng(0)
     v = rng.normal(size=(200, 3))
