@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from gridloom.plans.ordering import positions
 
@@ -43,8 +43,8 @@ def merge_clusters(annotations: DataFrame, selected: list[str]) -> tuple[DataFra
     """The selected clusters under the smallest of their ids; also returns that id."""
     chosen = sorted(set(selected))
     if len(chosen) < 2:
-        raise ValueError("Select at least two different clusters to merge")
-    _known(annotations, chosen, "cluster_id", "Unknown clusters selected for merging: ")
+        raise ValueError("A merge takes at least two clusters")
+    _known(annotations, chosen, "cluster_id", "Unknown clusters in a merge: ")
     merged = F.when(F.col("cluster_id").isin(chosen), F.lit(chosen[0])).otherwise(F.col("cluster_id"))
     return annotations.withColumn("cluster_id", merged), chosen[0]
 
@@ -53,10 +53,10 @@ def rename_cluster(annotations: DataFrame, cluster_id: str, new_id: str) -> tupl
     """One cluster under a new id, stripped of white space, that must not be taken."""
     name = new_id.strip()
     if not name:
-        raise ValueError("The new cluster name cannot be empty")
-    _known(annotations, [cluster_id], "cluster_id", "Unknown cluster selected for renaming: ")
+        raise ValueError("A cluster's name cannot be empty")
+    _known(annotations, [cluster_id], "cluster_id", "Unknown cluster in a renaming: ")
     if name == cluster_id:
-        raise ValueError("Enter a different cluster name")
+        raise ValueError("The cluster has this name; give a different one")
     if not annotations.where(F.col("cluster_id") == name).isEmpty():
         raise ValueError(f"A cluster named {name} already exists")
     return annotations.withColumn("cluster_id", F.when(F.col("cluster_id") == cluster_id, F.lit(name)).otherwise(F.col("cluster_id"))), name
@@ -191,9 +191,9 @@ def review_applies(members: str) -> Column:
 def save_review(reviews: DataFrame, cluster_id: str, observation_ids: list[str], incorrect_ids: list[str]) -> DataFrame:
     """reviews with a confirmed review of one cluster, in place of an older one; incorrect ids in member order."""
     if len(set(observation_ids)) != len(observation_ids):
-        raise ValueError("A cluster contains duplicate observation IDs")
+        raise ValueError("A review names an observation twice (duplicate)")
     if not set(incorrect_ids) <= set(observation_ids):
-        raise ValueError("Incorrect observations must belong to the cluster")
+        raise ValueError("What a review calls incorrect must belong to its cluster")
     wrong = [x for x in observation_ids if x in set(incorrect_ids)]
     schema = "cluster_id string, observation_ids array<string>, incorrect_observation_ids array<string>, status string"
     one = reviews.sparkSession.createDataFrame([(cluster_id, list(observation_ids), wrong, "confirmed")], schema)
@@ -276,6 +276,56 @@ class History:
         return self.current
 
 
+class StoredHistory:
+    """History kept as tables below a path, a folder per version, so that it outlives a session and lineage stays short.
+
+    A path that holds versions already is gone on with; then ``original`` isn't read.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, original: DataFrame | None = None):
+        self.spark, self.path = spark, path.rstrip("/")
+        if not self._numbers():
+            if original is None:
+                raise ValueError(f"No versions below {path}")
+            self._store(original)
+
+    def _at(self, path: str):
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return target, target.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _numbers(self) -> list[int]:
+        """The finished versions: a write that broke off left no _SUCCESS."""
+        target, files = self._at(self.path)
+        if not files.exists(target):
+            return []
+        names = [f.getPath().getName() for f in files.listStatus(target)]
+        return sorted(int(name[1:]) for name in names if name[:1] == "v" and name[1:].isdigit() and files.exists(self._at(f"{self.path}/{name}/_SUCCESS")[0]))
+
+    def _name(self, number: int) -> str:
+        return f"{self.path}/v{number:06d}"
+
+    def _store(self, version: DataFrame) -> None:
+        version.write.mode("overwrite").parquet(self._name(max(self._numbers(), default=-1) + 1))
+
+    @property
+    def current(self) -> DataFrame:
+        return self.spark.read.parquet(self._name(self._numbers()[-1]))
+
+    def edit(self, changed: DataFrame) -> DataFrame:
+        self._store(changed)
+        return self.current
+
+    def undo(self) -> DataFrame:
+        numbers = self._numbers()
+        if len(numbers) > 1:
+            target, files = self._at(self._name(numbers[-1]))
+            files.delete(target, True)
+        return self.current
+
+    def reset(self) -> DataFrame:
+        return self.edit(self.spark.read.parquet(self._name(self._numbers()[0])))
+
+
 def with_source(annotations: DataFrame, output_path: str) -> DataFrame:
     """annotations whose source is the output file's name without its extension."""
     from pathlib import PurePath

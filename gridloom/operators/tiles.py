@@ -65,6 +65,20 @@ def sample_losses(cells: DataFrame, sample: str, logit: str, target: str, weight
     return cells.groupBy(sample).agg(F.avg(bce_term(F.col(logit), F.col(target), weight, pos_weight)).alias("loss"))
 
 
+def paired_cells(logits: DataFrame, targets: DataFrame, sample: str, cell: str) -> DataFrame:
+    """(sample, cell, logit, target) of logits (sample, cell, logit) and targets (sample, cell, target).
+
+    An error unless both have the same samples, and every sample the same cells on both sides.
+    """
+    sides = logits.withColumn("__l", F.lit(True)).join(targets.withColumn("__t", F.lit(True)), [sample, cell], "full")
+    there = sides.groupBy(sample).agg(F.count("__l").alias("__nl"), F.count("__t").alias("__nt"), F.count("*").alias("__n"))
+    # The phrases "same number of samples" and "one row per patch token"
+    fault = F.when((F.col("__nl") == 0) | (F.col("__nt") == 0), F.lit("Logits and targets need the same number of samples")).when((F.col("__nl") < F.col("__n")) | (F.col("__nt") < F.col("__n")), F.lit("Targets need one row per patch token"))
+    checked = sides.join(there, sample).withColumn("__fault", fault)
+    logit = F.when(F.col("__fault").isNull(), F.col("logit")).otherwise(F.raise_error(F.col("__fault")).cast(dict(logits.dtypes)["logit"]))
+    return checked.select(sample, cell, logit.alias("logit"), "target")
+
+
 def batch_loss(cells: DataFrame, sample: str, logit: str, target: str, weight: float | None = None, pos_weight: float | None = None) -> DataFrame:
     """One row: the mean of the samples' means, so that long samples don't weigh more."""
     return sample_losses(cells, sample, logit, target, weight, pos_weight).agg(F.avg("loss").alias("loss"))

@@ -38,8 +38,20 @@ def _blank(c: str | Column) -> Column:
 
 
 def _repeats(df: DataFrame, key: str, order: str) -> DataFrame:
-    """df with __again: whether an earlier row has the same key."""
-    return df.withColumn("__again", F.row_number().over(Window.partitionBy(key).orderBy(order)) > 1)
+    """df with __again: whether an earlier row has the same key, blank keys aside."""
+    several = df.where(~_blank(key)).groupBy(F.col(key).alias("__key")).agg(F.min(order).alias("__first"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
+    return df.join(several, F.col(key) == F.col("__key"), "left").withColumn("__again", F.coalesce(F.col(order) > F.col("__first"), F.lit(False))).drop("__key", "__first")
+
+
+#: Observations that a message names.
+NAMED = 100
+
+
+def _listed(left: DataFrame) -> DataFrame:
+    """One row with the ids of the first ``NAMED`` observations, and how many more there are; none without any."""
+    first = left.orderBy("obs_idx").limit(NAMED).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("obs_idx", "observation_id"))), lambda x: x["observation_id"]), ", ").alias("ids"))
+    counted = first.crossJoin(left.agg(F.count("*").alias("n")))  # one row each
+    return counted.where("n > 0").select(F.concat("ids", F.when(F.col("n") > NAMED, F.concat(F.lit(" and "), (F.col("n") - NAMED).cast("string"), F.lit(" more"))).otherwise("")).alias("l"))
 
 
 def observation_violations(observations: DataFrame) -> DataFrame:
@@ -127,8 +139,7 @@ def annotation_violations(observations: DataFrame, annotations: DataFrame, *, co
     out = found.select(F.lit(50).alias("priority"), F.col("ann_idx").cast("long").alias("ord"), F.col("__rule").alias("rule"), name.alias("key"), F.col("__message").alias("message"))
     if complete:
         left = observations.join(annotations.select("observation_id"), "observation_id", "left_anti")
-        listed = left.agg(F.array_sort(F.collect_list(F.struct("obs_idx", "observation_id"))).alias("l"))
-        missing = listed.where(F.size("l") > 0).select(F.lit(60).alias("priority"), F.lit(0).cast("long").alias("ord"), F.lit("complete").alias("rule"), none.alias("key"), F.concat(F.lit("Missing cluster annotations for: " if noun == "annotation" else "Missing cluster assignments for: "), F.array_join("l.observation_id", ", ")).alias("message"))
+        missing = _listed(left).select(F.lit(60).alias("priority"), F.lit(0).cast("long").alias("ord"), F.lit("complete").alias("rule"), none.alias("key"), F.concat(F.lit("Missing cluster annotations for: " if noun == "annotation" else "Missing cluster assignments for: "), F.col("l")).alias("message"))
         out = out.unionByName(missing)
     return out
 
@@ -143,17 +154,16 @@ def dedup_violations(observations: DataFrame, groups: DataFrame) -> DataFrame:
     key = F.col("observation_id")
     out = [
         violation(groups, ~F.coalesce(F.col("pixel_sha256").rlike("^[0-9a-f]{64}$"), F.lit(False)), 50, "digest", F.lit("Invalid pixel_sha256"), "group_idx", F.col("group_idx")),
-        violation(groups, F.coalesce(F.size("observation_ids"), F.lit(0)) < 1, 50, "empty", F.lit("Every deduplication group must be non-empty"), "group_idx", F.col("group_idx")),
+        violation(groups, F.coalesce(F.size("observation_ids"), F.lit(0)) < 1, 50, "empty", F.lit("Groups of equal images are non-empty; this one has no members"), "group_idx", F.col("group_idx")),
         violation(members, F.col("obs_idx").isNull(), 50, "known", F.concat(F.lit("Unknown deduplicated observation: "), key), "group_idx", key),
         violation(seen, F.col("__again") & F.col("obs_idx").isNotNull(), 50, "unique", F.concat(F.lit("Duplicate deduplicated observation: "), key), "group_idx", key),
-        violation(inside, F.col("obs_idx") < F.col("__before"), 51, "member_order", F.lit("Observation IDs in each deduplication group must follow dataset order"), "group_idx", key),
-        violation(first, F.col("obs_idx") <= F.col("__before"), 52, "group_order", F.lit("Deduplication groups must follow first occurrence order"), "group_idx", key),
+        violation(inside, F.col("obs_idx") < F.col("__before"), 51, "member_order", F.lit("Members of a group aren't in dataset order"), "group_idx", key),
+        violation(first, F.col("obs_idx") <= F.col("__before"), 52, "group_order", F.lit("Groups aren't in the order of first occurrence"), "group_idx", key),
     ]
     if "fields_present" in groups.columns:
         out.append(violation(groups, F.array_sort("fields_present") != F.array(F.lit("observation_ids"), F.lit("pixel_sha256")), 49, "fields", F.lit("Invalid deduplication record fields"), "group_idx", F.col("group_idx")))
     left = observations.join(members.select("observation_id"), "observation_id", "left_anti")
-    listed = left.agg(F.array_sort(F.collect_list(F.struct("obs_idx", "observation_id"))).alias("l")).where(F.size("l") > 0).withColumn("zero", F.lit(0))
-    out.append(violation(listed, F.lit(True), 60, "cover", F.concat(F.lit("Deduplication does not cover observations: "), F.array_join("l.observation_id", ", ")), "zero", F.lit(None)))
+    out.append(violation(_listed(left).withColumn("zero", F.lit(0)), F.lit(True), 60, "cover", F.concat(F.lit("Deduplication does not cover observations: "), F.col("l")), "zero", F.lit(None)))
     return _all(out)
 
 
@@ -186,10 +196,10 @@ def tile_violations(tiles: DataFrame, grids: DataFrame) -> DataFrame:
     return _all([
         violation(per, F.col("n").isNull() | (F.col("lo") < 1), 10, "empty", F.lit("patch_features must not be empty"), "zero", name),
         violation(per, F.col("lo") != F.col("hi"), 20, "dimension", F.lit("Tile embedding dimensions must match"), "zero", name),
-        violation(per, (F.col("ll") != 2) | (F.col("lh") != 2), 30, "logits", F.lit("element_logits must have shape (tiles, 2) matching patch_features"), "zero", name),
-        violation(per, ~F.coalesce((F.col("rows") > 0) & (F.col("cols") > 0) & (F.col("rows") * F.col("cols") == F.col("n")), F.lit(False)), 40, "grid", F.lit("patch_grid must contain positive rows and columns matching tiles"), "zero", name),
-        violation(per, F.col("bad"), 50, "finite", F.lit("patch_features must contain only finite values"), "zero", name),
-        violation(per, F.col("bl"), 60, "finite_logits", F.lit("element_logits must contain only finite values"), "zero", name),
+        violation(per, (F.col("ll") != 2) | (F.col("lh") != 2), 30, "logits", F.lit("element_logits need two numbers for every tile"), "zero", name),
+        violation(per, ~F.coalesce((F.col("rows") > 0) & (F.col("cols") > 0) & (F.col("rows") * F.col("cols") == F.col("n")), F.lit(False)), 40, "grid", F.lit("patch_grid needs rows and columns above 0 that hold the tiles"), "zero", name),
+        violation(per, F.col("bad"), 50, "finite", F.lit("patch_features hold a value that isn't finite"), "zero", name),
+        violation(per, F.col("bl"), 60, "finite_logits", F.lit("element_logits hold a value that isn't finite"), "zero", name),
     ])
 
 
@@ -197,15 +207,15 @@ def same_observations_violations(original: DataFrame, edited: DataFrame) -> Data
     """An edited annotation must have exactly the original's observations."""
     a, b = original.select("observation_id"), edited.select("observation_id")
     both = a.exceptAll(b).withColumn("rule", F.lit("lost")).union(b.exceptAll(a).withColumn("rule", F.lit("added"))).withColumn("zero", F.lit(0))
-    return both.select(F.lit(10).alias("priority"), F.col("zero").cast("long").alias("ord"), "rule", F.col("observation_id").alias("key"), F.concat(F.lit("The edited annotation must cover the original observations: "), "observation_id").alias("message"))
+    return both.select(F.lit(10).alias("priority"), F.col("zero").cast("long").alias("ord"), "rule", F.col("observation_id").alias("key"), F.concat(F.lit("An edit lost or added an observation: "), "observation_id").alias("message"))
 
 
 def review_violations(reviews: DataFrame) -> DataFrame:
     """Members of a review must be distinct, and the incorrect ones among them."""
     rows = reviews.withColumn("zero", F.lit(0))
     return _all([
-        violation(rows, F.size(F.array_distinct("observation_ids")) != F.size("observation_ids"), 10, "distinct", F.lit("A cluster contains duplicate observation IDs"), "zero", F.col("cluster_id")),
-        violation(rows, F.size(F.array_except("incorrect_observation_ids", "observation_ids")) > 0, 20, "subset", F.lit("Incorrect observations must belong to the cluster"), "zero", F.col("cluster_id")),
+        violation(rows, F.size(F.array_distinct("observation_ids")) != F.size("observation_ids"), 10, "distinct", F.lit("A review names an observation twice (duplicate)"), "zero", F.col("cluster_id")),
+        violation(rows, F.size(F.array_except("incorrect_observation_ids", "observation_ids")) > 0, 20, "subset", F.lit("What a review calls incorrect must belong to its cluster"), "zero", F.col("cluster_id")),
     ])
 
 

@@ -64,10 +64,18 @@ def new_path(spark: SparkSession, label: str) -> str:
 _SCRATCH: ContextVar[tuple[dict[str, DataFrame], ...]] = ContextVar("scratch", default=())
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read again: the same rows, an empty lineage."""
-    path = new_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)  # snappy's buffers lie outside the heap until some later collection
+    path, conf = new_path(df.sparkSession, label), df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")  # the write's shuffle files go when it ends; else they stay until the driver happens to collect its garbage
+    try:
+        df.write.option("compression", "zstd").parquet(path)  # snappy's buffers lie outside the heap until some later collection
+    finally:
+        conf.set(_CLEANUP, before)
     again = df.sparkSession.read.schema(df.schema).parquet(path)
     again._gridloom_path = path
     for made in _SCRATCH.get()[-1:]:

@@ -6,7 +6,7 @@ import json
 import os
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from gridloom.operators import validate
 from gridloom.operators.images import SUFFIXES
@@ -28,10 +28,17 @@ LEGACY = _record("observation_id", "auto_cluster_id", "baseline")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line_no from 1, line) of a text file's lines that aren't blank; numbers are those in the file."""
-    whole = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
-    lines = whole.select("path", F.posexplode(F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n")).alias("p", "line"))
-    return lines.where(F.trim(F.regexp_replace("line", r"\s+", " ")) != "").select("path", (F.col("p") + 1).alias("line_no"), "line")
+    """(path, line_no from 1, line) of text files' lines that aren't blank; numbers are those in the file.
+
+    Files are read in splits, each by a task. A line's number is its place in its split, whose rows are
+    numbered without gaps as they are read, after the lines of the file's splits before it.
+    """
+    read = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    splits = read.groupBy("path", "start").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("path", "start", (F.coalesce(before, F.lit(0)) - F.col("first") + 1).alias("shift"))
+    numbered = read.join(splits, ["path", "start"]).select("path", (F.col("id") + F.col("shift")).alias("line_no"), "line")
+    return numbered.where(F.trim(F.regexp_replace("line", r"\s+", " ")) != "")
 
 
 def _check_lines(rows: DataFrame, path: str) -> None:
@@ -102,6 +109,19 @@ def load_annotations(spark: SparkSession, run: Run, path: str, *, complete: bool
     return rows.select("ann_idx", "observation_id", "cluster_id", "source")
 
 
+def resume_annotations(spark: SparkSession, run: Run, original: str, output: str) -> DataFrame:
+    """The annotation at ``output`` if an earlier session left one, else the original; both complete.
+
+    An output must have exactly the original's observations.
+    """
+    first = load_annotations(spark, run, original, complete=True)
+    if not os.path.exists(output):
+        return first
+    later = load_annotations(spark, run, output, complete=True)
+    validate.enforce(validate.same_observations_violations(first, later))
+    return later
+
+
 def load_dedup_groups(spark: SparkSession, run: Run, path: str) -> DataFrame:
     """(group_idx, pixel_sha256, observation_ids), after all checks."""
     rows = read_jsonl(spark, path, DEDUP).withColumnRenamed("line_no", "group_idx")
