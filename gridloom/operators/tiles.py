@@ -68,7 +68,7 @@ def sample_losses(cells: DataFrame, sample: str, logit: str, target: str, weight
 def paired_cells(logits: DataFrame, targets: DataFrame, sample: str, cell: str) -> DataFrame:
     """(sample, cell, logit, target) of logits (sample, cell, logit) and targets (sample, cell, target).
 
-    An error unless both have the same samples, and every sample the same cells on both sides.
+    An error unless both have the same samples, and every sample the same cells, each once, on both sides.
     """
     sides = logits.withColumn("__l", F.lit(True)).join(targets.withColumn("__t", F.lit(True)), [sample, cell], "full")
     there = sides.groupBy(sample).agg(F.count("__l").alias("__nl"), F.count("__t").alias("__nt"), F.count("*").alias("__n"))

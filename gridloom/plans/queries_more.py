@@ -97,12 +97,12 @@ def check_divisible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.check_divisible(A.read(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 14).cast("int").alias("h"), F.lit(28).alias("w")), 14)
 
 
-@query("""WITH c AS (SELECT l_orderkey, l_linenumber, ((l_quantity - 25) / 10)::DOUBLE AS x, (l_returnflag = 'R')::INT AS y FROM lineitem),
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber, max(((l_quantity - 25) / 10)::DOUBLE) AS x, max((l_returnflag = 'R')::INT) AS y FROM lineitem GROUP BY ALL),
   s AS (SELECT l_orderkey, avg(greatest(x, 0) - x * y + ln(1 + exp(-abs(x)))) AS loss FROM c GROUP BY 1) SELECT round(avg(loss), 6) AS loss FROM s""")
 def paired_batch_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = A.read(spark, sf_dir, "lineitem")
-    logits = l.select("l_orderkey", "l_linenumber", ((F.col("l_quantity") - 25) / 10).cast("double").alias("logit"))
-    targets = l.select("l_orderkey", "l_linenumber", (F.col("l_returnflag") == "R").cast("int").alias("target"))
+    cells = A.read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber")  # numbers may repeat in an order
+    logits = cells.agg(F.max(((F.col("l_quantity") - 25) / 10).cast("double")).alias("logit"))
+    targets = cells.agg(F.max((F.col("l_returnflag") == "R").cast("int")).alias("target"))
     cells = tiles.paired_cells(logits, targets, "l_orderkey", "l_linenumber")
     return tiles.batch_loss(cells, "l_orderkey", "logit", "target").select(F.round("loss", 6).alias("loss"))
 

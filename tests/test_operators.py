@@ -581,3 +581,73 @@ def test_sample_targets(spark):
     screen = spark.createDataFrame([(0, 64, 64, [([0.0, 0.0, 64.0, 32.0],)], None)], schema)
     rows = tiles.sample_targets(screen, 0.5, 16, ["image"]).orderBy("tile_idx").collect()
     assert [(r.tile_idx, r.clickable, r.scrollable) for r in rows] == [(0, 1, 0), (1, 1, 0), (2, 0, 0), (3, 0, 0)]
+
+
+# --- stored histories, shapes, cuts by components, hot groups -------------------------------------
+
+
+def test_stored_history(spark, tmp_path):
+    v = lambda *ids: clusters(spark, *ids).coalesce(1)
+    history = curate.StoredHistory(spark, f"{tmp_path}/h", v("a", "b"))
+    history.edit(v("c", "b"))
+    history.edit(v("d", "b"))
+    assert ids_of(history.undo()) == ["c", "b"]
+    assert ids_of(curate.StoredHistory(spark, f"{tmp_path}/h").current) == ["c", "b"]
+    assert ids_of(history.reset()) == ["a", "b"] and ids_of(history.undo()) == ["c", "b"]
+    assert ids_of(history.undo()) == ["a", "b"] and ids_of(history.undo()) == ["a", "b"]
+    with pytest.raises(ValueError, match="No versions"):
+        curate.StoredHistory(spark, f"{tmp_path}/none")
+
+
+def test_shapes_of_losses_and_scores(spark):
+    cells = lambda rows, name: spark.createDataFrame(rows, f"s int, c int, {name} double")
+    logits, targets = [(0, 0, 1.0), (0, 1, -1.0), (1, 0, 2.0)], [(0, 0, 1.0), (0, 1, 0.0), (1, 0, 1.0)]
+    paired = lambda l, t: tiles.paired_cells(cells(l, "logit"), cells(t, "target"), "s", "c")
+    assert paired(logits, targets).count() == 3
+    for l, t, says in ((logits[:2], targets, "same number of samples"), (logits, targets[:2], "same number of samples"), (logits, targets[1:], "one row per patch token"), (logits[1:], targets, "one row per patch token")):
+        with pytest.raises(Exception, match=says):
+            paired(l, t).collect()
+    with pytest.raises(ValueError, match="same number of elements"):
+        evaluate.best_f1_operating_point(spark.createDataFrame([(0.5, 1), (0.4, None)], "p double, y int"), "p", "y")
+
+
+@pytest.mark.parametrize("threshold", [0.2, 0.5, 0.9])
+def test_cut_by_components(spark, threshold):
+    rng = np.random.default_rng(2)
+    points = np.concatenate([rng.normal(c, 0.15, (8, 2)) for c in ((0, 0), (1, 0), (3, 3))])
+    d = np.linalg.norm(points[:, None] - points[None], axis=2).astype(np.float32)
+    pairs = spark.createDataFrame([(i, j, float(d[i, j])) for i in range(24) for j in range(i + 1, 24)], "i long, j long, d float")
+    got = linkage.cut_by_components(pairs, spark.range(24).withColumnRenamed("id", "i"), threshold)
+    assert [r.label for r in got.orderBy("i").collect()] == linkage.cut_at(d, threshold)
+
+
+def test_hot_groups_are_ranked_by_range(spark, monkeypatch):
+    from gridloom.plans import ordering
+
+    rows = spark.range(200).selectExpr("if(id % 3 = 0, null, if(id % 3 = 1, 'a', concat('b', id))) AS k", "199 - id AS o")
+    want = {(r.k, r.o): (r.p, r.n) for r in places(rows, ["k"], ["o"], "p", "n").collect()}
+    monkeypatch.setattr(ordering, "HOT_GROUP", 20)
+    assert {(r.k, r.o): (r.p, r.n) for r in places(rows, ["k"], ["o"], "p", "n").collect()} == want
+    assert sorted(p for (k, _), (p, n) in want.items() if k == "a" and n == 67) == list(range(67))
+
+
+def test_mean_vectors_of_many_places(spark):
+    v = np.random.default_rng(0).normal(size=(12, 200))
+    df = spark.createDataFrame([(k % 3, x.tolist()) for k, x in enumerate(v)], "k int, v array<double>")
+    got = {r.k: r.m for r in features._mean_vectors(df, "k", "v", "m", 200).collect()}
+    assert all(np.allclose(got[k], v[k::3].mean(0)) for k in range(3))
+
+
+def test_class_overlays(spark):
+    image = np.arange(3 * 4 * 6, dtype=np.uint8).reshape(3, 4, 6)
+    bgr = bytearray(image[::-1].transpose(1, 2, 0).tobytes())
+    logits = [[0.0, 50.0], [-50.0, 50.0], [0.0, -50.0], [50.0, 0.0], [0.0, 0.0], [1.0, 2.0]]
+    df = spark.createDataFrame([((4, 6, 3, bgr), logits, 2, 3), (None, logits, 2, 3)], "image struct<height:int,width:int,nChannels:int,data:binary>, logits array<array<double>>, rows int, cols int")
+    got = [r.overlays for r in images.with_class_overlays(df, 2).collect()]
+    want = images.class_overlays(image, np.array(logits), (2, 3), 2)
+    assert got[1] is None and [bytes(x) for x in got[0]] == [np.rint(w * 255).astype(np.uint8).transpose(1, 2, 0).tobytes() for w in want]
+    assert np.allclose(want[1][:, :2, 2:4], image[:, :2, 2:4] / 255 * 0.5 + np.array([0, 0, 1])[:, None, None] * 0.5)
+    with pytest.raises(ValueError, match="three colour planes"):
+        images.overlay(image[:2], np.zeros((1, 1)), 2, 0.5)
+    with pytest.raises(ValueError, match="lie in an image"):
+        images.overlay(image, np.zeros((3, 3)), 2, 0.5)

@@ -235,3 +235,32 @@ def test_appended_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert {r.observation_id: r.cluster_id for r in appended.read_latest(spark, str(tmp_path / "out")).collect()} == {"o1": "C", "o2": "B"}
+
+
+def test_lines_of_split_files(spark, tmp_path):
+    """Line numbers are those in the file however many tasks read it, after every kind of line end."""
+    texts = {"a.jsonl": "".join(f'{{"k": {i}}}' + ("\r\n" if i % 5 == 0 else "\n") + ("\n" if i % 7 == 0 else "") for i in range(400)), "b.jsonl": '{"k": 1}\n\n{"k": 2}'}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        read = jsonl.read_lines(spark, str(tmp_path))
+        assert read.rdd.getNumPartitions() >= 1
+        got = sorted((r.path.rsplit("/")[-1], r.line_no, r.line) for r in read.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = sorted((name, k, line) for name, text in texts.items() for k, line in enumerate(text.replace("\r\n", "\n").split("\n"), 1) if line.strip())
+    assert got == want
+
+
+def test_resume(spark, run_dir, tmp_path):
+    run = jsonl.load_run(spark, str(run_dir))
+    record = lambda c: [{"observation_id": f"obs_00000{i}", "cluster_id": c, "source": "m"} for i in (1, 2, 3)]
+    original, output = lines(tmp_path / "a.jsonl", *record("A")), str(tmp_path / "out.jsonl")
+    assert {r.cluster_id for r in jsonl.resume_annotations(spark, run, original, output).collect()} == {"A"}
+    lines(tmp_path / "out.jsonl", *record("B"))
+    assert {r.cluster_id for r in jsonl.resume_annotations(spark, run, original, output).collect()} == {"B"}
+    lines(tmp_path / "out.jsonl", *record("B")[:2])
+    with pytest.raises(ValueError, match="Missing cluster annotations"):
+        jsonl.resume_annotations(spark, run, original, output)
