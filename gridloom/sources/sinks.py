@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import json
 import os
+import uuid
 from collections.abc import Iterable
 from contextlib import contextmanager
 
@@ -19,7 +20,7 @@ def _whole(path: str, *, overwrite: bool = True):
     if not overwrite and os.path.exists(path):
         raise FileExistsError(f"Output already exists: {path}")
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    temporary = path + ".tmp"
+    temporary = f"{path}.{uuid.uuid4().hex}.tmp"  # writers of one path don't share it
     try:
         with open(temporary, "w", encoding="utf-8", newline="") as out:
             yield out
@@ -97,22 +98,30 @@ def write_json(record: dict, path: str) -> str:
     return path
 
 
-def polyline(rows: DataFrame, x: str, y: str, width: int, height: int, margin: int) -> str:
-    """Points of a line through (x, y from 0 to 1), scaled to a plot."""
-    most = rows.agg(F.max(x)).first()[0] or 1.0
-    points = rows.orderBy(x).select(F.format_string("%.2f,%.2f", margin + F.col(x) / most * (width - 2 * margin), height - margin - F.col(y) * (height - 2 * margin)).alias("p"))
+def polyline(rows: DataFrame, x: str, y: str, width: int, height: int, margin: int, most: float, low: float = 0.0) -> str:
+    """Points of a line through (x from 0 to most, y from low to 1), scaled to a plot."""
+    across, up = F.col(x) / most, (F.col(y) - low) / (1 - low)
+    points = rows.orderBy(x).select(F.format_string("%.2f,%.2f", margin + across * (width - 2 * margin), height - margin - up * (height - 2 * margin)).alias("p"))
     return " ".join(r["p"] for r in points.toLocalIterator())
 
 
 def write_metric_plot(rows: DataFrame, path: str, x: str = "distance_threshold", metrics: tuple[tuple[str, str, str], ...] = (("F1", "full_f1", "#1f77b4"), ("ARI", "full_ari", "#ff7f0e"), ("NMI", "full_nmi", "#2ca02c"))) -> str:
-    """An SVG of one line per metric, with six ticks."""
+    """An SVG of one line per metric over thresholds, with titled axes and six ticks; the scale goes below 0 where a score does. An error without rows."""
     width, height, margin = 960, 540, 60
+    ends = rows.agg(F.max(x), *[F.min(column) for _, column, _ in metrics]).first()
+    if ends[0] is None:
+        raise ValueError("There are no rows to plot")
+    most, low = ends[0] or 1.0, min(0.0, *(v for v in ends[1:] if v is not None))
+    bottom, right = height - margin, width - margin
+    text = lambda x, y, words, anchor="middle", more="": f'<text x="{x}" y="{y:.2f}" text-anchor="{anchor}" font-size="12"{more}>{words}</text>'
     parts = [f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}" viewBox="0 0 {width} {height}">', f'<rect width="{width}" height="{height}" fill="white"/>']
     for tick in range(6):
-        y = height - margin - tick / 5 * (height - 2 * margin)
-        parts += [f'<line x1="{margin}" y1="{y:.2f}" x2="{width - margin}" y2="{y:.2f}" stroke="#ddd"/>', f'<text x="{margin - 8}" y="{y + 4:.2f}" text-anchor="end" font-size="12">{tick / 5:.1f}</text>']
+        y = bottom - tick / 5 * (bottom - margin)
+        parts += [f'<line x1="{margin}" y1="{y:.2f}" x2="{right}" y2="{y:.2f}" stroke="#ddd"/>', text(margin - 8, y + 4, f"{low + tick / 5 * (1 - low):.1f}", "end")]
+    parts += [f'<path d="M{margin} {margin}V{bottom}H{right}" fill="none" stroke="#333"/>', text(margin, bottom + 18, "0"), text(right, bottom + 18, f"{most:.4g}"), text(width / 2, bottom + 40, "Distance threshold")]
+    parts.append(text(16, height / 2, "Score", more=f' transform="rotate(-90 16 {height // 2})"'))
     for k, (name, column, color) in enumerate(metrics):
-        parts += [f'<polyline fill="none" stroke="{color}" stroke-width="2" points="{polyline(rows, x, column, width, height, margin)}"/>', f'<text x="{width - margin - 60}" y="{margin + 18 * k}" fill="{color}" font-size="14">{name}</text>']
+        parts += [f'<polyline fill="none" stroke="{color}" stroke-width="2" points="{polyline(rows, x, column, width, height, margin, most, low)}"/>', f'<text x="{right - 60}" y="{margin + 18 * k}" fill="{color}" font-size="14">{name}</text>']
     parts.append("</svg>")
     return write_lines(path, parts)
 

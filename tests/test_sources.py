@@ -264,3 +264,13 @@ def test_resume(spark, run_dir, tmp_path):
     lines(tmp_path / "out.jsonl", *record("B")[:2])
     with pytest.raises(ValueError, match="Missing cluster annotations"):
         jsonl.resume_annotations(spark, run, original, output)
+
+
+def test_plot_goes_below_zero(spark, tmp_path):
+    rows = spark.createDataFrame([(0.0, 0.5, -0.25, 0.0), (2.0, 1.0, 0.5, 1.0)], "distance_threshold double, full_f1 double, full_ari double, full_nmi double")
+    svg = open(sinks.write_metric_plot(rows, str(tmp_path / "p.svg"))).read()
+    assert "Distance threshold" in svg and "Score" in svg and ">2</text>" in svg and ">-0.2</text>" in svg and ">1.0</text>" in svg
+    heights = [float(p.split(",")[1]) for line in svg.split("\n") if "<polyline" in line for p in line.split('points="')[1].split('"')[0].split()]
+    assert min(heights) == 60 and max(heights) == 480 and os.listdir(tmp_path) == ["p.svg"]
+    with pytest.raises(ValueError, match="no rows"):
+        sinks.write_metric_plot(rows.limit(0), str(tmp_path / "q.svg"))
