@@ -13,8 +13,8 @@ with edits as evenly spread as can be, about 1 % share no run; with edits at ran
 Blocks of a SimHash can't do this: an edited word in five flips about 13 of 64 bits.
 
 Before texts are read again, pairs go whose lengths or signatures are too far apart. A signature has a bit
-for each of a line's least words, of 64: an edit changes two at most in lines of up to twelve words;
-of longer similar lines it leaves 10 bits or fewer different, but for 1 in 250.
+for each of a line's 32 least words, of 64: an edit changes two at most in lines of up to 32 words; of
+longer similar lines 16 bits or fewer differ, but for 1 in 200 with 250 words and fewer with less.
 
 The lines of a block of up to ``SMALL`` are all compared. Of a larger one, those next to each other in the
 order of their signatures are verified first; that joins up most of a dense group of near copies. Only lines still in different classes are then
@@ -41,8 +41,9 @@ HOT = 1000
 SMALL = 16
 _HALVED = 9  # words of lines that allow one edit at most
 _NEIGHBOURS = 3
-_BITS = 10  # of two signatures of similar lines of over KEPT + 2 words
-_LETTERS = 8192
+_SIGNED = 32  # words of a signature
+_BITS = 16  # that signatures of similar lines of more words may differ in
+_LETTERS = 20_000
 _WORDS = r"[^a-z0-9\p{L}\p{N}]+"
 
 
@@ -76,10 +77,10 @@ def distinct_lines(rows: DataFrame, doc: str, text: str) -> DataFrame:
     """
     n, h = F.col("n"), F.col("h")
     of = _hashed(_lines(rows, doc, text)).select("doc", "row", "pos", F.size("h").alias("n"), F.xxhash64("h").alias("k1"), F.xxhash64(F.lit(7), "h").alias("k2"), "h")
-    known = F.slice(F.sort_array(F.array_distinct("h")), 1, F.when(n <= KEPT + 2, n).otherwise(KEPT))
+    known = F.slice(F.sort_array(F.array_distinct("h")), 1, _SIGNED)
     of = _materialised(of, known=known)
     run = lambda x: F.array_position("h", x).cast("int")
-    of = _materialised(of, places=F.transform(F.slice("known", 1, F.when(n < _HALVED - 1, 0).otherwise(KEPT + 2)), run))  # lines of 8 and 9 words meet those of 10
+    of = _materialised(of, places=F.transform(F.slice("known", 1, F.when(n < _HALVED - 1, 0).when(n <= KEPT + 2, n).otherwise(KEPT)), run))  # lines of 8 and 9 words meet those of 10
     sig = F.aggregate("known", F.lit(0).cast("long"), lambda bits, x: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
     runs = F.transform("places", lambda i: F.when(i + 1 < n, F.xxhash64(F.get(h, i - 1), F.get(h, i), F.get(h, i + 1))))
     sizes = F.array_distinct(F.array(F.floor(n / 2).cast("int"), F.greatest(F.floor((n - 1) / 2).cast("int"), F.lit(2))))
@@ -132,7 +133,7 @@ def _may(a: str, b: str, similarity: float) -> Column:
     most = _most(n, m, similarity)
     apart = F.bit_count(F.col(f"{a}sig").bitwiseXOR(F.col(f"{b}sig")))
     met = (F.greatest(n, m) > _HALVED) | (F.col("block").bitwiseAND(F.lit(1)) == 1)  # two short lines share a half if they are similar
-    return met & (F.abs(n - m) <= most) & (apart <= F.when(F.greatest(n, m) <= KEPT + 2, 2 * most).otherwise(_BITS))
+    return met & (F.abs(n - m) <= most) & (apart <= F.when(F.greatest(n, m) <= _SIGNED, 2 * most).otherwise(_BITS))
 
 
 def _parts() -> Column:
@@ -176,25 +177,32 @@ def _string(letters: Column) -> Column:
     return F.array_join(F.transform(letters, lambda x: F.get(alphabet, x.cast("int"))), "")
 
 
-def similar(pairs: DataFrame, rows: DataFrame, lines: DataFrame, doc: str, text: str, similarity: float) -> DataFrame:
+def paired_words(pairs: DataFrame, rows: DataFrame, lines: DataFrame, doc: str, text: str, known: DataFrame | None = None) -> DataFrame:
+    """(k1, h, form: a string with a character per word) of the lines of pairs (a, b), out of those known already where they are."""
+    paired = pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).distinct()
+    if known is not None:
+        paired = paired.join(known.select("k1"), "k1", "left_anti")
+    wanted = cut(lines.select("k1", "at.row", "at.pos").join(paired, "k1", "left_semi"), "line-wanted")
+    words = wanted_words(rows, doc, text, wanted).select("k1", "h", _string(F.transform("h", lambda x: F.pmod(x, F.lit(_LETTERS)))).alias("form"))
+    words = cut(words, "line-words")
+    return words if known is None else known.union(words)
+
+
+def similar(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     """(src, dst) of the pairs (a, b) whose lines are at least ``similarity`` alike: 1 - edits / words of the longer, an edit being a word.
 
-    The distance is taken between strings with a character per word, its hash modulo 8,192. That can
+    The distance is taken between strings with a character per word, its hash modulo 20,000. That can
     only be too small, where two different words of the pair have one character; such pairs are compared
     again with words as their places in the pair's own vocabulary.
     """
-    pairs = cut(pairs, "line-pairs")
-    paired = pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).distinct()
-    wanted = cut(lines.select("k1", "at.row", "at.pos").join(paired, "k1", "left_semi"), "line-wanted")
-    words = wanted_words(rows, doc, text, wanted).select("k1", "h", _string(F.transform("h", lambda x: F.pmod(x, F.lit(_LETTERS)))).alias("form"))
-    words = cut(words, "line-words")
-    side = lambda c: words.select(F.col("k1").alias(c), F.col("h").alias(f"h{c}"), F.col("form").alias(f"f{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("most", _most(F.size("ha"), F.size("hb"), similarity))
-    near = both.where((F.abs(F.size("ha") - F.size("hb")) <= F.col("most")) & (F.expr("levenshtein(fa, fb, most)") >= 0))  # stops beyond the threshold, with -1
-    near = _materialised(near, known=F.array_union("ha", "hb"))
-    letters = F.size(F.array_distinct(F.split(F.concat("fa", "fb"), "")))
+    side = lambda c, what: words.select(F.col("k1").alias(c), F.col(what).alias(what + c))
+    both = pairs.join(side("a", "form"), "a").join(side("b", "form"), "b").withColumn("most", _most(F.char_length("forma"), F.char_length("formb"), similarity))
+    near = both.where(F.expr("levenshtein(forma, formb, most)") >= 0)  # stops beyond the threshold, with -1
+    near = cut(near.select("a", "b", "most", F.size(F.array_distinct(F.split(F.concat("forma", "formb"), ""))).alias("letters")), "line-near")
+    near = _materialised(near.join(side("a", "h"), "a").join(side("b", "h"), "b"), known=F.array_union("ha", "hb"))
     place = lambda h: _string(F.transform(F.col(h), lambda x: F.array_position("known", x) - 1))
-    exact = F.when((letters == F.size("known")) | (F.size("known") > _LETTERS), F.lit(True)).otherwise(F.call_function("levenshtein", place("ha"), place("hb"), F.col("most")) >= 0)
+    told_apart = (F.col("letters") == F.size("known")) | (F.size("known") > _LETTERS)
+    exact = F.when(told_apart, F.lit(True)).otherwise(F.call_function("levenshtein", place("ha"), place("hb"), F.col("most")) >= 0)
     return near.where(exact).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
@@ -204,8 +212,11 @@ def kept_places(rows: DataFrame, doc: str, text: str, similarity: float) -> Data
     shared = cut(shared_blocks(lines), "line-blocks")
     small, large = shared.where(F.col("size") <= SMALL), shared.where(F.col("size") > SMALL)
     close = _together(small, similarity).union(_neighbours(large, similarity)).distinct()
-    near = connected_components(similar(close, rows, lines, doc, text, similarity))
-    across = similar(_across(large, near, similarity), rows, lines, doc, text, similarity)
+    close = cut(close, "line-pairs")
+    words = paired_words(close, rows, lines, doc, text)
+    near = connected_components(similar(close, words, similarity))
+    apart = cut(_across(large, near, similarity), "line-pairs")
+    across = similar(apart, paired_words(apart, rows, lines, doc, text, words), similarity)
     to_root = lambda end: near.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
     between = across.join(to_root("src"), "src", "left").join(to_root("dst"), "dst", "left").select(F.coalesce("src_root", "src").alias("src"), F.coalesce("dst_root", "dst").alias("dst"))
     classes = connected_components(between).select(F.col("node").alias("root"), F.col("root").alias("class"))  # of roots, and of lines that had no class
@@ -224,7 +235,7 @@ def dedup_lines(df: DataFrame, doc: str = "doc_id", text: str = "text", *, simil
     an empty one empty; a document may end up empty. Rows that share an id, or are the same, are
     documents of their own, in the order of a number given to the rows once. An empty table gives no
     rows. Other columns are kept as they are, but for those of the two new names. Lines have any length;
-    where a pair has over 8,192 different words, two of them can pass for one.
+    where a pair has over 20,000 different words, two of them can pass for one.
     """
     if similarity < SIMILARITY:
         raise ValueError(f"blocks are shared from a similarity of {SIMILARITY} on")
@@ -234,11 +245,13 @@ def dedup_lines(df: DataFrame, doc: str = "doc_id", text: str = "text", *, simil
         stay = kept_places(rows, doc, text, similarity)
     joined = rows.join(stay.hint("shuffle_hash"), F.col("__row") == F.col("__of"), "left")
     joined = _materialised(joined, __lines=F.split(F.col(f"`{text}`"), "\n"))
-    stays = lambda line, k: F.coalesce(F.array_contains(F.col("__stay"), k), F.lit(False)) | ~line.rlike(r"[a-z0-9\p{L}\p{N}]")
-    joined = _materialised(joined, __left=F.filter("__lines", stays))
-    lost = F.coalesce(F.size("__lines") - F.size("__left"), F.lit(0))
-    body = F.when(lost > 0, F.array_join("__left", "\n")).otherwise(F.col(f"`{text}`"))
+    places = F.sequence(F.lit(0), F.size("__lines") - 1)
+    worded = F.filter(places, lambda k: F.get(F.col("__lines"), k).rlike(r"[a-z0-9\p{L}\p{N}]"))
+    joined = _materialised(joined, __gone=F.array_except(worded, F.coalesce("__stay", F.array().cast("array<int>"))))  # by hash sets, also where documents have very many lines
+    lost = F.coalesce(F.size("__gone"), F.lit(0))
+    left = F.transform(F.array_except(places, F.col("__gone")), lambda k: F.get(F.col("__lines"), k))
+    body = F.when(lost > 0, F.array_join(left, "\n")).otherwise(F.col(f"`{text}`"))
     return joined.select(
         *[(body if c == text else F.col(f"`{c}`")).alias(c) for c in columns],
-        F.coalesce(F.size("__left"), F.lit(0)).cast("long").alias("n_lines_kept"), lost.cast("long").alias("n_lines_removed"),
+        (F.coalesce(F.size("__lines"), F.lit(0)) - lost).cast("long").alias("n_lines_kept"), lost.cast("long").alias("n_lines_removed"),
     )
