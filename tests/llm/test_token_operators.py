@@ -400,3 +400,29 @@ def test_pipeline_odd_rows(spark, tmp_path):
     assert [r.doc_id for r in near if r.doc_id == 4] == [4] and not any(r.doc_id == 5 for r in near)
     assert p.pack(spark, docs, str(tmp_path)).where("doc_id = 4").agg(F.sum("length") / F.max("doc_tokens")).first()[0] == 2
     assert kept.count() >= 1
+
+
+def test_pipeline_drops_near_copies(spark, tmp_path):
+    """Copies with scattered changes, an appended passage or a cut end are gone after the SimHash stage, wherever line dedup left some of their lines; other documents are whole."""
+    import corpus_pipeline as p
+
+    rng = np.random.default_rng(9)
+    rows, copies = [], []
+    for k in range(12):
+        lines = [[f"w{rng.integers(5000)}" for _ in range(rng.integers(12, 30))] for _ in range(12)]
+        rows.append((k, "\n".join(map(" ".join, lines))))
+        if k % 3 == 0:  # a word of every other line
+            near = [[*x[:-1], f"new{rng.integers(5000)}"] if i % 2 else x for i, x in enumerate(lines)]
+        elif k % 3 == 1:
+            near = [*lines, [f"more{rng.integers(5000)}" for _ in range(20)]]
+        else:
+            near = lines[:-1]
+        copies.append(100 + k)
+        rows.append((100 + k, "\n".join(map(" ".join, near))))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    left = p.line_dedup_stage(spark, docs, str(tmp_path))
+    kept = {r.doc_id: r.text for r in p.near_dedup(spark, left, str(tmp_path)).collect()}
+    assert not kept.keys() & set(copies) and {i: t for i, t in rows if i < 100} == kept
+    alone = {r.doc_id for r in p.near_dedup(spark, docs, f"{tmp_path}/nothing").collect()}
+    assert alone == set(range(12))
