@@ -13,11 +13,12 @@ with edits as evenly spread as can be, about 1 % share no run; with edits at ran
 Blocks of a SimHash can't do this: an edited word in five flips about 13 of 64 bits.
 
 Before texts are read again, pairs go whose lengths or signatures are too far apart. A signature has a bit
-for each of a line's 32 least words, of 64: an edit changes two at most in lines of up to 32 words; of
-longer similar lines 16 bits or fewer differ, but for 1 in 200 with 250 words and fewer with less.
+for each of a line's 64 least words, of 128: an edit changes two at most in lines of up to 64 words; of
+longer similar lines 32 bits or fewer differ, but for about 1 in 200.
 
 The lines of a block of up to ``SMALL`` are all compared. Of a larger one, those next to each other in the
-order of their signatures are verified first; that joins up most of a dense group of near copies. Only lines still in different classes are then
+order of their signatures, and each with the first and last, are verified first; that joins up most of a
+dense group of near copies. Only lines still in different classes are then
 joined with one another, so a group of n near copies doesn't make n * n pairs. Blocks of more than
 ``HOT`` lines are dealt to a grid of cells, so no task has more than that of one block.
 
@@ -41,8 +42,8 @@ HOT = 1000
 SMALL = 16
 _HALVED = 9  # words of lines that allow one edit at most
 _NEIGHBOURS = 3
-_SIGNED = 32  # words of a signature
-_BITS = 16  # that signatures of similar lines of more words may differ in
+_SIGNED = 64  # words of a signature
+_BITS = 32  # that signatures of similar lines of more words may differ in
 _LETTERS = 20_000
 _WORDS = r"[^a-z0-9\p{L}\p{N}]+"
 
@@ -71,7 +72,7 @@ def _lines(rows: DataFrame, doc: str, text: str) -> DataFrame:
 
 
 def distinct_lines(rows: DataFrame, doc: str, text: str) -> DataFrame:
-    """(k1, k2: hashes of the normal form, n: its words, sig, blocks, at) of every normal form with a word.
+    """(k1, k2: hashes of the normal form, n: its words, sig0, sig1: signature, blocks, at) of every normal form with a word.
 
     at is its first place (doc, row, pos), null ids first.
     """
@@ -81,19 +82,22 @@ def distinct_lines(rows: DataFrame, doc: str, text: str) -> DataFrame:
     of = _materialised(of, known=known)
     run = lambda x: F.array_position("h", x).cast("int")
     of = _materialised(of, places=F.transform(F.slice("known", 1, F.when(n < _HALVED - 1, 0).when(n <= KEPT + 2, n).otherwise(KEPT)), run))  # lines of 8 and 9 words meet those of 10
-    sig = F.aggregate("known", F.lit(0).cast("long"), lambda bits, x: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+    def sig(half: int) -> Column:  # bits of the words whose hash has bit 6 so
+        bit = lambda x: F.when(x.bitwiseAND(F.lit(64)) == 64 * half, F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long"))
+        return F.aggregate("known", F.lit(0).cast("long"), lambda bits, x: bits.bitwiseOR(bit(x))).alias(f"sig{half}")
+
     runs = F.transform("places", lambda i: F.when(i + 1 < n, F.xxhash64(F.get(h, i - 1), F.get(h, i), F.get(h, i + 1))))
     sizes = F.array_distinct(F.array(F.floor(n / 2).cast("int"), F.greatest(F.floor((n - 1) / 2).cast("int"), F.lit(2))))
     halves = F.flatten(F.transform(sizes, lambda m: F.array(F.xxhash64(F.lit("first"), F.slice(h, 1, m)), F.xxhash64(F.lit("last"), F.slice(h, n - m + 1, m)))))
     runs = F.transform(runs, lambda x: x.bitwiseAND(F.lit(-2)))  # even
     halves = F.transform(halves, lambda x: x.bitwiseOR(F.lit(1)))
     blocks = F.array_distinct(F.array_compact(F.when((n > 3) & (n <= _HALVED), F.concat(runs, halves)).otherwise(runs)))
-    first = of.select("doc", "row", "pos", "n", "k1", "k2", sig.alias("sig"), blocks.alias("blocks")).groupBy("k1", "k2").agg(F.min(F.struct("doc", "row", "pos", "n", "sig", "blocks")).alias("at"))
-    return first.select("k1", "k2", "at.n", "at.sig", "at.blocks", F.struct("at.doc", "at.row", "at.pos").alias("at"))
+    first = of.select("doc", "row", "pos", "n", "k1", "k2", sig(0), sig(1), blocks.alias("blocks")).groupBy("k1", "k2").agg(F.min(F.struct("doc", "row", "pos", "n", "sig0", "sig1", "blocks")).alias("at"))
+    return first.select("k1", "k2", "at.n", "at.sig0", "at.sig1", "at.blocks", F.struct("at.doc", "at.row", "at.pos").alias("at"))
 
 
 def shared_blocks(lines: DataFrame) -> DataFrame:
-    """(block, k1, n, sig, size) for the blocks of two lines or more; size is the block's number of lines."""
+    """(block, k1, n, sig0, sig1, size) for the blocks of two lines or more; size is the block's number of lines."""
     one = lines.select(F.explode("blocks").alias("block"), *_FACTS)
     sizes = cut(one.groupBy("block").agg(F.count("*").alias("size")).where("size > 1"), "line-sizes")
     return _probed(one, ["block"], sizes).join(sizes, "block")
@@ -119,7 +123,7 @@ def wanted_words(rows: DataFrame, doc: str, text: str, wanted: DataFrame) -> Dat
     return _hashed(found.select("k1", "line"))
 
 
-_FACTS = ("k1", "n", "sig")
+_FACTS = ("k1", "n", "sig0", "sig1")
 
 
 def _most(a: Column, b: Column, similarity: float) -> Column:
@@ -131,7 +135,7 @@ def _may(a: str, b: str, similarity: float) -> Column:
     """Whether lengths and signatures allow two lines of a block to be similar."""
     n, m = F.col(f"{a}n"), F.col(f"{b}n")
     most = _most(n, m, similarity)
-    apart = F.bit_count(F.col(f"{a}sig").bitwiseXOR(F.col(f"{b}sig")))
+    apart = sum((F.bit_count(F.col(f"{a}sig{k}").bitwiseXOR(F.col(f"{b}sig{k}"))) for k in range(2)), F.lit(0))
     met = (F.greatest(n, m) > _HALVED) | (F.col("block").bitwiseAND(F.lit(1)) == 1)  # two short lines share a half if they are similar
     return met & (F.abs(n - m) <= most) & (apart <= F.when(F.greatest(n, m) <= _SIGNED, 2 * most).otherwise(_BITS))
 
@@ -149,26 +153,39 @@ def _together(blocks: DataFrame, similarity: float) -> DataFrame:
 
 
 def _neighbours(blocks: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of lines that may be similar and are next to each other, up to three apart, in a block's order of signatures."""
-    order = Window.partitionBy("block", F.when(_parts() > 1, F.pmod(F.xxhash64("sig"), _parts()))).orderBy("sig", "k1")
-    rows = blocks.select("block", *_FACTS, *[F.lag(F.struct(*_FACTS), k).over(order).alias(f"l{k}") for k in range(1, _NEIGHBOURS + 1)])
-    before = rows.select("block", *_FACTS, F.explode(F.array(*[f"l{k}" for k in range(1, _NEIGHBOURS + 1)])).alias("l")).where(F.col("l").isNotNull() & _may("", "l.", similarity))
+    """(a, b) of lines that may be similar: each with the three before it, the first and the last in a block's order of signatures."""
+    order = Window.partitionBy("block", F.when(_parts() > 1, F.pmod(F.xxhash64("sig0"), _parts()))).orderBy("sig0", "sig1", "k1")
+    facts = F.struct(*_FACTS)
+    met = {f"l{k}": F.lag(facts, k).over(order) for k in range(1, _NEIGHBOURS + 1)}
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    met |= {"first": F.first(facts).over(whole), "last": F.last(facts).over(whole)}  # copies of one line are similar to most of the others
+    rows = blocks.select("block", *_FACTS, *[c.alias(name) for name, c in met.items()])
+    before = rows.select("block", *_FACTS, F.explode(F.array(*met)).alias("l")).where(F.col("l").isNotNull() & (F.col("l.k1") != F.col("k1")) & _may("", "l.", similarity))
     return before.select(F.least("k1", "l.k1").alias("a"), F.greatest("k1", "l.k1").alias("b"))
 
 
-def _across(blocks: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of all lines that share a block, may be similar and aren't in one class yet.
+def _across(blocks: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, most, letters) of all lines that share one of the blocks, are near and have different roots.
 
-    The lines of a block of several parts are dealt to them by hash; every pair of parts meets in a cell.
+    blocks has (block, facts, size, root, blocks: all of the line's), words (k1, form). The lines of a block
+    of several parts are dealt to them by hash; every pair of parts meets in a cell. Pairs are verified where
+    they meet, in the first block that they share, so those that aren't near are never written.
     """
-    rows = blocks.join(roots.withColumnRenamed("node", "k1"), "k1", "left").withColumn("root", F.coalesce("root", "k1"))
-    mixed = cut(rows.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("block"), "line-mixed")
-    rows = rows.join(mixed, "block", "left_semi").withColumn("parts", _parts()).withColumn("part", F.pmod(F.xxhash64("k1"), F.col("parts")).cast("int"))
-    facts = (*_FACTS, "root")
+    rows = blocks.join(words.select("k1", "form"), "k1").withColumn("parts", _parts()).withColumn("part", F.pmod(F.xxhash64("k1"), F.col("parts")).cast("int"))
+    facts = (*_FACTS, "root", "blocks", "form")
     own = rows.select("block", F.col("part").alias("i"), F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("j"), *[F.col(c).alias(f"a_{c}") for c in facts])
     met = rows.select("block", F.explode(F.sequence(F.lit(0), F.col("part"))).alias("i"), F.col("part").alias("j"), *[F.col(c).alias(f"b_{c}") for c in facts])
-    pairs = own.join(met, ["block", "i", "j"]).where(((F.col("i") < F.col("j")) | (F.col("a_k1") < F.col("b_k1"))) & (F.col("a_root") != F.col("b_root")) & _may("a_", "b_", similarity))
-    return pairs.select(F.least("a_k1", "b_k1").alias("a"), F.greatest("a_k1", "b_k1").alias("b")).distinct()
+    once = ((F.col("i") < F.col("j")) | (F.col("a_k1") < F.col("b_k1"))) & (F.col("a_root") != F.col("b_root"))
+    first = F.array_min(F.array_intersect("a_blocks", "b_blocks")) == F.col("block")
+    most = _most(F.col("a_n"), F.col("b_n"), similarity)
+    near = F.call_function("levenshtein", F.col("a_form"), F.col("b_form"), most) >= 0
+    both = own.join(met, ["block", "i", "j"]).where(once & _may("a_", "b_", similarity) & first & near)
+    return both.select(F.least("a_k1", "b_k1").alias("a"), F.greatest("a_k1", "b_k1").alias("b"), most.alias("most"), _letters("a_form", "b_form").alias("letters"))
+
+
+def _letters(a: str, b: str) -> Column:
+    """How many different characters two strings have together."""
+    return F.size(F.array_distinct(F.split(F.concat(a, b), "")))
 
 
 def _string(letters: Column) -> Column:
@@ -177,29 +194,31 @@ def _string(letters: Column) -> Column:
     return F.array_join(F.transform(letters, lambda x: F.get(alphabet, x.cast("int"))), "")
 
 
-def paired_words(pairs: DataFrame, rows: DataFrame, lines: DataFrame, doc: str, text: str, known: DataFrame | None = None) -> DataFrame:
-    """(k1, h, form: a string with a character per word) of the lines of pairs (a, b), out of those known already where they are."""
-    paired = pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).distinct()
-    if known is not None:
-        paired = paired.join(known.select("k1"), "k1", "left_anti")
-    wanted = cut(lines.select("k1", "at.row", "at.pos").join(paired, "k1", "left_semi"), "line-wanted")
+def words_of(keys: DataFrame, rows: DataFrame, lines: DataFrame, doc: str, text: str) -> DataFrame:
+    """(k1, h, form: a string with a character per word) of the lines of keys (k1)."""
+    wanted = cut(lines.select("k1", "at.row", "at.pos").join(keys, "k1", "left_semi"), "line-wanted")
     words = wanted_words(rows, doc, text, wanted).select("k1", "h", _string(F.transform("h", lambda x: F.pmod(x, F.lit(_LETTERS)))).alias("form"))
-    words = cut(words, "line-words")
-    return words if known is None else known.union(words)
+    return cut(words, "line-words")
 
 
-def similar(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
-    """(src, dst) of the pairs (a, b) whose lines are at least ``similarity`` alike: 1 - edits / words of the longer, an edit being a word.
+def near_pairs(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, most, letters) of the pairs (a, b) whose lines (k1, form) are at most ``most`` edits apart."""
+    side = lambda c: words.select(F.col("k1").alias(c), F.col("form").alias(f"form{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("most", _most(F.char_length("forma"), F.char_length("formb"), similarity))
+    near = both.where(F.expr("levenshtein(forma, formb, most)") >= 0)  # stops beyond the threshold, with -1
+    return near.select("a", "b", "most", _letters("forma", "formb").alias("letters"))
 
-    The distance is taken between strings with a character per word, its hash modulo 20,000. That can
-    only be too small, where two different words of the pair have one character; such pairs are compared
-    again with words as their places in the pair's own vocabulary.
+
+def similar(near: DataFrame, words: DataFrame) -> DataFrame:
+    """(src, dst) of those near pairs (a, b, most, letters) whose lines (k1, h) are at most ``most`` edits apart, an edit being a word.
+
+    The distance of near pairs is taken between strings with a character per word, its hash modulo 20,000.
+    That can only be too small, where two different words of the pair have one character; such pairs are
+    compared again with words as their places in the pair's own vocabulary.
     """
-    side = lambda c, what: words.select(F.col("k1").alias(c), F.col(what).alias(what + c))
-    both = pairs.join(side("a", "form"), "a").join(side("b", "form"), "b").withColumn("most", _most(F.char_length("forma"), F.char_length("formb"), similarity))
-    near = both.where(F.expr("levenshtein(forma, formb, most)") >= 0)  # stops beyond the threshold, with -1
-    near = cut(near.select("a", "b", "most", F.size(F.array_distinct(F.split(F.concat("forma", "formb"), ""))).alias("letters")), "line-near")
-    near = _materialised(near.join(side("a", "h"), "a").join(side("b", "h"), "b"), known=F.array_union("ha", "hb"))
+    near = cut(near, "line-near")
+    side = lambda c: words.select(F.col("k1").alias(c), F.col("h").alias(f"h{c}"))
+    near = _materialised(near.join(side("a"), "a").join(side("b"), "b"), known=F.array_union("ha", "hb"))
     place = lambda h: _string(F.transform(F.col(h), lambda x: F.array_position("known", x) - 1))
     told_apart = (F.col("letters") == F.size("known")) | (F.size("known") > _LETTERS)
     exact = F.when(told_apart, F.lit(True)).otherwise(F.call_function("levenshtein", place("ha"), place("hb"), F.col("most")) >= 0)
@@ -213,10 +232,15 @@ def kept_places(rows: DataFrame, doc: str, text: str, similarity: float) -> Data
     small, large = shared.where(F.col("size") <= SMALL), shared.where(F.col("size") > SMALL)
     close = _together(small, similarity).union(_neighbours(large, similarity)).distinct()
     close = cut(close, "line-pairs")
-    words = paired_words(close, rows, lines, doc, text)
-    near = connected_components(similar(close, words, similarity))
-    apart = cut(_across(large, near, similarity), "line-pairs")
-    across = similar(apart, paired_words(apart, rows, lines, doc, text, words), similarity)
+    words = words_of(close.select(F.col("a").alias("k1")).union(close.select("b")).distinct(), rows, lines, doc, text)
+    near = connected_components(similar(near_pairs(close, words, similarity), words))
+    # what is left: blocks that hold several classes
+    rooted = large.join(near.withColumnRenamed("node", "k1"), "k1", "left").withColumn("root", F.coalesce("root", "k1"))
+    mixed = rooted.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("block")
+    rooted = rooted.join(mixed, "block", "left_semi").join(lines.select("k1", "blocks"), "k1")
+    rooted = cut(rooted, "line-mixed")
+    words = words.union(words_of(rooted.select("k1").distinct().join(words.select("k1"), "k1", "left_anti"), rows, lines, doc, text))
+    across = similar(_across(rooted, words, similarity), words)
     to_root = lambda end: near.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
     between = across.join(to_root("src"), "src", "left").join(to_root("dst"), "dst", "left").select(F.coalesce("src_root", "src").alias("src"), F.coalesce("dst_root", "dst").alias("dst"))
     classes = connected_components(between).select(F.col("node").alias("root"), F.col("root").alias("class"))  # of roots, and of lines that had no class
