@@ -135,6 +135,22 @@ def resumable(inputs: DataFrame, done: DataFrame, key: str, work) -> tuple[DataF
     return made.where("error IS NULL").drop("error"), made.where("error IS NOT NULL").select(key, "error")
 
 
+def resumable_parts(inputs: DataFrame, path: str, key: str, parts: int, work) -> DataFrame:
+    """``work`` on the inputs in ``parts`` parts by a hash of their key, each a folder below path; finished ones are skipped.
+
+    A part that broke off has no _SUCCESS and is done again. All parts' results are returned.
+    """
+    if parts < 1:
+        raise ValueError("There must be at least one part")
+    spark = inputs.sparkSession
+    folders = [f"{path.rstrip('/')}/part={k:05d}" for k in range(parts)]
+    for k, folder in enumerate(folders):
+        mark = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+        if not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+            work(inputs.where(F.pmod(F.xxhash64(key), F.lit(parts)) == k)).write.mode("overwrite").parquet(folder)
+    return spark.read.parquet(*folders)
+
+
 def write_feature_manifest(path: str, run_id: str, extractor: str, model: str, patch_size: int, selected: DataFrame, observations: DataFrame, checkpoint: str | None = None) -> str:
     """What features were made by, of how many observations of how many."""
     return write_json(

@@ -274,3 +274,19 @@ def test_plot_goes_below_zero(spark, tmp_path):
     assert min(heights) == 60 and max(heights) == 480 and os.listdir(tmp_path) == ["p.svg"]
     with pytest.raises(ValueError, match="no rows"):
         sinks.write_metric_plot(rows.limit(0), str(tmp_path / "q.svg"))
+
+
+def test_resumable_parts(spark, tmp_path):
+    seen = []
+
+    def work(rows):
+        seen.append(1)
+        return rows.withColumn("y", F.col("id") * 2)
+
+    run = lambda f: {(r.id, r.y) for r in sinks.resumable_parts(spark.range(50), f"{tmp_path}/o", "id", 4, f).collect()}
+    want = {(i, 2 * i) for i in range(50)}
+    assert run(work) == want and len(seen) == 4
+    os.unlink(tmp_path / "o" / "part=00002" / "_SUCCESS")
+    assert run(work) == want and len(seen) == 5
+    with pytest.raises(ValueError):
+        sinks.resumable_parts(spark.range(1), str(tmp_path), "id", 0, work)
