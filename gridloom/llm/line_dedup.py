@@ -176,7 +176,8 @@ def _across(blocks: DataFrame, words: DataFrame, similarity: float) -> DataFrame
     own = rows.select("block", F.col("part").alias("i"), F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("j"), *[F.col(c).alias(f"a_{c}") for c in facts])
     met = rows.select("block", F.explode(F.sequence(F.lit(0), F.col("part"))).alias("i"), F.col("part").alias("j"), *[F.col(c).alias(f"b_{c}") for c in facts])
     once = ((F.col("i") < F.col("j")) | (F.col("a_k1") < F.col("b_k1"))) & (F.col("a_root") != F.col("b_root"))
-    first = F.array_min(F.array_intersect("a_blocks", "b_blocks")) == F.col("block")
+    half = F.when(F.greatest("a_n", "b_n") <= _HALVED, 1).otherwise(0)  # the blocks that _may admits
+    first = F.array_min(F.filter(F.array_intersect("a_blocks", "b_blocks"), lambda x: x.bitwiseAND(F.lit(1)) == half)) == F.col("block")
     most = _most(F.col("a_n"), F.col("b_n"), similarity)
     near = F.call_function("levenshtein", F.col("a_form"), F.col("b_form"), most) >= 0
     both = own.join(met, ["block", "i", "j"]).where(once & _may("a_", "b_", similarity) & first & near)
