@@ -14,7 +14,7 @@ Blocks of a SimHash can't do this: an edited word in five flips about 13 of 64 b
 
 Before texts are read again, pairs go whose lengths or signatures are too far apart. A signature has a bit
 for each of a line's 64 least words, of 128: an edit changes two at most in lines of up to 64 words; of
-longer similar lines 32 bits or fewer differ, but for about 1 in 200.
+similar lines of 70 to 800 words, none of 1,500 trials each differed in more than 32 bits.
 
 The lines of a block of up to ``SMALL`` are all compared. Of a larger one, those next to each other in the
 order of their signatures, and each with the first and last, are verified first; that joins up most of a
