@@ -19,8 +19,9 @@ similar lines of 70 to 800 words, none of 1,500 trials each differed in more tha
 The lines of a block of up to ``SMALL`` are all compared. Of a larger one, those next to each other in the
 order of their signatures, and each with the first and last, are verified first; that joins up most of a
 dense group of near copies. Only lines still in different classes are then
-joined with one another, so a group of n near copies doesn't make n * n pairs. Blocks of more than
-``HOT`` lines are dealt to a grid of cells, so no task has more than that of one block.
+joined with one another, so a group of n near copies doesn't make n * n pairs. Larger blocks are dealt by
+length and, beyond ``HOT`` lines, to a grid of cells, so no task has more than that of one block; cells
+are worked off in rounds, so that what is shuffled for them stays in proportion to the lines.
 
 Rows are numbered once, in a cut table. Numbers are shuffled to find candidates; texts only of candidates,
 and once to rebuild documents.
@@ -28,18 +29,24 @@ and once to rebuild documents.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridloom.plans.components import connected_components
-from gridloom.plans.lineage import cut, keep, scratch
+from gridloom.plans.lineage import cut, discard, keep, scratch
 
 SIMILARITY = 0.8
 #: Runs of three words that a line is known by, at most (but for lines of up to two words more).
 KEPT = 10
 #: Lines of a block that meet in one cell of its grid.
-HOT = 1000
+HOT = 4000
 #: Lines of a block that are all compared at once.
 SMALL = 16
+#: Lines of a block beyond which they are dealt by length, too.
+STEPPED = 256
+#: Lines shuffled in a round of cells, at least.
+ROUND = 500_000
 _HALVED = 9  # words of lines that allow one edit at most
 _NEIGHBOURS = 3
 _SIGNED = 64  # words of a signature
@@ -164,17 +171,46 @@ def _neighbours(blocks: DataFrame, similarity: float) -> DataFrame:
     return before.select(F.least("k1", "l.k1").alias("a"), F.greatest("k1", "l.k1").alias("b"))
 
 
+def _dealt(blocks: DataFrame) -> DataFrame:
+    """blocks with part, and low and high, the parts that its lines meet: ``low`` to ``part`` and ``part`` to ``high``.
+
+    The parts of a block are numbered by the length of their lines, in steps of 1.25, and by hash within a
+    step: similar lines are of one step or of two that follow each other. Smaller blocks have a single step.
+    """
+    step = F.when(F.col("size") > STEPPED, F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / SIMILARITY)))).otherwise(0).cast("int")
+    rows = blocks.withColumn("step", step)
+    upto = lambda last: F.coalesce(F.sum("parts").over(Window.partitionBy("block").orderBy("step").rangeBetween(Window.unboundedPreceding, last)), F.lit(0)).cast("int")
+    steps = rows.groupBy("block", "step").agg(F.ceil(F.count("*") / HOT).cast("int").alias("parts"))
+    steps = steps.select("block", "step", "parts", upto(-1).alias("start"), upto(-2).alias("low"), (upto(1) - 1).alias("high"))
+    return rows.join(steps, ["block", "step"]).withColumn("part", F.col("start") + F.pmod(F.xxhash64("k1"), F.col("parts")).cast("int"))
+
+
 def _across(blocks: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     """(a, b, most, letters) of all lines that share one of the blocks, are near and have different roots.
 
-    blocks has (block, facts, size, root, blocks: all of the line's), words (k1, form). The lines of a block
-    of several parts are dealt to them by hash; every pair of parts meets in a cell. Pairs are verified where
-    they meet, in the first block that they share, so those that aren't near are never written.
+    blocks has (block, facts, size, root), words (k1, form). Every two parts of a block whose lines may be
+    similar meet in a cell. Pairs are verified where they meet, in the first of these blocks that they share,
+    so those that aren't near are never written. What is shuffled for the cells grows faster than the lines
+    where blocks have many parts; so cells are worked off in rounds of about ``ROUND`` lines, or half as many as there are, each.
     """
-    rows = blocks.join(words.select("k1", "form"), "k1").withColumn("parts", _parts()).withColumn("part", F.pmod(F.xxhash64("k1"), F.col("parts")).cast("int"))
+    places = F.collect_list(F.struct("block", "part", "low", "high")).alias("places")
+    lines = _dealt(blocks).groupBy("k1").agg(*[F.first(c).alias(c) for c in (*_FACTS[1:], "root")], places).join(words.select("k1", "form"), "k1")
+    lines = cut(lines, "line-meeting")
+    met = F.aggregate("places", F.lit(0).cast("long"), lambda s, x: s + x["high"] - x["low"] + 2)
+    size = lines.agg(F.sum(met).alias("met"), F.count("*").alias("lines")).first()
+    rounds = -(-(size["met"] or 0) // max(ROUND, size["lines"] // 2))
+    found = [cut(_cells(lines, k, rounds, similarity), "line-near") for k in range(max(1, rounds))]
+    discard(lines)
+    return reduce(DataFrame.union, found)
+
+
+def _cells(lines: DataFrame, k: int, rounds: int, similarity: float) -> DataFrame:
+    """_across for round k of so many."""
+    rows = lines.withColumn("blocks", F.col("places.block")).withColumn("place", F.explode("places")).select("*", "place.*")
     facts = (*_FACTS, "root", "blocks", "form")
-    own = rows.select("block", F.col("part").alias("i"), F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("j"), *[F.col(c).alias(f"a_{c}") for c in facts])
-    met = rows.select("block", F.explode(F.sequence(F.lit(0), F.col("part"))).alias("i"), F.col("part").alias("j"), *[F.col(c).alias(f"b_{c}") for c in facts])
+    here = F.pmod(F.xxhash64("block", "i", "j"), F.lit(max(1, rounds))) == k
+    own = rows.select("block", F.col("part").alias("i"), F.explode(F.sequence("part", "high")).alias("j"), *[F.col(c).alias(f"a_{c}") for c in facts]).where(here)
+    met = rows.select("block", F.explode(F.sequence("low", "part")).alias("i"), F.col("part").alias("j"), *[F.col(c).alias(f"b_{c}") for c in facts]).where(here)
     once = ((F.col("i") < F.col("j")) | (F.col("a_k1") < F.col("b_k1"))) & (F.col("a_root") != F.col("b_root"))
     half = F.when(F.greatest("a_n", "b_n") <= _HALVED, 1).otherwise(0)  # the blocks that _may admits
     first = F.array_min(F.filter(F.array_intersect("a_blocks", "b_blocks"), lambda x: x.bitwiseAND(F.lit(1)) == half)) == F.col("block")
@@ -233,15 +269,20 @@ def kept_places(rows: DataFrame, doc: str, text: str, similarity: float) -> Data
     small, large = shared.where(F.col("size") <= SMALL), shared.where(F.col("size") > SMALL)
     close = _together(small, similarity).union(_neighbours(large, similarity)).distinct()
     close = cut(close, "line-pairs")
+    first = cut(lines.select("k1", "k2", "at"), "line-first")
+    discard(lines)  # most of it is blocks, which nothing reads from here on
+    lines = first
     words = words_of(close.select(F.col("a").alias("k1")).union(close.select("b")).distinct(), rows, lines, doc, text)
     near = connected_components(similar(near_pairs(close, words, similarity), words))
     # what is left: blocks that hold several classes
     rooted = large.join(near.withColumnRenamed("node", "k1"), "k1", "left").withColumn("root", F.coalesce("root", "k1"))
     mixed = rooted.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("block")
-    rooted = rooted.join(mixed, "block", "left_semi").join(lines.select("k1", "blocks"), "k1")
-    rooted = cut(rooted, "line-mixed")
+    rooted = cut(rooted.join(mixed, "block", "left_semi"), "line-mixed")
+    discard(shared)
     words = words.union(words_of(rooted.select("k1").distinct().join(words.select("k1"), "k1", "left_anti"), rows, lines, doc, text))
-    across = similar(_across(rooted, words, similarity), words)
+    across = _across(rooted, words, similarity)
+    discard(rooted)
+    across = similar(across, words)
     to_root = lambda end: near.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
     between = across.join(to_root("src"), "src", "left").join(to_root("dst"), "dst", "left").select(F.coalesce("src_root", "src").alias("src"), F.coalesce("dst_root", "dst").alias("dst"))
     classes = connected_components(between).select(F.col("node").alias("root"), F.col("root").alias("class"))  # of roots, and of lines that had no class

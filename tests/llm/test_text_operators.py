@@ -273,6 +273,22 @@ def test_hot_blocks_are_dealt_to_a_grid(spark, monkeypatch):
     assert got == {k for k, r in root.items() if k == r}
 
 
+def test_cells_are_worked_off_in_rounds(spark, monkeypatch):
+    """Lines of 7 to 19 words with one passage in common: dealt by length, compared in rounds, none lost."""
+    rng = np.random.default_rng(8)
+    head = [f"h{i}" for i in range(4)]
+    lines = [head + [f"w{rng.integers(3)}" for _ in range(rng.integers(3, 16))] for _ in range(160)]
+    lines += [[*x[:-1], "edited"] for x in lines[:40]]
+    lines = [list(x) for x in {tuple(x): 0 for x in lines}]
+    rounds, cut = [], line_dedup.cut
+    monkeypatch.setattr(line_dedup, "cut", lambda df, label: rounds.append(label) or cut(df, label))
+    for name, value in (("HOT", 16), ("STEPPED", 8), ("ROUND", 60)):
+        monkeypatch.setattr(line_dedup, name, value)
+    got = {r.doc_id for r in line_dedup.dedup_lines(documents(spark, *map(" ".join, lines))).where("text <> ''").collect()}
+    root = components(similar_by_edits(lines), range(len(lines)))
+    assert got == {k for k, r in root.items() if k == r} and rounds.count("line-near") > 5
+
+
 def test_words_of_one_letter_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "_LETTERS", 40)
     lines = [[f"w{i}" for i in range(k, k + 14)] for k in (0, 3)] + [["w0", "x1", *(f"w{i}" for i in range(2, 14))]]
