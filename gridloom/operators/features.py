@@ -15,11 +15,12 @@ def _vector(rows: DataFrame, key: str, place: str, value: str, name: str) -> Dat
     return rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(place, value))).alias("v")).select(key, F.transform("v", lambda s: s[value]).alias(name))
 
 
-def grounding_embedding(tiles: DataFrame, grids: DataFrame) -> DataFrame:
+def grounding_embedding(tiles: DataFrame, grids: DataFrame, *, incomplete: bool = False) -> DataFrame:
     """(observation_id, embedding): global, mean, population deviation, the four quadrants' means (empty: 0), mean probabilities.
 
     tiles has (observation_id, tile_idx, vec, logits), tiles row by row; grids (observation_id, rows, cols,
-    global_embedding). An error if tiles don't fill their grid.
+    global_embedding). An error if tiles don't fill their grid, unless they may be ``incomplete``: then means
+    are those of the tiles there are, null in a quadrant without any, and a null global embedding has no place.
     """
     placed = tiles.join(grids.select("observation_id", "rows", "cols"), "observation_id")
     row, col = F.floor(F.col("tile_idx") / F.col("cols")), F.col("tile_idx") % F.col("cols")
@@ -28,12 +29,13 @@ def grounding_embedding(tiles: DataFrame, grids: DataFrame) -> DataFrame:
     counted = placed.groupBy("observation_id").agg(F.count("*").alias("n"), *[F.avg(1 / (1 + F.exp(-F.col("logits")[c].cast("double")))).alias(f"p{c}") for c in (0, 1)])
     x = F.col("x").cast("double")
     per = placed.select("observation_id", "q", F.posexplode("vec").alias("k", "x")).groupBy("observation_id", "k").agg(
-        F.avg(x).alias("mean"), F.stddev_pop(x).alias("dev"), *[F.coalesce(F.avg(F.when(F.col("q") == q, x)), F.lit(0.0)).alias(f"q{q}") for q in range(4)]
+        F.avg(x).alias("mean"), F.stddev_pop(x).alias("dev"), *[F.coalesce(F.avg(F.when(F.col("q") == q, x)), F.lit(None if incomplete else 0.0)).alias(f"q{q}") for q in range(4)]
     )
     parts = per.groupBy("observation_id").agg(F.sort_array(F.collect_list(F.struct("k", "mean", "dev", "q0", "q1", "q2", "q3"))).alias("v"))
     parts = parts.join(counted, "observation_id").join(grids, "observation_id")
-    full = F.concat(F.col("global_embedding").cast("array<double>"), *[F.col("v").getField(c) for c in ("mean", "dev", "q0", "q1", "q2", "q3")], F.array("p0", "p1"))
-    fits = F.col("n") == F.col("rows") * F.col("cols")
+    whole = F.col("global_embedding").cast("array<double>")
+    full = F.concat(F.coalesce(whole, F.array().cast("array<double>")) if incomplete else whole, *[F.col("v").getField(c) for c in ("mean", "dev", "q0", "q1", "q2", "q3")], F.array("p0", "p1"))
+    fits = F.col("n") <= F.col("rows") * F.col("cols") if incomplete else F.col("n") == F.col("rows") * F.col("cols")
     return parts.select("observation_id", F.when(fits, full).otherwise(F.raise_error(F.lit("Grounding patch features do not match patch_grid")).cast("array<double>")).alias("embedding"))
 
 

@@ -103,10 +103,11 @@ def row_at_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT o AS observation_id, len(v) AS dims, round(list_sum(v), 5) AS total, round(v[65], 5) AS v65, round(v[129], 5) AS v129, round(v[193], 5) AS v193, round(v[400], 5) AS v400, round(v[450], 5) AS v450 FROM f""")
 def grounding_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = A.embedding_tiles(spark, sf_dir).withColumnRenamed("screen", "observation_id")
-    grids = t.where("tile_idx = 0").select("observation_id", F.lit(2).alias("rows"), F.lit(5).alias("cols"), F.col("vec").alias("global_embedding"))
-    g = features.grounding_embedding(t, grids)
-    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x)
-    return g.select("observation_id", F.size("embedding").cast("long").alias("dims"), F.round(total, 5).alias("total"), *[F.round(F.element_at("embedding", k), 5).alias(f"v{k}") for k in (65, 129, 193, 400, 450)])
+    first = F.max(F.when(F.col("tile_idx") == 0, F.col("vec"))).alias("global_embedding")
+    grids = t.groupBy("observation_id").agg(first).select("observation_id", F.lit(2).alias("rows"), F.lit(5).alias("cols"), "global_embedding")
+    g = features.grounding_embedding(t, grids, incomplete=True)  # the last screen has as many tiles as there are vectors left
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
+    return g.select("observation_id", F.size("embedding").cast("long").alias("dims"), F.round(total, 5).alias("total"), *[F.round(F.try_element_at("embedding", F.lit(k)), 5).alias(f"v{k}") for k in (65, 129, 193, 400, 450)])
 
 
 @query("""WITH x AS (SELECT vec_id // 10 AS o, k, avg(embedding[k]::DOUBLE) AS m FROM embeddings, range(1, 65) r(k) WHERE vec_id % 10 >= 3 GROUP BY ALL) SELECT o AS observation_id, round(sum(m), 5) AS total, round(max(m), 5) AS top FROM x GROUP BY o""")

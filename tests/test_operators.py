@@ -651,3 +651,23 @@ def test_class_overlays(spark):
         images.overlay(image[:2], np.zeros((1, 1)), 2, 0.5)
     with pytest.raises(ValueError, match="lie in an image"):
         images.overlay(image, np.zeros((3, 3)), 2, 0.5)
+
+
+# --- larger and odder tables ------------------------------------------------------------------------
+
+
+def test_grounding_of_an_incomplete_screen(spark, tmp_path):
+    """The last screen may have fewer tiles: the query gives SQL's row for it."""
+    import duckdb
+
+    import __spark_entry__ as entry
+    from tests.conftest import DATA, values
+
+    e = spark.read.parquet(f"{DATA}/embeddings.parquet").where("vec_id < 26 AND vec_id <> 13 OR vec_id IN (41, 57, 58)")
+    e.write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(entry.oracle_sql()["grounding_embedding"]).df()
+    got = entry.queries()["grounding_embedding"](spark, str(tmp_path)).toPandas()
+    assert list(got.columns) == list(want.columns) and len(got) == 5
+    assert values(got, list(got.columns)) == values(want, list(got.columns))
