@@ -59,7 +59,7 @@ def _reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def all_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _, _ = sweep(A.embedding_tiles(spark, sf_dir), _reference(spark, sf_dir), method="best")
+    rows, _, _ = sweep(A.embedding_tiles(spark, sf_dir), _reference(spark, sf_dir), method="best", square=False)
     return rows.select("cut_idx", "distance_threshold", "merge_distance", "predicted_clusters")
 
 
@@ -70,7 +70,7 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = first.withColumn("observation_id", F.col("obs_idx").cast("string"))  # screens whose first tiles have the same label count as copies
     kept = dedup.select_representatives(first, first.withColumn("cluster_id", F.lit("all")), "digest", max_per_image=3)
     views = everything.withColumn("view", F.lit("full")).unionByName(kept.select(F.col("obs_idx").alias("i"), F.lit("deduplicated").alias("view")))
-    return sweep(A.embedding_tiles(spark, sf_dir), _reference(spark, sf_dir), views, method="best")[0]
+    return sweep(A.embedding_tiles(spark, sf_dir), _reference(spark, sf_dir), views, method="best", square=False)[0]
 
 
 # A table of sweep rows from line items, so that choosing among rows has SQL to compare with.

@@ -694,3 +694,18 @@ def test_many_vectors_make_no_distances(spark, monkeypatch):
     monkeypatch.setattr(linkage, "DENSE", 10)
     monkeypatch.setattr(similarity, "cosine_distances", None)
     assert linkage.cluster_embeddings(v, "k", "v", 0.4).orderBy("i").collect() == want
+
+
+def test_condensed_linkage_and_labels_made_in_tasks(spark):
+    """The same merges, and the same cuts, as from the square; heights tie here."""
+    rng = np.random.default_rng(9)
+    d = np.triu(rng.integers(1, 30, (25, 25)) / 32, 1).astype(np.float32)
+    items = list(range(100, 125))
+    pairs = spark.createDataFrame([(items[i], items[j], float(d[i, j])) for i in range(25) for j in range(i + 1, 25)], "i long, j long, d float").repartition(5)
+    held = linkage.condensed_distances(pairs, items)
+    assert (held.square() == d + d.T).all() and (linkage.distance_matrix(pairs, items) == d + d.T).all()
+    merges = linkage.condensed_linkage(held)
+    assert merges == linkage.average_linkage(d + d.T)
+    want, got = linkage.cuts_frames(spark, linkage.all_cuts(d + d.T), items), linkage.merges_frames(spark, merges, items)
+    for a, b in zip(want, got):
+        assert a.schema.simpleString() == b.schema.simpleString() and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
