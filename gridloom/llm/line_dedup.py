@@ -20,8 +20,10 @@ The lines of a block of up to ``SMALL`` are all compared. Of a larger one, those
 order of their signatures, and each with the first and last, are verified first; that joins up most of a
 dense group of near copies. Only lines still in different classes are then
 joined with one another, so a group of n near copies doesn't make n * n pairs. Larger blocks are dealt by
-length and, beyond ``HOT`` lines, to a grid of cells, so no task has more than that of one block; cells
-are worked off in rounds, so that what is shuffled for them stays in proportion to the lines.
+length and, beyond ``HOT`` lines, to a grid of cells, so no task has more than that of one block. Lines
+that have no partner there by length and signature go first, without their words; the cells of the others
+are worked off in rounds, so that what is shuffled for them stays in proportion to the lines. Before pairs
+are compared there, their words are counted in bags, which tells long lines of the same few words apart.
 
 Rows are numbered once, in a cut table. Numbers are shuffled to find candidates; texts only of candidates,
 and once to rebuild documents.
@@ -51,6 +53,7 @@ _HALVED = 9  # words of lines that allow one edit at most
 _NEIGHBOURS = 3
 _SIGNED = 64  # words of a signature
 _BITS = 32  # that signatures of similar lines of more words may differ in
+_BAGS = tuple(f"bag{k}" for k in range(16))  # by hash, in which a line's words are counted
 _LETTERS = 20_000
 _WORDS = r"[^a-z0-9\p{L}\p{N}]+"
 
@@ -138,12 +141,13 @@ def _most(a: Column, b: Column, similarity: float) -> Column:
     return F.floor(F.greatest(a, b) * (1 - similarity) + 1e-9).cast("int")
 
 
-def _may(a: str, b: str, similarity: float) -> Column:
+def _may(a: str, b: str, similarity: float, block: Column | None = None) -> Column:
     """Whether lengths and signatures allow two lines of a block to be similar."""
+    block = F.col("block") if block is None else block
     n, m = F.col(f"{a}n"), F.col(f"{b}n")
     most = _most(n, m, similarity)
     apart = sum((F.bit_count(F.col(f"{a}sig{k}").bitwiseXOR(F.col(f"{b}sig{k}"))) for k in range(2)), F.lit(0))
-    met = (F.greatest(n, m) > _HALVED) | (F.col("block").bitwiseAND(F.lit(1)) == 1)  # two short lines share a half if they are similar
+    met = (F.greatest(n, m) > _HALVED) | (block.bitwiseAND(F.lit(1)) == 1)  # two short lines share a half if they are similar
     return met & (F.abs(n - m) <= most) & (apart <= F.when(F.greatest(n, m) <= _SIGNED, 2 * most).otherwise(_BITS))
 
 
@@ -185,17 +189,33 @@ def _dealt(blocks: DataFrame) -> DataFrame:
     return rows.join(steps, ["block", "step"]).withColumn("part", F.col("start") + F.pmod(F.xxhash64("k1"), F.col("parts")).cast("int"))
 
 
+def _partnered(dealt: DataFrame, similarity: float) -> DataFrame:
+    """(block, facts, size, root) of those lines of dealt blocks that have one of another root in their block which may be similar.
+
+    Lengths and signatures tell, without words, and a line is done at its first partner. So a passage that
+    otherwise different lines share brings no line further, and a dense block makes rows by its lines, not its pairs.
+    """
+    facts = (*_FACTS, "root")
+    one = dealt.select("block", "size", *[F.col(c).alias(f"a_{c}") for c in facts], F.explode(F.sequence("low", "high")).alias("part"))
+    other = dealt.select("block", "part", *[F.col(c).alias(f"b_{c}") for c in facts])
+    may = (one["block"] == other["block"]) & (one["part"] == other["part"]) & (F.col("a_root") != F.col("b_root")) & _may("a_", "b_", similarity, one["block"])
+    return one.join(other, may, "left_semi").select("block", *[F.col(f"a_{c}").alias(c) for c in facts], "size").distinct()
+
+
 def _across(blocks: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     """(a, b, most, letters) of all lines that share one of the blocks, are near and have different roots.
 
-    blocks has (block, facts, size, root), words (k1, form). Every two parts of a block whose lines may be
+    blocks has (block, facts, size, root), words (k1, h, form). Every two parts of a block whose lines may be
     similar meet in a cell. Pairs are verified where they meet, in the first of these blocks that they share,
     so those that aren't near are never written. What is shuffled for the cells grows faster than the lines
     where blocks have many parts; so cells are worked off in rounds of about ``ROUND`` lines, or half as many as there are, each.
     """
     places = F.collect_list(F.struct("block", "part", "low", "high")).alias("places")
-    lines = _dealt(blocks).groupBy("k1").agg(*[F.first(c).alias(c) for c in (*_FACTS[1:], "root")], places).join(words.select("k1", "form"), "k1")
-    lines = cut(lines, "line-meeting")
+    lines = _dealt(blocks).groupBy("k1").agg(*[F.first(c).alias(c) for c in (*_FACTS[1:], "root")], places)
+    wanted = words.join(blocks.select("k1").distinct(), "k1", "left_semi")
+    bag = [F.count_if(F.pmod("w", F.lit(len(_BAGS))) == k).cast("int").alias(c) for k, c in enumerate(_BAGS)]
+    bags = wanted.select("k1", F.explode("h").alias("w")).groupBy("k1").agg(*bag)
+    lines = cut(lines.join(bags, "k1").join(wanted.select("k1", "form"), "k1"), "line-meeting")
     met = F.aggregate("places", F.lit(0).cast("long"), lambda s, x: s + x["high"] - x["low"] + 2)
     size = lines.agg(F.sum(met).alias("met"), F.count("*").alias("lines")).first()
     rounds = -(-(size["met"] or 0) // max(ROUND, size["lines"] // 2))
@@ -207,19 +227,27 @@ def _across(blocks: DataFrame, words: DataFrame, similarity: float) -> DataFrame
 def _cells(lines: DataFrame, k: int, rounds: int, similarity: float) -> DataFrame:
     """_across for round k of so many."""
     rows = lines.withColumn("blocks", F.col("places.block")).withColumn("place", F.explode("places")).select("*", "place.*")
-    facts = (*_FACTS, "root", "blocks", "form")
-    here = F.pmod(F.xxhash64("block", "i", "j"), F.lit(max(1, rounds))) == k
-    own = rows.select("block", F.col("part").alias("i"), F.explode(F.sequence("part", "high")).alias("j"), *[F.col(c).alias(f"a_{c}") for c in facts]).where(here)
-    met = rows.select("block", F.explode(F.sequence("low", "part")).alias("i"), F.col("part").alias("j"), *[F.col(c).alias(f"b_{c}") for c in facts]).where(here)
+    facts = (*_FACTS, "root", "blocks", "form", *_BAGS)
+    here = lambda i, j: F.pmod(F.xxhash64(F.col("block"), i, j), F.lit(max(1, rounds))) == k
+    after = F.filter(F.sequence("part", "high"), lambda j: here(F.col("part"), j))  # other rounds' cells make no rows
+    before = F.filter(F.sequence("low", "part"), lambda i: here(i, F.col("part")))
+    own = rows.select("block", F.col("part").alias("i"), F.explode(after).alias("j"), *[F.col(c).alias(f"a_{c}") for c in facts])
+    met = rows.select("block", F.explode(before).alias("i"), F.col("part").alias("j"), *[F.col(c).alias(f"b_{c}") for c in facts])
     once = ((F.col("i") < F.col("j")) | (F.col("a_k1") < F.col("b_k1"))) & (F.col("a_root") != F.col("b_root"))
     half = F.when(F.greatest("a_n", "b_n") <= _HALVED, 1).otherwise(0)  # the blocks that _may admits
     first = F.array_min(F.filter(F.array_intersect("a_blocks", "b_blocks"), lambda x: x.bitwiseAND(F.lit(1)) == half)) == F.col("block")
     most = _most(F.col("a_n"), F.col("b_n"), similarity)
     near = F.call_function("levenshtein", F.col("a_form"), F.col("b_form"), most) >= 0
-    both = own.join(met, ["block", "i", "j"]).where(once & _may("a_", "b_", similarity) & first & near)
+    both = own.join(met, ["block", "i", "j"]).where(once & _may("a_", "b_", similarity) & _bags_allow("a_", "b_", most) & first & near)
     return both.select(F.least("a_k1", "b_k1").alias("a"), F.greatest("a_k1", "b_k1").alias("b"), most.alias("most"), _letters("a_form", "b_form").alias("letters"))
 
 
+def _bags_allow(a: str, b: str, most: Column) -> Column:
+    """Whether the numbers of two lines' words in each bag are within ``most`` edits. An edit takes a word from one bag at most, and adds one to one at most."""
+    apart = sum((F.abs(F.col(f"{a}{c}") - F.col(f"{b}{c}")) for c in _BAGS), F.lit(0))
+    return apart + F.abs(F.col(f"{a}n") - F.col(f"{b}n")) <= 2 * most
+
+
 def _letters(a: str, b: str) -> Column:
     """How many different characters two strings have together."""
     return F.size(F.array_distinct(F.split(F.concat(a, b), "")))
@@ -277,8 +305,10 @@ def kept_places(rows: DataFrame, doc: str, text: str, similarity: float) -> Data
     # what is left: blocks that hold several classes
     rooted = large.join(near.withColumnRenamed("node", "k1"), "k1", "left").withColumn("root", F.coalesce("root", "k1"))
     mixed = rooted.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("block")
-    rooted = cut(rooted.join(mixed, "block", "left_semi"), "line-mixed")
+    dealt = cut(_dealt(rooted.join(mixed, "block", "left_semi")), "line-mixed")
     discard(shared)
+    rooted = cut(_partnered(dealt, similarity), "line-partnered")
+    discard(dealt)
     words = words.union(words_of(rooted.select("k1").distinct().join(words.select("k1"), "k1", "left_anti"), rows, lines, doc, text))
     across = _across(rooted, words, similarity)
     discard(rooted)

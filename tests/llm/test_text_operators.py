@@ -289,6 +289,41 @@ def test_cells_are_worked_off_in_rounds(spark, monkeypatch):
     assert got == {k for k, r in root.items() if k == r} and rounds.count("line-near") > 5
 
 
+def test_lines_without_a_partner_are_not_met(spark, monkeypatch):
+    """Of 80 lines with one passage in common, only two that are alike beyond it bring their words to cells, and each once."""
+    rng = np.random.default_rng(9)
+    head = [f"h{i}" for i in range(4)]
+    lines = [[f"u{k}x{i}" for i in range(8)] + head + [f"v{k}x{rng.integers(99)}{i}" for i in range(8)] for k in range(80)]
+    lines[70] = [*lines[7][:19], "edited"]
+    met, cut = [], line_dedup.cut
+
+    def counted(df, label):
+        made = cut(df, label)
+        met.append(made.count()) if label == "line-meeting" else None
+        return made
+
+    monkeypatch.setattr(line_dedup, "cut", counted)
+    monkeypatch.setattr(line_dedup, "_neighbours", lambda blocks, similarity: blocks.select(F.col("k1").alias("a"), F.col("k1").alias("b")).limit(0))
+    monkeypatch.setattr(line_dedup, "SMALL", 1)
+    got = {r.doc_id for r in line_dedup.dedup_lines(documents(spark, *map(" ".join, lines))).where("text <> ''").collect()}
+    assert got == set(range(80)) - {70} and met == [2]
+
+
+def test_bags_lose_no_similar_pair(spark):
+    """Whatever is within ``most`` edits passes the bags; lines of the same few words in other numbers don't."""
+    rng = np.random.default_rng(10)
+    lines = [[f"w{x}" for x in rng.choice(5, 60, p=p)] for p in rng.dirichlet(np.ones(5), 20)]
+    lines += [[*x[:k], *x[k + 3 :], "new"] for k, x in enumerate(lines)] + [[x if rng.random() > 0.18 else f"e{rng.integers(9)}" for x in y] for y in lines]
+    bags = [collections.Counter(xxhash.xxh64_intdigest(w) % 16 for w in x) for x in lines]
+    rows = [(a, b, max(len(lines[a]), len(lines[b])) // 5) for a in range(len(lines)) for b in range(a)]
+    side = lambda k: (len(lines[k]), *(bags[k][i] for i in range(16)))
+    names = [f"{c}_{x}" for c in "ab" for x in ("n", *line_dedup._BAGS)]
+    df = spark.createDataFrame([(a, b, m, *side(a), *side(b)) for a, b, m in rows], ["a", "b", "most", *names])
+    passed = {(r.a, r.b) for r in df.where(line_dedup._bags_allow("a_", "b_", F.col("most"))).select("a", "b").collect()}
+    alike = {(a, b) for a, b, m in rows if edits(lines[a], lines[b]) <= m}
+    assert alike and alike <= passed and len(passed) < len(rows) / 2
+
+
 def test_words_of_one_letter_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "_LETTERS", 40)
     lines = [[f"w{i}" for i in range(k, k + 14)] for k in (0, 3)] + [["w0", "x1", *(f"w{i}" for i in range(2, 14))]]
