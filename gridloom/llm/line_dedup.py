@@ -16,12 +16,12 @@ Before texts are read again, pairs go whose lengths or signatures are too far ap
 for each of a line's 64 least words, of 128: an edit changes two at most in lines of up to 64 words; of
 similar lines of 70 to 800 words, none of 1,500 trials each differed in more than 32 bits.
 
-The lines of a block of up to ``SMALL`` are all compared. Of a larger one, those next to each other in the
-order of their signatures, and each with the first and last, are verified first; that joins up most of a
+The lines of a block of up to ``SMALL`` are all compared. Of one of up to ``HOT``, lines without a partner by
+length and signature go at once. Of larger ones than ``SMALL``, those next to each other in the order of their signatures, and each with the first and last, are verified first; that joins up most of a
 dense group of near copies. Only lines still in different classes are then
 joined with one another, so a group of n near copies doesn't make n * n pairs. Larger blocks are dealt by
 length and, beyond ``HOT`` lines, to a grid of cells, so no task has more than that of one block. Lines
-that have no partner there by length and signature go first, without their words; the cells of the others
+that have no partner of another class there go first, without their words; the cells of the others
 are worked off in rounds, so that what is shuffled for them stays in proportion to the lines. Before pairs
 are compared there, their words are counted in bags, which tells long lines of the same few words apart.
 
@@ -54,7 +54,8 @@ _NEIGHBOURS = 3
 _SIGNED = 64  # words of a signature
 _BITS = 32  # that signatures of similar lines of more words may differ in
 _BAGS = tuple(f"bag{k}" for k in range(16))  # by hash, in which a line's words are counted
-_LETTERS = 20_000
+_LETTERS = 20_000  # of words by hash
+_FRESH = 1_000  # for words that share one of these
 _WORDS = r"[^a-z0-9\p{L}\p{N}]+"
 
 
@@ -90,16 +91,18 @@ def distinct_lines(rows: DataFrame, doc: str, text: str) -> DataFrame:
     of = _hashed(_lines(rows, doc, text)).select("doc", "row", "pos", F.size("h").alias("n"), F.xxhash64("h").alias("k1"), F.xxhash64(F.lit(7), "h").alias("k2"), "h")
     known = F.slice(F.sort_array(F.array_distinct("h")), 1, _SIGNED)
     of = _materialised(of, known=known)
-    run = lambda x: F.array_position("h", x).cast("int")
-    of = _materialised(of, places=F.transform(F.slice("known", 1, F.when(n < _HALVED - 1, 0).when(n <= KEPT + 2, n).otherwise(KEPT)), run))  # lines of 8 and 9 words meet those of 10
+    most = F.when(n < _HALVED - 1, 0).when(n <= KEPT + 2, n).otherwise(KEPT)  # lines of 8 and 9 words meet those of 10
+    # place by place, not by a lambda: Spark compiles these and interprets that
+    of = _materialised(of, places=F.array(*[F.when(most > k, F.array_position("h", F.get("known", F.lit(k))).cast("int")) for k in range(KEPT + 2)]))
+
     def sig(half: int) -> Column:  # bits of the words whose hash has bit 6 so
         bit = lambda x: F.when(x.bitwiseAND(F.lit(64)) == 64 * half, F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long"))
         return F.aggregate("known", F.lit(0).cast("long"), lambda bits, x: bits.bitwiseOR(bit(x))).alias(f"sig{half}")
 
-    runs = F.transform("places", lambda i: F.when(i + 1 < n, F.xxhash64(F.get(h, i - 1), F.get(h, i), F.get(h, i + 1))))
+    run = lambda i: F.when(i + 1 < n, F.xxhash64(F.get(h, i - 1), F.get(h, i), F.get(h, i + 1)).bitwiseAND(F.lit(-2)))  # noqa: E731  (even)
+    runs = F.array(*[run(F.get("places", F.lit(k))) for k in range(KEPT + 2)])
     sizes = F.array_distinct(F.array(F.floor(n / 2).cast("int"), F.greatest(F.floor((n - 1) / 2).cast("int"), F.lit(2))))
     halves = F.flatten(F.transform(sizes, lambda m: F.array(F.xxhash64(F.lit("first"), F.slice(h, 1, m)), F.xxhash64(F.lit("last"), F.slice(h, n - m + 1, m)))))
-    runs = F.transform(runs, lambda x: x.bitwiseAND(F.lit(-2)))  # even
     halves = F.transform(halves, lambda x: x.bitwiseOR(F.lit(1)))
     blocks = F.array_distinct(F.array_compact(F.when((n > 3) & (n <= _HALVED), F.concat(runs, halves)).otherwise(runs)))
     first = of.select("doc", "row", "pos", "n", "k1", "k2", sig(0), sig(1), blocks.alias("blocks")).groupBy("k1", "k2").agg(F.min(F.struct("doc", "row", "pos", "n", "sig0", "sig1", "blocks")).alias("at"))
@@ -182,11 +185,14 @@ def _dealt(blocks: DataFrame) -> DataFrame:
     step: similar lines are of one step or of two that follow each other. Smaller blocks have a single step.
     """
     step = F.when(F.col("size") > STEPPED, F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / SIMILARITY)))).otherwise(0).cast("int")
-    rows = blocks.withColumn("step", step)
+    whole = F.col("size") <= min(STEPPED, HOT)
+    rows = blocks.where(~whole).withColumn("step", step)
     upto = lambda last: F.coalesce(F.sum("parts").over(Window.partitionBy("block").orderBy("step").rangeBetween(Window.unboundedPreceding, last)), F.lit(0)).cast("int")
     steps = rows.groupBy("block", "step").agg(F.ceil(F.count("*") / HOT).cast("int").alias("parts"))
     steps = steps.select("block", "step", "parts", upto(-1).alias("start"), upto(-2).alias("low"), (upto(1) - 1).alias("high"))
-    return rows.join(steps, ["block", "step"]).withColumn("part", F.col("start") + F.pmod(F.xxhash64("k1"), F.col("parts")).cast("int"))
+    dealt = rows.join(steps, ["block", "step"]).withColumn("part", F.col("start") + F.pmod(F.xxhash64("k1"), F.col("parts")).cast("int"))
+    places = [*blocks.columns, "part", "low", "high"]
+    return dealt.select(places).union(blocks.where(whole).select("*", *[F.lit(0).alias(c) for c in places[-3:]]))
 
 
 def _partnered(dealt: DataFrame, similarity: float) -> DataFrame:
@@ -203,7 +209,7 @@ def _partnered(dealt: DataFrame, similarity: float) -> DataFrame:
 
 
 def _across(blocks: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, most, letters) of all lines that share one of the blocks, are near and have different roots.
+    """(a, b, most) of all lines that share one of the blocks, are near and have different roots.
 
     blocks has (block, facts, size, root), words (k1, h, form). Every two parts of a block whose lines may be
     similar meet in a cell. Pairs are verified where they meet, in the first of these blocks that they share,
@@ -239,7 +245,7 @@ def _cells(lines: DataFrame, k: int, rounds: int, similarity: float) -> DataFram
     most = _most(F.col("a_n"), F.col("b_n"), similarity)
     near = F.call_function("levenshtein", F.col("a_form"), F.col("b_form"), most) >= 0
     both = own.join(met, ["block", "i", "j"]).where(once & _may("a_", "b_", similarity) & _bags_allow("a_", "b_", most) & first & near)
-    return both.select(F.least("a_k1", "b_k1").alias("a"), F.greatest("a_k1", "b_k1").alias("b"), most.alias("most"), _letters("a_form", "b_form").alias("letters"))
+    return both.select(F.least("a_k1", "b_k1").alias("a"), F.greatest("a_k1", "b_k1").alias("b"), most.alias("most"))
 
 
 def _bags_allow(a: str, b: str, most: Column) -> Column:
@@ -248,14 +254,9 @@ def _bags_allow(a: str, b: str, most: Column) -> Column:
     return apart + F.abs(F.col(f"{a}n") - F.col(f"{b}n")) <= 2 * most
 
 
-def _letters(a: str, b: str) -> Column:
-    """How many different characters two strings have together."""
-    return F.size(F.array_distinct(F.split(F.concat(a, b), "")))
-
-
 def _string(letters: Column) -> Column:
-    """A string with one character per number of an array, from 0 to ``_LETTERS`` - 1, out of a constant."""
-    alphabet = F.split(F.lit("".join(chr(0x4E00 + k) for k in range(_LETTERS))), "")
+    """A string with one character per number of an array, from 0 to ``_LETTERS + _FRESH`` - 1, out of a constant."""
+    alphabet = F.split(F.lit("".join(chr(0x4E00 + k) for k in range(_LETTERS + _FRESH))), "")
     return F.array_join(F.transform(letters, lambda x: F.get(alphabet, x.cast("int"))), "")
 
 
@@ -267,26 +268,32 @@ def words_of(keys: DataFrame, rows: DataFrame, lines: DataFrame, doc: str, text:
 
 
 def near_pairs(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, most, letters) of the pairs (a, b) whose lines (k1, form) are at most ``most`` edits apart."""
+    """(a, b, most) of the pairs (a, b) whose lines (k1, form) are at most ``most`` edits apart."""
     side = lambda c: words.select(F.col("k1").alias(c), F.col("form").alias(f"form{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("most", _most(F.char_length("forma"), F.char_length("formb"), similarity))
     near = both.where(F.expr("levenshtein(forma, formb, most)") >= 0)  # stops beyond the threshold, with -1
-    return near.select("a", "b", "most", _letters("forma", "formb").alias("letters"))
+    return near.select("a", "b", "most")
 
 
 def similar(near: DataFrame, words: DataFrame) -> DataFrame:
-    """(src, dst) of those near pairs (a, b, most, letters) whose lines (k1, h) are at most ``most`` edits apart, an edit being a word.
+    """(src, dst) of those near pairs (a, b, most) whose lines (k1, h) are at most ``most`` edits apart, an edit being a word.
 
-    The distance of near pairs is taken between strings with a character per word, its hash modulo 20,000.
+    The distance of near pairs is taken between strings with a character per word, its hash modulo ``_LETTERS``.
     That can only be too small, where two different words of the pair have one character; such pairs are
-    compared again with words as their places in the pair's own vocabulary.
+    compared again with other characters for such words, or, where these don't suffice, for all.
     """
     near = cut(near, "line-near")
     side = lambda c: words.select(F.col("k1").alias(c), F.col("h").alias(f"h{c}"))
     near = _materialised(near.join(side("a"), "a").join(side("b"), "b"), known=F.array_union("ha", "hb"))
-    place = lambda h: _string(F.transform(F.col(h), lambda x: F.array_position("known", x) - 1))
-    told_apart = (F.col("letters") == F.size("known")) | (F.size("known") > _LETTERS)
-    exact = F.when(told_apart, F.lit(True)).otherwise(F.call_function("levenshtein", place("ha"), place("hb"), F.col("most")) >= 0)
+    letter = lambda x: F.pmod(x, F.lit(_LETTERS)).cast("int")
+    told_apart = F.size(F.array_distinct(F.transform("known", letter))) == F.size("known")
+    near = _materialised(near, ranked=F.when(~told_apart, F.sort_array(F.transform("known", lambda x: F.struct(letter(x).alias("l"), x.alias("x"))))))
+    beside = lambda s, i: F.coalesce(F.get("ranked", i - 1)["l"] == s["l"], F.lit(False)) | F.coalesce(F.get("ranked", i + 1)["l"] == s["l"], F.lit(False))
+    near = _materialised(near, shared=F.filter("ranked", beside)["x"])  # words that share a character
+    fresh = lambda h: F.transform(F.col(h), lambda x: F.when(F.array_contains("shared", x), _LETTERS - 1 + F.array_position("shared", x)).otherwise(letter(x)))
+    place = lambda h: F.transform(F.col(h), lambda x: F.array_position("known", x) - 1)
+    told = lambda h: _string(F.when(F.size("shared") <= _FRESH, fresh(h)).otherwise(place(h)))
+    exact = F.when(F.col("shared").isNull() | ((F.size("shared") > _FRESH) & (F.size("known") > _LETTERS)), F.lit(True)).otherwise(F.call_function("levenshtein", told("ha"), told("hb"), F.col("most")) >= 0)
     return near.where(exact).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
@@ -295,12 +302,17 @@ def kept_places(rows: DataFrame, doc: str, text: str, similarity: float) -> Data
     lines = cut(distinct_lines(rows, doc, text), "line-distinct")
     shared = cut(shared_blocks(lines), "line-blocks")
     small, large = shared.where(F.col("size") <= SMALL), shared.where(F.col("size") > SMALL)
+    # lines without a partner go at once; in blocks beyond ``HOT`` once neighbours are joined up, as a grid of all would be large
+    alone = cut(_dealt(large.where(F.col("size") <= HOT).withColumn("root", F.col("k1"))), "line-dealt")
+    partnered = cut(_partnered(alone, similarity).drop("root"), "line-partnered")
+    discard(alone)
+    large = partnered.union(large.where(F.col("size") > HOT).select(partnered.columns))
     close = _together(small, similarity).union(_neighbours(large, similarity)).distinct()
     close = cut(close, "line-pairs")
     first = cut(lines.select("k1", "k2", "at"), "line-first")
     discard(lines)  # most of it is blocks, which nothing reads from here on
     lines = first
-    words = words_of(close.select(F.col("a").alias("k1")).union(close.select("b")).distinct(), rows, lines, doc, text)
+    words = words_of(close.select(F.col("a").alias("k1")).union(close.select("b")).union(partnered.select("k1")).distinct(), rows, lines, doc, text)
     near = connected_components(similar(near_pairs(close, words, similarity), words))
     # what is left: blocks that hold several classes
     rooted = large.join(near.withColumnRenamed("node", "k1"), "k1", "left").withColumn("root", F.coalesce("root", "k1"))
@@ -309,17 +321,20 @@ def kept_places(rows: DataFrame, doc: str, text: str, similarity: float) -> Data
     discard(shared)
     rooted = cut(_partnered(dealt, similarity), "line-partnered")
     discard(dealt)
-    words = words.union(words_of(rooted.select("k1").distinct().join(words.select("k1"), "k1", "left_anti"), rows, lines, doc, text))
-    across = _across(rooted, words, similarity)
+    missing = cut(rooted.select("k1").distinct().join(words.select("k1"), "k1", "left_anti"), "line-missing")
+    if not missing.isEmpty():  # lines of blocks beyond ``HOT``
+        words = words.union(words_of(missing, rows, lines, doc, text))
+    across = cut(_across(rooted, words, similarity), "line-across")
     discard(rooted)
-    across = similar(across, words)
+    met = across.select(F.col("a").alias("k1")).union(across.select("b")).distinct()
+    across = similar(across, words.join(met, "k1", "left_semi"))  # mostly few, so that few words are shuffled
     to_root = lambda end: near.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
     between = across.join(to_root("src"), "src", "left").join(to_root("dst"), "dst", "left").select(F.coalesce("src_root", "src").alias("src"), F.coalesce("dst_root", "dst").alias("dst"))
     classes = connected_components(between).select(F.col("node").alias("root"), F.col("root").alias("class"))  # of roots, and of lines that had no class
     linked = near.select(F.col("node").alias("k1"), "root").join(classes, "root", "left").select("k1", F.coalesce("class", "root").alias("class"))
-    # a line without a link is known by all 128 bits, so that of linked ones only 64 must differ
-    classed = lines.select("k1", "k2", "at").join(linked.union(classes.join(linked, F.col("root") == F.col("k1"), "left_anti")), "k1", "left")
-    first = classed.groupBy(F.coalesce("class", "k1").alias("class"), F.when(F.col("class").isNull(), F.col("k2")).alias("k2")).agg(F.min("at").alias("at"))
+    classed = lines.select("k1", "at").join(linked.union(classes.join(linked, F.col("root") == F.col("k1"), "left_anti")), "k1", "left")
+    # a line without a link is the first of its own, known by all 128 bits; those of linked ones differ in 64
+    first = classed.where("class IS NOT NULL").groupBy("class").agg(F.min("at").alias("at")).select("at").union(classed.where("class IS NULL").select("at"))
     return keep(cut(first.groupBy(F.col("at.row").alias("__of")).agg(F.collect_set("at.pos").alias("__stay")), "line-kept"))
 
 

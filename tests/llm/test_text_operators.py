@@ -331,6 +331,34 @@ def test_words_of_one_letter_are_told_apart(spark, monkeypatch):
     assert got == {0, 1}
 
 
+def test_lines_read_words_once(spark, monkeypatch):
+    """Texts are read again for words once, also where lines of a large block have a partner without being neighbours."""
+    rng = np.random.default_rng(11)
+    head = [f"c{k}" for k in range(3)]
+    lines = [[f"u{k}x{i}" for i in range(8)] + head + [f"v{k}x{rng.integers(99)}{i}" for i in range(8)] for k in range(80)]
+    lines[70] = [*lines[7][:17], "edited", "too"]
+    read, cut = [], line_dedup.cut
+    monkeypatch.setattr(line_dedup, "cut", lambda df, label: read.append(label) or cut(df, label))
+    monkeypatch.setattr(line_dedup, "_neighbours", lambda blocks, similarity: blocks.select(F.col("k1").alias("a"), F.col("k1").alias("b")).limit(0))
+    monkeypatch.setattr(line_dedup, "SMALL", 1)
+    got = {r.doc_id for r in line_dedup.dedup_lines(documents(spark, *map(" ".join, lines))).where("text <> ''").collect()}
+    assert got == set(range(80)) - {70} and read.count("line-words") == 1
+
+
+@pytest.mark.parametrize("fresh", [0, 1, 1000])
+def test_lines_whose_words_share_characters(spark, monkeypatch, fresh):
+    """Pairs with such words are told apart by other characters, however few there are."""
+    monkeypatch.setattr(line_dedup, "_LETTERS", 30)
+    monkeypatch.setattr(line_dedup, "_FRESH", fresh)
+    rng = np.random.default_rng(12)
+    lines = [[f"w{x}" for x in rng.permutation(12)] for _ in range(3)]
+    lines += [[f"e{k}{i}" if rng.random() < 0.25 else w for i, w in enumerate(lines[k % 3])] for k in range(90)]
+    lines = [list(x) for x in {tuple(x): 0 for x in lines}]
+    got = {r.doc_id for r in line_dedup.dedup_lines(documents(spark, *map(" ".join, lines))).where("text <> ''").collect()}
+    root = components(similar_by_edits(lines), range(len(lines)))
+    assert got == {k for k, r in root.items() if k == r}
+
+
 # --- 3: HTML --------------------------------------------------------------------------------------
 
 
