@@ -8,7 +8,7 @@ from gridloom.operators import dedup, evaluate, features, images, linkage, simil
 from gridloom.plans import adapters as A
 from gridloom.plans.queries_sets import OBS, TRANS
 from gridloom.plans.registry import query
-from gridloom.plans.sweep import sweep
+from gridloom.plans.sweep import cuts, sweep
 
 TILES = """t AS (SELECT vec_id // 10 AS screen, (vec_id % 10)::INT AS tile_idx, list_transform(embedding, lambda x: x::DOUBLE / greatest(sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 1e-12)) AS v,
   1/(1+exp(-(embedding[1]*8.0)::DOUBLE)) AS p1, 1/(1+exp(-(embedding[2]*8.0)::DOUBLE)) AS p2 FROM embeddings)"""
@@ -59,8 +59,7 @@ def _reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def all_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _, _ = sweep(A.embedding_tiles(spark, sf_dir), _reference(spark, sf_dir), method="best", square=False)
-    return rows.select("cut_idx", "distance_threshold", "merge_distance", "predicted_clusters")
+    return cuts(A.embedding_tiles(spark, sf_dir), method="best")
 
 
 @query()

@@ -746,3 +746,29 @@ def test_rows_of_distances_take_few_bytes(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "o"))
     assert back.count() == back.select("i", "j").distinct().count() == 2500 * 2499 // 2 and back.where("i >= j").count() == 0
     assert sum(f.stat().st_size for f in (tmp_path / "o").glob("*.parquet")) < 5 * back.count()
+
+
+def test_many_distances_are_in_a_file(spark, monkeypatch):
+    """The same merges, with the distances in a file's pages and not in the driver's own memory."""
+    import mmap
+
+    rng = np.random.default_rng(12)
+    d = np.triu(rng.integers(1, 30, (40, 40)) / 32, 1).astype(np.float32)
+    pairs = spark.createDataFrame([(i, j, float(d[i, j])) for i in range(40) for j in range(i + 1, 40)], "i long, j long, d float").repartition(7)
+    want = linkage.condensed_linkage(linkage.condensed_distances(pairs, list(range(40))))
+    monkeypatch.setattr(linkage, "HELD", 100)
+    monkeypatch.setattr(linkage, "_PART", 90)
+    held = linkage.condensed_distances(pairs, list(range(40)))
+    base = held.d
+    while isinstance(base, np.ndarray):
+        base = base.base
+    assert isinstance(base.obj if isinstance(base, memoryview) else base, mmap.mmap)
+    assert (held.square() == d + d.T).all() and linkage.condensed_linkage(held) == want
+    with pytest.raises(ValueError, match="finite"):
+        linkage.condensed_distances(pairs.withColumn("d", F.when((F.col("i") == 3) & (F.col("j") == 9), F.lit(float("nan"))).otherwise(F.col("d"))), list(range(40)))
+
+
+def test_distances_are_not_joined(spark):
+    """All pairs of screens meet their own scores where they are made; nothing of their number is shuffled or sorted."""
+    plan = similarity.element_distances(similarity.element_scores(similarity.prepared_tiles(screens(spark, A, B, C))))._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and plan.count("Join") == 0
